@@ -26,8 +26,10 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PCT, MAX_LOST = 10, 20, 0.5
 WHITE = " \t\n\x0b\x0c\r"
 # Fixed values of the line rules.
-NAVIGATION = r"(?:\|[^|]*){4,}|(?:[»›>][^»›>]*){4,}|^\W*(?:home|menu|login|log in|sign in|sign up|next|previous|back|top|share|search)\W*$"
-BOILERPLATE = r"(?i)all rights reserved|terms of (?:use|service)|privacy policy|accept (?:all )?cookies|use of cookies|copyright (?:\(c\)|©)|lorem ipsum|subscribe to our|enable javascript|javascript is disabled"
+MENU = r"^\W*(?:home|menu|login|log in|sign in|sign up|next|previous|back|top|share|search)\W*$"
+SEPARATORS, MIN_SEPARATORS, MENU_CHARS = "|»›>", 4, 24
+BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "accept cookies", "accept all cookies", "use of cookies", "copyright (c)", "copyright ©", "lorem ipsum", "subscribe to our", "enable javascript", "javascript is disabled")
+SYMBOLS, SHOUTS = "#*$%&|<>", "!?"
 LETTER_SHARE, SYMBOL_SHARE, SHOUT_SHARE = 0.5, 0.1, 0.1
 
 
@@ -35,13 +37,28 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
-def _line_fails(line: Column) -> Column:
-    """Punctuation (few letters, many symbols, marks of emphasis), navigation, boilerplate."""
-    solid = F.length(_without(line, WHITE))
+def _has(text: Column, phrases) -> Column:
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | text.contains(phrase)
+    return found
+
+
+def _line_fails(row: Column, may: Column) -> Column:
+    """Punctuation (few letters, many symbols, marks of emphasis), navigation,
+    boilerplate. ``may``: which of them the document as a whole can show, so
+    that a line is not searched for what its text does not hold."""
+    line, solid = row["line"], row["solid"]
     letters = F.length(F.regexp_replace(line, r"[\x00-\x40\x5B-\x60\x7B-\x7F]", ""))
-    symbols = solid - F.length(_without(_without(line, WHITE), "#*$%&|<>"))
-    shouts = solid - F.length(_without(_without(line, WHITE), "!?"))
-    return (solid > 0) & ((letters < LETTER_SHARE * solid) | (symbols > SYMBOL_SHARE * solid) | (shouts > SHOUT_SHARE * solid) | F.lower(line).rlike(NAVIGATION) | line.rlike(BOILERPLATE))
+    count = lambda chars: F.length(line) - F.length(_without(line, chars))
+    return (
+        (may["symbols"] & (count(SYMBOLS) > SYMBOL_SHARE * solid))
+        | (may["shouts"] & (count(SHOUTS) > SHOUT_SHARE * solid))
+        | (may["separators"] & (count(SEPARATORS) >= MIN_SEPARATORS))
+        | (may["boilerplate"] & _has(F.lower(line), BOILERPLATE))
+        | ((F.length(line) <= MENU_CHARS) & F.lower(line).rlike(MENU))
+        | (letters < LETTER_SHARE * solid)
+    )
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -49,7 +66,11 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = fixed(docs, {
         "__words": F.transform(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w)),
-        "__lines": F.split(text, "\n"),
+        "__lines": F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.length(_without(x, WHITE)).alias("solid"))),
+        "n_symbols": F.when(_has(text, SYMBOLS), F.length(text) - F.length(_without(text, SYMBOLS))).otherwise(0).cast("long"),
+        "__may": F.struct(
+            _has(text, SYMBOLS).alias("symbols"), _has(text, SHOUTS).alias("shouts"), _has(text, SEPARATORS).alias("separators"),
+            _has(F.lower(text), ("reserved", "terms of", "privacy", "cookies", "copyright", "lorem", "subscribe", "javascript")).alias("boilerplate")),
     })
     words = F.col("__words")
     at = lambda i, k: F.get(words, i + k)
@@ -65,19 +86,20 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     covered = F.aggregate(
         F.col("__starts"), F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
         lambda a, i: F.struct((a["n"] + F.least(i - a["last"], F.lit(WINDOW))).alias("n"), i.alias("last")))["n"]
-    full = F.filter("__lines", lambda x: _without(x, WHITE) != "")
+    full = F.transform(F.filter("__lines", lambda x: x["solid"] > 0), lambda x: x["line"])
+    solid = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["solid"])
     out = fixed(out, {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(_without(text, WHITE)).cast("long"),
-        "n_symbols": (F.length(text) - F.length(_without(text, "#*$%&|<>"))).cast("long"),
+        "word_chars": solid(F.col("__lines")),
         "n_dup_lines": (F.size(full) - F.size(F.array_distinct(full))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-        "clean_text": F.array_join(F.filter("__lines", lambda x: ~_line_fails(x)), "\n"),
+        "__good": F.filter("__lines", lambda x: ~_line_fails(x, F.col("__may"))),
     })
+    out = out.withColumn("clean_text", F.array_join(F.transform("__good", lambda x: x["line"]), "\n"))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
-    lost = F.col("word_chars") - F.length(_without(F.col("clean_text"), WHITE))
+    lost = F.col("word_chars") - solid(F.col("__good"))
     out = out.withColumn("kept", ~F.col("base_failed") & (lost <= MAX_LOST * F.col("word_chars")))
-    return out.drop("__words", "__lines", "__windows", "__sorted", "__starts")
+    return out.drop("__words", "__lines", "__windows", "__sorted", "__starts", "__may", "__good")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
