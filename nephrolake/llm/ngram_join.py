@@ -323,7 +323,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percen
 
 def join_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, class_id
-    (equal for documents with the same set)."""
+    (equal for documents with the same set), rid (``row_key`` of the row)."""
     spark = prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows, rows_path = stash(_sketch(docs, _frequent(docs, n), n, percent), "sketch")
@@ -356,9 +356,9 @@ def join_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     least = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
     named, named_path = stash(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id"), "named")
     discard(spark, classes_path, *roots_paths)
-    out = rows.select("doc_id", "cls", "size").join(named, "cls", "left")
+    out = rows.select("rid", "doc_id", "cls", "size").join(named, "cls", "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("size") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), F.col("cls").alias("class_id"))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), F.col("cls").alias("class_id"), "rid")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
