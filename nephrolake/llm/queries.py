@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, substring_dedup, vector_dedup
+from . import language_id, line_dedup, ngram_join, packing, piece_lattice, pii, quality_model, quality_rules, substring_dedup, vector_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_vector_dedup": vector_dedup.query,
     "op7_line_dedup": line_dedup.query,
     "op8_pii": pii.query,
+    "op9_piece_lattice": piece_lattice.query,
     "op10_quality_rules": quality_rules.query,
 }
 ORACLE_SQL = {"op7_line_dedup": line_dedup.ORACLE}
