@@ -137,8 +137,8 @@ def _(t):
 
 
 @query("d12_d13_anomaly_score", """SELECT subject_id, hour_bucket,
-    round(least(coalesce(least(creatinine_ratio * 20, 50), 0) + CASE WHEN d >= 0.3 THEN 15 WHEN d >= 0.1 THEN 8 ELSE 0 END + CASE WHEN u < 0.3 THEN 30 WHEN u < 0.5 THEN 15 ELSE 0 END, 100), 6) AS score,
-    round(least(coalesce(least(creatinine_ratio * 20, 50), 0) + CASE WHEN d > 0.3 THEN 15 WHEN d > 0.1 THEN 8 ELSE 0 END + CASE WHEN u < 0.3 THEN 30 WHEN u < 0.5 THEN 15 ELSE 0 END, 100), 6) AS score_strict
+    round(least(CASE WHEN creatinine_ratio IS NULL THEN 0 ELSE least(creatinine_ratio * 20, 50) END + CASE WHEN d >= 0.3 THEN 15 WHEN d >= 0.1 THEN 8 ELSE 0 END + CASE WHEN u < 0.3 THEN 30 WHEN u < 0.5 THEN 15 ELSE 0 END, 100), 6) AS score,
+    round(least(CASE WHEN creatinine_ratio IS NULL THEN 0 ELSE least(creatinine_ratio * 20, 50) END + CASE WHEN d > 0.3 THEN 15 WHEN d > 0.1 THEN 8 ELSE 0 END + CASE WHEN u < 0.3 THEN 30 WHEN u < 0.5 THEN 15 ELSE 0 END, 100), 6) AS score_strict
     FROM (SELECT *, creatinine_delta_1h AS d, urine_ml_kg_hr_6h AS u FROM engineered)""")
 def _(t):
     raw = lambda strict: F.round(kdigo.anomaly_score("creatinine_ratio", "creatinine_delta_1h", "urine_ml_kg_hr_6h", strict, None), 6)
