@@ -352,7 +352,8 @@ _STEPS = """(SELECT {g} p, pos, neg, sum(pos) OVER (PARTITION BY {k} ORDER BY p
     FROM (SELECT {g} p, sum(y) AS pos, sum(1 - y) AS neg FROM {src} GROUP BY {g} p))"""
 
 
-@query("e1_ranking_metrics", f"""SELECT lang, round(sum(neg * (2 * tp - pos)) / (2.0::DOUBLE * any_value(npos) * any_value(nneg)), 9) AS auroc, round(sum(pos * tp / (tp + fp)::DOUBLE) / any_value(npos), 9) AS auprc FROM {_STEPS.format(g="lang,", k="lang", src="scored")} GROUP BY lang""")
+@query("e1_ranking_metrics", f"""SELECT lang, CASE WHEN any_value(npos) > 0 AND any_value(nneg) > 0 THEN round(sum(neg * (2 * tp - pos)) / (2.0::DOUBLE * any_value(npos) * any_value(nneg)), 9) END AS auroc,
+    CASE WHEN any_value(npos) > 0 AND any_value(nneg) > 0 THEN round(sum(pos * tp / (tp + fp)::DOUBLE) / any_value(npos), 9) END AS auprc FROM {_STEPS.format(g="lang,", k="lang", src="scored")} GROUP BY lang""")
 def _(t):
     return evaluation.ranking_metrics(t.scored, ["lang"]).select("lang", F.round("auroc", 9).alias("auroc"), F.round("auprc", 9).alias("auprc"))
 
