@@ -11,13 +11,16 @@ expanded.
    Where at least 0.6 of a set is not frequent, the first 64 of that part
    suffice: a link fails to meet there with a chance below 0.56^64 (1e-16),
    far under that of a 64-bit collision.
-2. *First traversal.* Classes that share an element stand under the smallest
-   class that holds it (aggregated before the shuffle, so no group of copies
-   meets in one task). Under it they form signature trees: leaves of a few
-   sets, nodes with the OR of their token bitmaps and their size ranges. A
-   dual traversal of that class's own tree with these prunes pairs of nodes
-   by the largest overlap they could have. What remains is verified exactly.
-3. *Second traversal.* Elements whose classes are not yet all in one component
+2. *First traversal.* Of the classes that share an element a few stand for it
+   (chosen by hash, aggregated before the shuffle, so no group of copies meets
+   in one task). Under each of these tops its other classes form signature
+   trees: leaves of a few sets, nodes with the OR of their token bitmaps and
+   their size ranges. A dual traversal of the top's own tree with these prunes
+   pairs of nodes by the largest overlap they could have. What remains is
+   verified exactly. In a group of near copies nearly all link with a top, so
+   further turns, with other tops and only for what is in different components
+   so far, leave little, in place of all pairs of the group.
+3. *Second traversal.* Elements whose classes are still not in one component
    deal out the rest: blocks of bounded size, each pair of blocks a dual
    traversal that also skips what is connected already. Verified likewise.
    All links that can still join components are found here.
@@ -41,11 +44,16 @@ from .common import discard, prepare, read_table, row_key, stash
 from .components import components
 
 WORDS, PERCENT = 5, 75
-BITMAP_WORDS = 8  # 512 bits
+BITMAP_WORDS = 32  # 2048 bits
 LEAF, FANOUT, BLOCK = 8, 8, 256
 #: Frequent shingles are looked for in about so many documents, so many are kept.
 SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 20_000, 4, 1 << 16
 COLD_SHARE, COLD_PREFIX = 0.6, 64
+#: Classes of an element that the others are compared with in a turn, turns at
+#: most, and pairs a class that the last traversal may get before those turns end.
+TOPS, TURNS, ENOUGH = 3, 5, 4
+#: Rows of (class, row) that are broadcast, at most.
+BROADCAST_ROWS = 500_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -134,19 +142,19 @@ def need_overlap(a, b, percent: int = PERCENT):
 class SignatureTree:
     """Levels of nodes over sets in order of size. A node: the OR of its
     bitmaps, the most elements one of its sets has beyond its own bits, its
-    size range, and its component if it has only one (else -1)."""
+    size range, its component, and whether it has several of them."""
 
     def __init__(self, size: np.ndarray, bits: np.ndarray, comp: np.ndarray) -> None:
         self.order = np.argsort(size, kind="stable")
         size, bits, comp = size[self.order], bits[self.order], comp[self.order]
         surplus = size - np.bitwise_count(bits).sum(axis=1)
-        self.levels = [(bits, surplus, size, size, comp)]
+        self.levels = [(bits, surplus, size, size, comp, np.zeros(len(size), bool))]
         width = LEAF
         while len(self.levels[-1][0]) > 1:
-            bits, surplus, low, high, comp = self.levels[-1]
+            bits, surplus, low, high, comp, mixed = self.levels[-1]
             at = np.arange(0, len(low), width)
             least, most = np.minimum.reduceat(comp, at), np.maximum.reduceat(comp, at)
-            self.levels.append((np.bitwise_or.reduceat(bits, at), np.maximum.reduceat(surplus, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.where(least == most, least, -1)))
+            self.levels.append((np.bitwise_or.reduceat(bits, at), np.maximum.reduceat(surplus, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), least, np.logical_or.reduceat(mixed, at) | (least != most)))
             width = FANOUT
 
     def children(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +171,7 @@ def possible(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, percent: int) ->
     most = np.minimum(shared + np.minimum(x[1][i], y[1][j]), np.minimum(x[3][i], y[3][j]))
     enough = most >= need_overlap(x[2][i], y[2][j], percent)
     fits = (100 * x[3][i] >= percent * y[2][j]) & (100 * y[3][j] >= percent * x[2][i])
-    return enough & fits & ((x[4][i] != y[4][j]) | (x[4][i] < 0))
+    return enough & fits & ((x[4][i] != y[4][j]) | x[5][i] | y[5][j])
 
 
 def dual_traverse(a: SignatureTree, b: SignatureTree, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -259,8 +267,8 @@ def _first_traversal(pairs: DataFrame, percent: int) -> DataFrame:
             top_bits, bits = _bits(t.column("top_bits")), _bits(t.column("bits"))
             out_a, out_b = [], []
             for a, z in _runs(top, block):
-                one = SignatureTree(top_size[a : a + 1], top_bits[a : a + 1], np.full(1, -1))
-                tree = SignatureTree(size[a:z], bits[a:z], np.full(z - a, -1))
+                one = SignatureTree(top_size[a : a + 1], top_bits[a : a + 1], np.zeros(1, np.int64))
+                tree = SignatureTree(size[a:z], bits[a:z], np.ones(z - a, np.int64))
                 _, hit = dual_traverse(one, tree, percent)
                 out_a.append(np.full(len(hit), top[a]))
                 out_b.append(cls[a:z][hit])
@@ -294,31 +302,91 @@ def _second_traversal(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(traverse, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that do link, as edges (u, v)."""
+def bound_of(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The high halves of the first elements by hash, as many as a link may miss and one."""
+    n = len(shingles)
+    return (shingles[: n - -(-percent * n // 100) + 1] >> _U(32)).astype("<u4")
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray, size_x: int, size_y: int) -> int:
+    """The most that two sets can share, from the first elements of both: what
+    lies up to where the shorter view ends is seen, the rest may be common.
+    Halves of hashes can only seem equal, which raises the bound."""
+    end = min(x[-1], y[-1])
+    i, j = np.searchsorted(x, end, side="right"), np.searchsorted(y, end, side="right")
+    same = np.isin(x[:i], y[:j]).sum()
+    return int(max(same, np.isin(y[:j], x[:i]).sum())) + min(size_x - i, size_y - j) + 1
+
+
+def _views(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view) -> DataFrame:
+    """(a, b, size_a, view_a, size_b, view_b): what ``view`` makes of both sets of each pair."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    named = reps.select("cls", "rid").join(wanted, "cls")
+    if wanted.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)  # then only the wanted texts are read on, and none is shuffled
 
-    def sets_of(batches):
+    def look(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([view(s).tobytes() for s in sets], pa.binary())], names=["cls", "size", "view"])
 
-    texts = docs.select(row_key().alias("rid"), "text").join(reps.select("cls", "rid").join(wanted, "cls"), "rid").select("cls", "text")
-    sets = texts.mapInArrow(sets_of, "cls long, shingles binary")
-    sets = sets.groupBy("cls").agg(F.first("shingles").alias("shingles"))  # a repeated row gives its set again
+    seen = docs.select(row_key().alias("rid"), "text").join(named, "rid").select("cls", "text").mapInArrow(look, "cls long, size long, view binary")
+    seen = seen.groupBy("cls").agg(F.first(F.struct("size", "view")).alias("r"))  # a repeated row gives its view again
+    side = lambda k: seen.select(F.col("cls").alias(k), F.col("r.size").alias(f"size_{k}"), F.col("r.view").alias(f"view_{k}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "size_a", "view_a", "size_b", "view_b")
 
-    def overlap(batches):
+
+def _chosen(views: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) for which ``test`` of both views and sizes holds."""
+
+    def choose(batches):
         for batch in batches:
-            keep = []
-            for sa, sb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(sa, _U), np.frombuffer(sb, _U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            hit = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["u", "v"])
+            _, _, sa, va, sb, vb = (c.to_pylist() for c in batch.columns)
+            hit = pa.array([test(*x) for x in zip(va, vb, sa, sb, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
+
+    return views.mapInArrow(choose, "a long, b long")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, str]:
+    """The pairs (a, b) of classes that do link, as edges (u, v), and their
+    table: first by a bound from an eighth of the bytes of both sets, then by
+    the whole sets."""
+    pairs, path = stash(pairs, "pairs")
+    near, near_path = stash(_chosen(_views(pairs, reps, docs, n, lambda s: bound_of(s, percent)), lambda x, y, a, b: overlap_bound(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), a, b) >= need_overlap(a, b, percent)), "pairs")
+    discard(pairs.sparkSession, path)
+
+    def links(x: bytes, y: bytes, a: int, b: int) -> bool:
+        both = len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True))
+        return 100 * both >= percent * (a + b - both)
+
+    edges, links_path = stash(_chosen(_views(near, reps, docs, n, lambda s: s), links).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    discard(pairs.sparkSession, near_path)
+    return edges, links_path
+
+
+def _named(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(token, cls, size, comp): with the component that each class is in so far."""
+    if comp is None:
+        return shared.withColumn("comp", F.col("cls"))
+    return shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "size", F.coalesce("root", "cls").alias("comp"))
+
+
+def _under_tops(named: DataFrame, turn: int) -> DataFrame:
+    """(top, cls): each element's classes under up to TOPS of them, chosen by
+    hashes of this turn, where the two are not in one component yet."""
+    tops = [F.min(F.struct(F.xxhash64("cls", F.lit(turn * TOPS + k)).alias("h"), F.col("cls").alias("top"), F.col("comp").alias("top_comp"))).alias(f"t{k}") for k in range(TOPS)]
+    chosen = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *tops).filter(F.col("lo") != F.col("hi"))
+    chosen = chosen.select("token", F.array_distinct(F.array(*(F.struct(f"t{k}.top", f"t{k}.top_comp") for k in range(TOPS)))).alias("tops"))
+    under = named.join(chosen, "token").select("cls", "comp", F.inline("tops")).filter(F.col("comp") != F.col("top_comp"))
+    return under.select(F.least("cls", "top").alias("top"), F.greatest("cls", "top").alias("cls")).distinct()
+
 
-    left = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
-    return left.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(overlap, "u long, v long")
+def _left_to_compare(named: DataFrame) -> int:
+    """How many pairs of classes share an element and not a component (pairs
+    that share several elements count for each)."""
+    per = named.groupBy("token", "comp").agg(F.count("*").cast("double").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    return int(per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0.0))).first()[0])
 
 
 def join_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -330,28 +398,34 @@ def join_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     live = rows.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
     classes, classes_path = stash(live.groupBy("cls").agg(F.min(F.struct("rid", "size", "bits")).alias("r"), F.min("doc_id").alias("least")).select("cls", "r.rid", "r.size", "r.bits", "least"), "classes")
     dealt = live.join(classes.select("cls", "rid"), ["cls", "rid"], "left_semi").select("cls", "size", F.explode("prefix").alias("token"))
-    shared = dealt.groupBy("token").agg(F.min("cls").alias("top"), F.max("cls").alias("last")).filter(F.col("top") != F.col("last"))
-    shared, shared_path = stash(dealt.join(shared, "token").select("token", "cls", "size", "top", "last"), "shared")
-
-    size, bits = F.col("size"), F.col("bits")
-    pairs = shared.filter(F.col("cls") != F.col("top")).select("top", "cls").distinct()
-    pairs = pairs.join(classes.select("cls", "size", "bits"), "cls").join(classes.select(F.col("cls").alias("top"), size.alias("top_size"), bits.alias("top_bits")), "top")
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) % F.lit(64))
-    first, first_path = stash(_verified(_first_traversal(pairs.select("top", "block", "top_size", "top_bits", "cls", "size", "bits"), percent), classes, docs, n, percent), "links")
-    comp, comp_paths = components(first)
-
-    # elements whose classes are not all in one component, with more to compare than what stood under the top
-    named = shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "size", F.coalesce("root", "cls").alias("comp"), "top", "last")
-    apart = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max((F.col("cls") != F.col("top")) & (F.col("cls") != F.col("last"))).alias("more"), F.count("*").alias("n")).filter((F.col("lo") != F.col("hi")) & F.col("more")).select("token", "n")
+    several = dealt.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter(F.col("lo") != F.col("hi")).select("token")
+    shared, shared_path = stash(dealt.join(several, "token"), "shared")
+
+    links, paths, comp, comp_paths, remain = None, [], None, [], 1 << 62
+    for turn in range(TURNS):
+        named = _named(shared, comp)
+        if turn:
+            before, remain = remain, _left_to_compare(named)
+            if remain <= ENOUGH * max(1, classes.count()) or 2 * remain > before:
+                break  # little is left, or what is left does not link
+        pairs = _under_tops(named, turn).join(classes.select("cls", "size", "bits"), "cls").join(classes.select(F.col("cls").alias("top"), F.col("size").alias("top_size"), F.col("bits").alias("top_bits")), "top")
+        pairs = pairs.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(64)))
+        found, path = _verified(_first_traversal(pairs.select("top", "block", "top_size", "top_bits", "cls", "size", "bits"), percent), classes, docs, n, percent)
+        links, paths = found if links is None else links.unionByName(found), [*paths, path]
+        discard(spark, *comp_paths)
+        comp, comp_paths = components(links)
+
+    # elements whose classes are not all in one component: all that is left to compare
+    named = _named(shared, comp)
+    apart = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter((F.col("lo") != F.col("hi")) & (F.col("n") > TOPS)).select("token", "n")
     left = named.join(apart, "token").select("token", "cls", "size", "comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     left = left.withColumn("own", F.pmod(F.xxhash64("cls", "token"), F.col("blocks")).cast("int"))
     both = left.select("token", "cls", "size", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     both = both.select("token", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "size", "comp")
     both = both.join(classes.select("cls", "bits"), "cls").select("token", "left", "right", "side", "cls", "size", "bits", "comp")
-    second, second_path = stash(_verified(_second_traversal(both, percent), classes, docs, n, percent), "links")
-    discard(spark, shared_path)
-    roots, roots_paths = components(first.unionByName(second))
-    discard(spark, first_path, second_path, *comp_paths)
+    found, path = _verified(_second_traversal(both, percent), classes, docs, n, percent)
+    roots, roots_paths = components(links.unionByName(found))
+    discard(spark, shared_path, path, *paths, *comp_paths)
 
     least = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
     named, named_path = stash(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id"), "named")

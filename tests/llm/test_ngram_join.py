@@ -76,8 +76,24 @@ def test_traversal_loses_nothing():
     base = [rng.integers(0, 2**63, 200, dtype=np.uint64) for _ in range(12)]
     sets = [np.unique(np.concatenate((b[rng.random(200) < 0.95], rng.integers(0, 2**63, 5, dtype=np.uint64)))) for b in base for _ in range(9)]
     size, bits = np.array([len(s) for s in sets]), np.stack([ngram_join.bitmap_of(s) for s in sets])
-    tree = ngram_join.SignatureTree(size, bits, np.full(len(sets), -1))
+    tree = ngram_join.SignatureTree(size, bits, np.arange(len(sets)))
     i, j = ngram_join.dual_traverse(tree, tree)
     found = {*zip(i.tolist(), j.tolist(), strict=True)}
-    links = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if 100 * (o := len(np.intersect1d(sets[a], sets[b]))) >= 75 * (len(sets[a]) + len(sets[b]) - o)}
+    links = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b and 100 * (o := len(np.intersect1d(sets[a], sets[b]))) >= 75 * (len(sets[a]) + len(sets[b]) - o)}
     assert links <= found and len(found) < len(sets) ** 2 / 4
+
+
+def test_bound_holds():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        pool = rng.integers(0, 2**64, int(rng.integers(2, 200)), dtype=np.uint64)
+        x, y = (np.unique(pool[rng.random(len(pool)) < rng.choice([0.3, 0.9])]) for _ in range(2))
+        if len(x) and len(y):
+            assert ngram_join.overlap_bound(ngram_join.bound_of(x, 75), ngram_join.bound_of(y, 75), len(x), len(y)) >= len(np.intersect1d(x, y))
+
+
+def test_without_broadcast(spark, monkeypatch):
+    docs = chained(spark)
+    want = canon(ngram_join.join_components(docs).select("doc_id", "component_id").collect())
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", -1)
+    assert canon(ngram_join.join_components(docs).select("doc_id", "component_id").collect()) == want
