@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import language_id, line_dedup, ngram_join, packing, piece_lattice, pii, quality_model, quality_rules, substring_dedup, vector_dedup
+from .oracles import ORACLE_SQL  # noqa: F401  part of this module's interface
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -16,4 +17,3 @@ QUERIES = {
     "op9_piece_lattice": piece_lattice.query,
     "op10_quality_rules": quality_rules.query,
 }
-ORACLE_SQL = {"op7_line_dedup": line_dedup.ORACLE}
