@@ -22,8 +22,9 @@ def rows_back(n: int, key: str = KEY, order: str = HOUR):
 # ---- aggregation to hours
 
 def first_of_hour(events: DataFrame, value: str, tiebreak: str) -> DataFrame:
-    """The earliest reading of each subject-hour."""
-    at = events.withColumn(HOUR, hour_bucket("charttime"))
+    """The earliest reading of each subject-hour. Rows are dealt out by subject
+    alone, which serves this window and those over the subject's hours."""
+    at = events.withColumn(HOUR, hour_bucket("charttime")).repartition(KEY)
     w = Window.partitionBy(KEY, HOUR).orderBy("charttime", tiebreak)
     return at.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(KEY, HOUR, "charttime", F.col(value).alias("creatinine"))
 
