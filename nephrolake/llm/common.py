@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Rows in one Arrow batch. Documents can be long, so batches stay small.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch. Documents can be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -22,6 +22,7 @@ _written: list[tuple[SparkSession, str]] = []
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the operators rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env, known = spark.sparkContext.environment, spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):  # workers import the operators by name; a cluster ships the package with --py-files
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
@@ -72,6 +73,26 @@ def _discard_all() -> None:
             return
 
 
+def tidied(fn):
+    """``fn`` for ``mapInArrow``, after which a worker gives back the memory
+    that it no longer uses: idle workers wait beside those of the next stage."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def n_parts(spark: SparkSession, at_least: int = 1) -> int:
     """Shuffle partitions as the session has them."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -31,12 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_parts, prepare, read_table, stash
+from .common import n_parts, prepare, read_table, stash, tidied
 
 MIN_CHARS, MIN_DOCS = 40, 5
 STRIP = b" \t\n\x0b\x0c\r"
+#: Confirmed lines that are broadcast, at most.
+BROADCAST_ROWS = 500_000
 #: Bits a line, hash functions, bits of a segment, bits of a filter at most.
 BITS_PER_LINE, PROBES, SEGMENT_BITS, MAX_BITS = 16, 3, 1 << 19, 1 << 28
+#: About so many bytes of text to a long line; only the filters' size depends on it.
+BYTES_PER_LINE = 256
 
 
 def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
@@ -98,8 +102,8 @@ def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> bytes:
         out = [(s, zlib.compress(np.packbits(t, bitorder="little").tobytes(), 1)) for s, t in twice.items()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["segment", "bits"])
 
-    sets = docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(set_bits, "segment long, kind int, at binary")
-    merged = sets.repartition(min(bits // SEGMENT_BITS, n_parts(spark)), "segment").mapInArrow(merge, "segment long, bits binary")
+    sets = docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(tidied(set_bits), "segment long, kind int, at binary")
+    merged = sets.repartition(min(bits // SEGMENT_BITS, n_parts(spark)), "segment").mapInArrow(tidied(merge), "segment long, bits binary")
     out = bytearray(bits // 8)
     for row in merged.toLocalIterator():  # at most MAX_BITS in all
         at = row["segment"] * SEGMENT_BITS // 8
@@ -112,8 +116,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     spark = prepare(docs.sparkSession)
     sc = spark.sparkContext
     slim = docs.select("doc_id", "text")
-    lines = slim.select(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0]
-    bits = filter_bits(lines or 0)
+    total = slim.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = filter_bits(total // BYTES_PER_LINE)
     seen = sc.broadcast(zlib.compress(twice_seen(slim, min_chars, bits), 1))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -129,9 +133,12 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
             hit = np.flatnonzero((table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1") & 1).all(axis=1))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(owner, dtype="int64")[hit])), pa.array([digests[k] for k in hit], pa.binary())], names=["doc_id", "line"])
 
-    found, _ = stash(slim.filter(F.col("doc_id").isNotNull()).mapInArrow(suspects, f"doc_id {id_type}, line binary"), "lines")
+    found, _ = stash(slim.filter(F.col("doc_id").isNotNull()).mapInArrow(tidied(suspects), f"doc_id {id_type}, line binary"), "lines")
     # rows that share a doc_id are one document: ids are counted, not rows
     repeated = found.dropDuplicates(["line", "doc_id"]).groupBy("line").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
+    repeated, _ = stash(repeated, "repeated")  # written, so that the join's other side is a plain shuffle that can be split where a line is hot
+    if repeated.count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
     drops = found.join(repeated, "line").filter(F.col("doc_id") < F.col("keeper")).groupBy("doc_id").agg(F.collect_set("line").alias("__drop"))
     out = docs.withColumnRenamed("doc_id", "__id").join(drops, F.col("__id") == F.col("doc_id"), "left").drop("doc_id").withColumnRenamed("__id", "doc_id")
     return _cleaned(out, docs, min_chars)
@@ -162,7 +169,7 @@ def _cleaned(joined: DataFrame, docs: DataFrame, min_chars: int) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
-    return joined.select(*names, "__drop").mapInArrow(clean, schema)
+    return joined.select(*names, "__drop").mapInArrow(tidied(clean), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

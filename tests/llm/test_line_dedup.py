@@ -41,6 +41,13 @@ def test_full_filter_changes_nothing(spark, monkeypatch):
     assert {(r[0], r[1]) for r in got} == {(i, n) for i, _, n, _ in brute([(r.doc_id, r.text) for r in docs.collect()], 40, 5)}
 
 
+def test_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", -1)
+    docs = documents(spark)
+    got = line_dedup.drop_repeated_lines(docs, 5, 2).select("doc_id", "n_dropped").collect()
+    assert {(r[0], r[1]) for r in got} == {(i, n) for i, _, n, _ in brute([(r.doc_id, r.text) for r in docs.collect()], 5, 2)}
+
+
 def test_empty(spark):
     out = line_dedup.drop_repeated_lines(empty(spark))
     assert out.count() == 0 and {"lang", "n_lines", "n_dropped"} <= {*out.columns}
