@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, read_table
+from .common import prepare, read_table, tidied
 
 #: Bytes of a window, filter widths, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.select(*names).mapInArrow(score, schema)
+    return docs.select(*names).mapInArrow(tidied(score), schema)
 
 
 def _groups(texts: list, chars: int = 2_000_000):

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, prepare, read_table, row_key, stash
+from .common import discard, prepare, read_table, row_key, stash, tidied
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -203,7 +203,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
             often = times > 1
             yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["token", "n"])
 
-    top = sample.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
+    top = sample.select("text").mapInArrow(tidied(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
     return top["token"].to_numpy(np.int64).view(_U)[::-1]
 
 
@@ -225,7 +225,7 @@ def _sketch(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> Data
                 names=["rid", "doc_id", "cls", "size", "bits", "prefix"])
 
     rows = docs.select(row_key().alias("rid"), "doc_id", "text")
-    return rows.mapInArrow(sketch, f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, size long, bits binary, prefix array<long>")
+    return rows.mapInArrow(tidied(sketch), f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, size long, bits binary, prefix array<long>")
 
 
 def _bits(column) -> np.ndarray:
@@ -274,7 +274,7 @@ def _first_traversal(pairs: DataFrame, percent: int) -> DataFrame:
                 out_b.append(cls[a:z][hit])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
-    return pairs.repartition("top", "block").sortWithinPartitions("top", "block").mapInArrow(traverse, "a long, b long")
+    return pairs.repartition("top", "block").sortWithinPartitions("top", "block").mapInArrow(tidied(traverse), "a long, b long")
 
 
 def _second_traversal(rows: DataFrame, percent: int) -> DataFrame:
@@ -299,7 +299,7 @@ def _second_traversal(rows: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
     keys = ("token", "left", "right")
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(traverse, "a long, b long").distinct()
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(traverse), "a long, b long").distinct()
 
 
 def bound_of(shingles: np.ndarray, percent: int) -> np.ndarray:
@@ -330,7 +330,7 @@ def _views(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view) ->
             sets = shingle_sets(batch.column(1).to_pylist(), n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([view(s).tobytes() for s in sets], pa.binary())], names=["cls", "size", "view"])
 
-    seen = docs.select(row_key().alias("rid"), "text").join(named, "rid").select("cls", "text").mapInArrow(look, "cls long, size long, view binary")
+    seen = docs.select(row_key().alias("rid"), "text").join(named, "rid").select("cls", "text").mapInArrow(tidied(look), "cls long, size long, view binary")
     seen = seen.groupBy("cls").agg(F.first(F.struct("size", "view")).alias("r"))  # a repeated row gives its view again
     side = lambda k: seen.select(F.col("cls").alias(k), F.col("r.size").alias(f"size_{k}"), F.col("r.view").alias(f"view_{k}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "size_a", "view_a", "size_b", "view_b")
@@ -345,7 +345,7 @@ def _chosen(views: DataFrame, test) -> DataFrame:
             hit = pa.array([test(*x) for x in zip(va, vb, sa, sb, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
 
-    return views.mapInArrow(choose, "a long, b long")
+    return views.mapInArrow(tidied(choose), "a long, b long")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, str]:

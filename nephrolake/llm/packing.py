@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table, stash
+from .common import prepare, read_table, stash, tidied
 
 MAX_LENGTH = 1024
 #: Offsets (one row per task and bucket) are broadcast up to this many rows.
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, vocab_json: str, max_length: int = MAX_LENGTH, separat
                 columns, names = [*columns, pa.array(ids_out, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    pieces, _ = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema), "pieces")
+    pieces, _ = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidied(cut), schema), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before, base = 0, F.lit(0).cast("long")
     for row in sorted(pieces.groupBy("length").agg(F.count("*").alias("n")).collect(), reverse=True):  # a row for each power of two

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table
+from .common import prepare, read_table, tidied
 
 N_BEST, SCALE = 4, 1 << 16
 #: Longest segment of the numpy pass, characters scored at once, segments remembered.
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, model_file: str, n_best: int = N_BEST, keep_ids: boo
             names = ["n_pieces", "ids_crc32", "score", "alternatives", "restored", "ids"][: 5 + keep_ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, shape)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), shape)
 
 
 def _groups(texts: list):
@@ -323,7 +323,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidied(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

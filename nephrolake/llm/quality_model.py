@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, read_table, stash
+from .common import prepare, read_table, stash, tidied
 from .language_id import held_out
 
 FEATURES = (
@@ -166,7 +166,7 @@ def measure(docs: DataFrame) -> DataFrame:
             found = [features_of(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(found, pa.list_(pa.float64()))], names=[*names, "features"])
 
-    return docs.select(*names, "text").mapInArrow(count, schema)
+    return docs.select(*names, "text").mapInArrow(tidied(count), schema)
 
 
 def fit(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Additive | None:
@@ -189,7 +189,7 @@ def score(measured: DataFrame, model: Additive | None) -> DataFrame:
             s = model.score(x) if model is not None else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(s), pa.array((s >= THRESHOLD).astype("i4"))], names=[*names, "score", "predicted"])
 
-    return measured.select(*names, "features").mapInArrow(add, schema)
+    return measured.select(*names, "features").mapInArrow(tidied(add), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, prepare, read_table, stash
+from .common import discard, prepare, read_table, stash, tidied
 from .components import components
 
 MIN_COSINE, MIN_RECALL = 0.9, 0.98
@@ -170,7 +170,7 @@ def _links(nodes: DataFrame, kmeans: np.ndarray, overlap: int, beam: int) -> tup
             at = np.repeat(np.arange(len(v)), k)
             yield pa.RecordBatch.from_arrays([pa.array(shard.ravel().astype("i8")), *(batch.column(c).take(pa.array(at)) for c in range(3))], names=["shard", "node", "v", "n"])
 
-    dealt, dealt_path = stash(nodes.select("node", "v", "n").mapInArrow(deal, "shard long, node long, v array<double>, n long"), "dealt")
+    dealt, dealt_path = stash(nodes.select("node", "v", "n").mapInArrow(tidied(deal), "shard long, node long, v array<double>, n long"), "dealt")
     sizes = dealt.groupBy("shard").agg(F.count("*").alias("size"))
     # a shard too large for a task: its nodes are dealt into parts, and every two parts meet
     dealt = dealt.join(sizes, "shard").withColumn("parts", F.ceil(F.col("size") / MAX_SHARD).cast("int"))
@@ -229,7 +229,7 @@ def audit(nodes: DataFrame, found: DataFrame, count: int = AUDIT) -> float:
             other = node[i] != ids[j]
             yield pa.RecordBatch.from_arrays([pa.array(ids[j][other]), pa.array(node[i][other])], names=["node", "other"])
 
-    true = nodes.select("node", "v").mapInArrow(brute, "node long, other long").cache()
+    true = nodes.select("node", "v").mapInArrow(tidied(brute), "node long, other long").cache()
     total = true.count()
     got = found.join(F.broadcast(spark.createDataFrame(picked[["node"]])), "node").select("node", F.explode("near.node").alias("other")).distinct()
     hit = true.join(got, ["node", "other"], "left_semi").count()
