@@ -10,7 +10,8 @@ starts in a document with a smaller id (all judged on the input).
    Fingerprints of the grams are exchanged first; a suffix whose gram is in no
    other document never enters the sort.
 3. *Runs.* A task sorts its suffixes (the bytes from the start on, then those
-   before it, backwards) and sends each range of the order as one front-coded
+   before it, backwards), settles those that equal one of a smaller document
+   in the same task, so that a common passage is sent once for a task, and sends each range of the order as one front-coded
    run: common prefix length with the one before, and the rest.
 4. *Merge.* A task for each range merges the runs with a loser tree that knows
    each loser's common prefix with the last winner. Unequal prefixes decide
@@ -32,10 +33,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, n_parts, prepare, read_table, stash
+from .common import discard, n_parts, prepare, read_table, stash, tidied
 
 LENGTH, GRAM = 50, 20
 #: Entries that a task gathers before it sends them; key lists that are broadcast.
@@ -67,6 +69,13 @@ def gram_hashes(data: bytes) -> np.ndarray:
 def anchors(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, fingerprints) of the grams that the windows of the texts
     name; ``ends``: where each text ends in ``data``."""
+    if len(data) > int(_POSITION):  # more positions than the key has room for: overlapping parts, in which each window lies whole
+        step, found = int(_POSITION) - LENGTH, []
+        for s in range(0, len(data), step):
+            where, fp = anchors(data[s : s + step + LENGTH - 1], np.minimum(np.maximum(ends - s, 0), step + LENGTH - 1))
+            found.append((where + s, fp))
+        where, at = np.unique(np.concatenate([w for w, _ in found]), return_index=True)
+        return where, np.concatenate([f for _, f in found])[at]
     h = gram_hashes(data)
     span = LENGTH - GRAM + 1
     if len(h) < span:
@@ -79,7 +88,7 @@ def anchors(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if width < span:
         least = np.minimum(least[: len(h) - span + 1], least[span - width : span - width + len(h) - span + 1])
     at = np.arange(len(least))
-    inside = at + LENGTH <= ends[np.searchsorted(ends, at, side="right")]
+    inside = at + LENGTH <= ends[np.minimum(np.searchsorted(ends, at, side="right"), len(ends) - 1)]
     named = (least[inside] & _POSITION).astype(np.int64)
     named = named[np.concatenate(([True], named[1:] != named[:-1]))] if len(named) else named
     return named, h[named]
@@ -160,7 +169,7 @@ def _fingerprints(docs: DataFrame, parts: int) -> DataFrame:
             chosen = rng.permutation(len(sample))[:SAMPLE_A_TASK]
             yield _batch_of(kinds, [(-1, b"".join(sample[i] for i in chosen), None, None, None)])
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(make, "part int, docs binary, tags binary, counts binary, grams binary")
+    return docs.select("doc_id", "tag", "text").mapInArrow(tidied(make), "part int, docs binary, tags binary, counts binary, grams binary")
 
 
 def _shared_grams(sent: DataFrame, parts: int) -> DataFrame:
@@ -198,7 +207,7 @@ def _shared_grams(sent: DataFrame, parts: int) -> DataFrame:
                     e = np.append(f[1:], first[s + 4096] if s + 4096 < len(first) else len(doc))
                     yield _batch_of(kinds, [(int(doc[a]), int(tag[a]), five[a:z].tobytes()) for a, z in zip(f, e, strict=True)])
 
-    return sent.repartition(parts, "part").mapInArrow(match, "doc_id long, tag int, grams binary")
+    return sent.repartition(parts, "part").mapInArrow(tidied(match), "doc_id long, tag int, grams binary")
 
 
 def front_code(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,13 +299,23 @@ def _suffix_runs(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(splitters)
     reach = LENGTH - GRAM
 
-    def send(parts):
+    def send(parts, spread):
         strings, doc, tag, at, before, after = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(np.ascontiguousarray(strings).view(f"S{LENGTH + reach}")[:, 0], kind="stable")
         strings, doc, tag, at, before, after = (x[order] for x in (strings, doc, tag, at, before, after))
+        # of equal suffixes with equal surroundings only those of the smallest document are sent; the others are covered here
+        lcp, _ = front_code(strings)
+        new = np.concatenate(([True], (lcp[1:] < strings.shape[1]) | (before[1:] != before[:-1]) | (after[1:] != after[:-1])))
+        first = np.flatnonzero(new)
+        known = doc > np.minimum.reduceat(doc, first)[np.cumsum(new) - 1]
+        span = known & (before.astype(np.int64) + after >= LENGTH)
+        own = _by_doc(doc[span], tag[span], at[span].astype(np.int64) - before[span], at[span] + np.minimum(after[span].astype(np.int64), LENGTH))
+        strings, doc, tag, at, before, after = (x[~known] for x in (strings, doc, tag, at, before, after))
         head = np.ascontiguousarray(strings[:, :8]).view(">u8")[:, 0].astype(_U)
         cut = np.searchsorted(head, shared.value, side="left")
         rows = []
+        if own:
+            rows.append((-1 - spread, None, None, *(_pack(np.concatenate([np.atleast_1d(r[k]) for r in own]).astype("<i8")) for k in range(4)), _pack(np.array([len(r[2]) for r in own], "<i8"))))
         for p, (a, z) in enumerate(zip([0, *cut], [*cut, len(head)], strict=True)):
             if a < z:
                 lcp, rest = front_code(strings[a:z])
@@ -331,12 +350,12 @@ def _suffix_runs(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
                     held.append((strings, ids[first + o], tags[first + o], w - b, before, after))
                     size += len(w)
                     if size >= FLUSH_SUFFIXES:
-                        yield send(held)
+                        yield send(held, TaskContext.get().partitionId())
                         held, size = [], 0
         if size:
-            yield send(held)
+            yield send(held, TaskContext.get().partitionId())
 
-    return docs.mapInArrow(make, "range int, lcp binary, rest binary, doc binary, tag binary, at binary, before binary, after binary")
+    return docs.mapInArrow(tidied(make), "range int, lcp binary, rest binary, doc binary, tag binary, at binary, before binary, after binary")
 
 
 def covered(lcp: np.ndarray, strings: np.ndarray, doc: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -391,15 +410,11 @@ def _covered_spans(runs: DataFrame, ranges: int) -> DataFrame:
         row, d0 = np.nonzero(edge == 1)
         _, d1 = np.nonzero(edge == -1)
         begin, end = where[row].astype(np.int64) - (d1 - 1), where[row].astype(np.int64) - d0 + LENGTH
-        order = np.lexsort((begin, tag[row], doc[row]))
-        d, t, begin, end = doc[row][order], tag[row][order], begin[order], end[order]
-        if not len(d):
-            return
-        first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]))))
-        for s in range(0, len(first), 4096):
-            f = first[s : s + 4096]
-            e = np.append(f[1:], first[s + 4096] if s + 4096 < len(first) else len(d))
-            yield _batch_of(kinds, [(int(d[a]), int(t[a]), *_united(begin[a:z], end[a:z])) for a, z in zip(f, e, strict=True)])
+        yield from told(_by_doc(doc[row], tag[row], begin, end))
+
+    def told(found):
+        for s in range(0, len(found), 4096):
+            yield _batch_of(kinds, found[s : s + 4096])
 
     def merge(batches):
         own: dict[int, list] = {}
@@ -407,9 +422,23 @@ def _covered_spans(runs: DataFrame, ranges: int) -> DataFrame:
             for part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own.setdefault(part, []).append(row)
         for part in sorted(own):
-            yield from spans(own.pop(part))
+            if part >= 0:
+                yield from spans(own.pop(part))
+            else:
+                for _, _, doc, tag, starts, ends, count, *_ in own.pop(part):
+                    cut = np.concatenate(([0], np.cumsum(_unpack(count, "<i8"))))
+                    begin, end = _unpack(starts, "<i8"), _unpack(ends, "<i8")
+                    yield from told([(int(d), int(t), begin[a:z], end[a:z]) for d, t, a, z in zip(_unpack(doc, "<i8"), _unpack(tag, "<i8"), cut, cut[1:], strict=False)])
+
+    return runs.repartition(ranges, "range").mapInArrow(tidied(merge), "doc_id long, tag int, starts array<long>, ends array<long>")
+
 
-    return runs.repartition(ranges, "range").mapInArrow(merge, "doc_id long, tag int, starts array<long>, ends array<long>")
+def _by_doc(doc: np.ndarray, tag: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple]:
+    """(doc, tag, starts, ends): the spans of each document, united."""
+    order = np.lexsort((begin, tag, doc))
+    d, t, begin, end = doc[order], tag[order], begin[order], end[order]
+    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])))) if len(d) else []
+    return [(int(d[a]), int(t[a]), *_united(begin[a:z], end[a:z])) for a, z in zip(first, np.append(first[1:], len(d)).astype(int), strict=True)] if len(d) else []
 
 
 def _united(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -428,7 +457,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     # a tag of the text keeps rows apart that share an id
     tagged = docs.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
     digests, digests_path = stash(tagged.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("sha")), "digests")
-    least = digests.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    least, least_path = stash(digests.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1"), "least")
+    if least.count() <= BROADCAST_ROWS:
+        least = F.broadcast(least)
     copies, copies_path = stash(digests.join(least, "sha").filter("doc_id > least").select("doc_id", "tag").distinct(), "copies")
     small = copies.count() <= BROADCAST_ROWS
     own = tagged.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).join(F.broadcast(copies) if small else copies, ["doc_id", "tag"], "left_anti")
@@ -439,7 +470,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     by_doc = grams.filter("tag >= 0").groupBy("doc_id", "tag").agg(F.collect_list("grams").alias("grams"))
     runs = _suffix_runs(own.join(by_doc, ["doc_id", "tag"]).select("doc_id", "tag", "text", "grams"), splitters)
     found, found_path = stash(_covered_spans(runs, parts), "spans")
-    discard(spark, grams_path, digests_path)
+    discard(spark, grams_path, digests_path, least_path)
 
     by_doc = found.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     whole = copies.select("doc_id", "tag", F.lit(None).cast("array<long>").alias("starts"), F.lit(None).cast("array<long>").alias("ends"))
@@ -470,7 +501,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "spans", "kept"])
 
     shape = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    changed = hit.select("doc_id", "text", "starts", "ends").mapInArrow(cut, shape)
+    changed = hit.select("doc_id", "text", "starts", "ends").mapInArrow(tidied(cut), shape)
     same = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.col("text").cast("binary").alias("kept"))
     return changed.unionByName(same)
 

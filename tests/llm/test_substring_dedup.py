@@ -98,3 +98,14 @@ def test_loser_tree(runs, monkeypatch):
     assert lcp[0] == 0 and all(real(a, b, 0) == h for a, b, h in zip(got, got[1:], lcp[1:], strict=False))
     if runs > 2:
         assert sum(v for k, v in known.items() if k) > 0
+
+
+def test_anchors_of_very_long_texts(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (900, 10, 2300, 60)]
+    data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+    want = substring_dedup.anchors(data, ends)
+    kept = substring_dedup._POSITION
+    monkeypatch.setattr(substring_dedup, "_POSITION", np.uint64(511))
+    got = substring_dedup.anchors(data, ends)
+    assert kept > 511 and len(want[0]) and {*want[0]} == {*got[0]}
