@@ -31,7 +31,6 @@ from math import log
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import prepare, read_table, tidied
 
