@@ -4,10 +4,12 @@ Equal vectors are one node that knows how many it stands for. Centroids are
 fitted on a bounded sample; every node goes to its nearest ``OVERLAP`` cluster
 shards. Each shard builds a graph: near neighbours, robust-pruned to a bounded
 degree. The shards' adjacency lists are united by node, and every node searches
-its shards' part of the united graph: greedily from the medoid, then on
-through all that lies within the range. Found pairs are verified in double
-precision; a sample of nodes is searched by brute force over all vectors to
-audit recall, and below ``MIN_RECALL`` the overlap and the beam are doubled.
+its shards' part of the united graph: each connected part greedily from its
+medoid and from the node itself, then on through all that lies within the
+range. Found pairs are verified in double precision; a sample of nodes is
+searched by brute force over all vectors to audit recall. Below ``MIN_RECALL``
+the overlap and the beam are doubled, and once that costs as much, all pairs
+are compared.
 
 A shard over ``MAX_SHARD`` nodes is dealt into parts of bounded size; every
 two parts build and search a graph together, so that none of its pairs is lost.
@@ -97,57 +99,94 @@ def robust_prune(x: np.ndarray) -> list[np.ndarray]:
     return [np.fromiter(r, np.int64, len(r)) for r in out]
 
 
-def range_search(x: np.ndarray, adjacency: np.ndarray, start: int, reach: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every row as a query: greedy search from ``start`` with at least
-    ``beam`` nodes expanded, then on while the best unexpanded one lies within
-    ``reach``. adjacency: (n, degree), short rows filled with the node itself."""
-    n = len(x)
-    found_q, found_x = [], []
-    for at in range(0, n, QUERIES):
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest position of each position's component."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
+def _mutual(n: int, q: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in both directions: a link found from one end holds for both."""
+    q, o = np.concatenate((q, o)), np.concatenate((o, q))
+    key = np.unique(q[q != o] * n + o[q != o])
+    return key // n, key % n
+
+
+def all_pairs(x: np.ndarray, others: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows and which of ``others`` (positions) lie within ``reach``."""
+    hits = [np.nonzero(x[at : at + 1024] @ x[others].T >= reach) for at in range(0, len(x), 1024)]
+    return np.concatenate([a + 1024 * i for i, (a, _) in enumerate(hits)]), others[np.concatenate([b for _, b in hits])]
+
+
+def _walk(x: np.ndarray, part: np.ndarray, adjacency: np.ndarray, reach: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every row of x as a query, what it finds in ``part`` (positions, with
+    an adjacency of their own): best first from the part's medoid, and from the
+    query itself where it lies there, through all within ``reach`` and ``beam``
+    nodes beyond it."""
+    inside = x[part]
+    n = len(part)
+    own = np.full(len(x), -1)
+    own[part] = np.arange(n)
+    start = int((inside @ inside.mean(axis=0)).argmax())
+    found_q, found_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(x), QUERIES):
         q = x[at : at + QUERIES]
         m = len(q)
         sims = np.full((m, n), -2, "f4")
         open_ = np.full((m, n), -2, "f4")  # sims of seen nodes that are not expanded yet
-        rows = np.arange(m)
-        sims[:, start] = open_[:, start] = q @ x[start]
-        live, steps = rows, 0
+        live = np.arange(m)
+        sims[:, start] = open_[:, start] = q @ inside[start]
+        self_ = own[at : at + QUERIES]
+        here = np.flatnonzero(self_ >= 0)
+        sims[here, self_[here]] = open_[here, self_[here]] = 1
+        beyond = np.zeros(m, np.int64)
         while len(live):
             best = open_[live].argmax(axis=1)
             value = open_[live, best]
-            go = (value > -2) & ((value >= reach) | (steps < beam))
-            live, best = live[go], best[go]
+            go = (value > -2) & ((value >= reach) | (beyond[live] < beam))
+            live, best, value = live[go], best[go], value[go]
             if not len(live):
                 break
+            beyond[live] += value < reach
             open_[live, best] = -2
             near = adjacency[best]
             fresh = sims[live[:, None], near] <= -2
-            s = np.einsum("qkd,qd->qk", x[near], q[live])
+            s = np.einsum("qkd,qd->qk", inside[near], q[live])
             r, c = np.nonzero(fresh)
             sims[live[r], near[r, c]] = s[r, c]
             open_[live[r], near[r, c]] = s[r, c]
-            steps += 1
         a, b = np.nonzero(sims >= reach)
         found_q.append(a + at)
-        found_x.append(b)
-    q, o = np.concatenate(found_q), np.concatenate(found_x)
-    q, o = np.concatenate((q, o)), np.concatenate((o, q))  # a link found from one end holds for both
-    key = np.unique(q[q != o] * n + o[q != o])
-    return key // n, key % n
-
-
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest position of each position's component."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    return root
+        found_x.append(part[b])
+    return np.concatenate(found_q), np.concatenate(found_x)
+
+
+def range_search(x: np.ndarray, adjacency: np.ndarray, reach: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every row as a query, a search of each connected part of the graph:
+    near copies can be all of each other's nearest, and no edge then leads out of
+    their group. Parts no larger than what a search looks at are compared whole.
+    adjacency: (n, degree), short rows filled with the node itself."""
+    n, width = adjacency.shape
+    root = _roots(n, np.repeat(np.arange(n), width), adjacency.ravel())
+    name, size = np.unique(root, return_counts=True)
+    small = size <= beam * DEGREE
+    q, o = all_pairs(x, np.flatnonzero(np.isin(root, name[small])), reach)
+    found = [(q, o)]
+    local = np.zeros(n, np.int64)
+    for r in name[~small]:
+        part = np.flatnonzero(root == r)
+        local[part] = np.arange(len(part))
+        found.append(_walk(x, part, local[adjacency[part]], reach, beam))
+    return _mutual(n, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
 
 
 def _exact(vectors: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,8 +195,9 @@ def _exact(vectors: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([(u[a[i : i + 65536]] * u[b[i : i + 65536]]).sum(axis=1) >= MIN_COSINE for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
 
 
-def _links(nodes: DataFrame, kmeans: np.ndarray, overlap: int, beam: int) -> tuple[DataFrame, list[str]]:
-    """(node, near: nodes linked, roots: its shards' component names), a row for each node and shard."""
+def _links(nodes: DataFrame, kmeans: np.ndarray, overlap: int, beam: int | None) -> tuple[DataFrame, list[str]]:
+    """(node, near: nodes linked, roots: its shards' component names), a row for each node and shard.
+    Without a beam, all pairs of a shard are compared."""
     spark = nodes.sparkSession
     shared = spark.sparkContext.broadcast(kmeans)  # MAX_CENTROIDS at most
 
@@ -184,21 +224,26 @@ def _links(nodes: DataFrame, kmeans: np.ndarray, overlap: int, beam: int) -> tup
         return pd.DataFrame({"node": node, "edges": [node[a] for a in adj]})
 
     keys = ["shard", "left", "right"]
-    edges = own.groupBy(*keys).applyInPandas(build, "node long, edges array<long>")
-    united = edges.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
-    ready = own.join(united, "node")
+    if beam is None:
+        ready = own
+    else:
+        edges = own.groupBy(*keys).applyInPandas(build, "node long, edges array<long>")
+        united = edges.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))
+        ready = own.join(united, "node")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node").reset_index(drop=True)
         node, v = pdf["node"].to_numpy(), np.stack(pdf["v"])
         x = _unit(v).astype("f4")
-        width = max(1, max(map(len, pdf["edges"])))
-        adj = np.repeat(np.arange(len(node))[:, None], width, axis=1)
-        for i, e in enumerate(pdf["edges"]):
-            local = np.searchsorted(node, np.asarray(e)[np.isin(e, node)])
-            adj[i, : len(local)] = local
-        mean = x.mean(axis=0)
-        a, b = range_search(x, adj, int((x @ mean).argmax()), MIN_COSINE - 1e-5, beam)
+        if beam is None:
+            a, b = _mutual(len(node), *all_pairs(x, np.arange(len(node)), MIN_COSINE - 1e-5))
+        else:
+            width = max(1, max(map(len, pdf["edges"])))
+            adj = np.repeat(np.arange(len(node))[:, None], width, axis=1)
+            for i, e in enumerate(pdf["edges"]):
+                local = np.searchsorted(node, np.asarray(e)[np.isin(e, node)])
+                adj[i, : len(local)] = local
+            a, b = range_search(x, adj, MIN_COSINE - 1e-5, beam)
         sure = _exact(v, a, b)
         a, b = a[sure], b[sure]
         root = _roots(len(node), a, b)
@@ -256,10 +301,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         while True:
             found, tables = _links(own, kmeans, overlap, beam)
             seen = audit(own, found)
-            if seen >= MIN_RECALL or overlap >= len(kmeans):
+            if seen >= MIN_RECALL:
                 break
             discard(spark, *tables)
-            overlap, beam = min(2 * overlap, len(kmeans)), 2 * beam
+            if beam is None:
+                raise RuntimeError(f"recall {seen} after all pairs were compared")
+            if overlap * overlap >= len(kmeans):  # all pairs cost no more than wider shards
+                kmeans, overlap, beam = kmeans[:1], 1, None
+            else:
+                overlap, beam = 2 * overlap, 2 * beam
         recall, paths = min(recall, seen), paths + tables
         near = found if near is None else near.unionByName(found)
     if near is None:

@@ -77,3 +77,42 @@ def test_pruned_degree():
     x = vector_dedup._unit(np.random.default_rng(0).normal(size=(400, 8))).astype("f4")
     adj = vector_dedup.robust_prune(x)
     assert max(map(len, adj)) <= 2 * vector_dedup.DEGREE and min(map(len, adj)) >= 1
+
+
+def crowds(spark):
+    """Groups of more distinct near copies than a node has neighbours."""
+    rng = np.random.default_rng(9)
+    rows = [base + rng.normal(size=64) * 0.2 for base in rng.normal(size=(6, 64)) for _ in range(100)]
+    return spark.createDataFrame([(i, [float(c) for c in v], 1, "x") for i, v in enumerate(rows)], SCHEMA)
+
+
+@pytest.mark.parametrize("full", [vector_dedup.DEGREE, 1])
+def test_groups_of_near_copies(spark, full, monkeypatch):
+    """No edge leads from group to group: parts compared whole, and parts searched."""
+    df = crowds(spark)
+    x = vector_dedup._unit(np.array([r.embedding for r in df.collect()]))
+    n = (x @ x.T >= 0.9).sum(1) - 1
+    assert n.min() > vector_dedup.NEAR
+    monkeypatch.setattr(vector_dedup, "MIN_RECALL", 0)  # the graph alone
+    adj = vector_dedup.robust_prune(x.astype("f4"))
+    wide = np.repeat(np.arange(len(x))[:, None], max(map(len, adj)), axis=1)
+    for i, a in enumerate(adj):
+        wide[i, : len(a)] = a
+    monkeypatch.setattr(vector_dedup, "DEGREE", full)
+    q, _ = vector_dedup.range_search(x.astype("f4"), wide, 0.9 - 1e-5, vector_dedup.BEAM)
+    assert len(q) >= 0.98 * n.sum()
+    monkeypatch.undo()
+    got = vector_dedup.near_duplicates(df).collect()
+    assert sum(r.n_links for r in got) >= 0.98 * n.sum() and all(r.n_links <= n[r.vec_id] for r in got)
+
+
+def test_all_pairs_where_the_graph_fails(spark, monkeypatch):
+    """Below the least recall, all pairs are compared."""
+    monkeypatch.setattr(vector_dedup, "range_search", lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(vector_dedup, "MAX_SHARD", 250)
+    monkeypatch.setattr(vector_dedup, "SHARD", 150)
+    df = crowds(spark)
+    x = vector_dedup._unit(np.array([r.embedding for r in df.collect()]))
+    n = (x @ x.T >= 0.9).sum(1) - 1
+    out = vector_dedup.near_duplicates(df).collect()
+    assert {r.vec_id: r.n_links for r in out} == {i: int(c) for i, c in enumerate(n)} and out[0].recall == 1
