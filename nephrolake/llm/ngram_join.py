@@ -374,8 +374,11 @@ def _named(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 def _under_tops(named: DataFrame, turn: int) -> DataFrame:
     """(top, cls): each element's classes under up to TOPS of them, chosen by
-    hashes of this turn, where the two are not in one component yet."""
-    tops = [F.min(F.struct(F.xxhash64("cls", F.lit(turn * TOPS + k)).alias("h"), F.col("cls").alias("top"), F.col("comp").alias("top_comp"))).alias(f"t{k}") for k in range(TOPS)]
+    hashes of this turn, where the two are not in one component yet. The first
+    two tops are the ends of one order, so they differ, and all pairs of an
+    element with TOPS classes are compared."""
+    order = lambda k: F.struct(F.xxhash64("cls", F.lit(turn * TOPS + k)).alias("h"), F.col("cls").alias("top"), F.col("comp").alias("top_comp"))
+    tops = [(F.max(order(0)) if k == 1 else F.min(order(k))).alias(f"t{k}") for k in range(TOPS)]
     chosen = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *tops).filter(F.col("lo") != F.col("hi"))
     chosen = chosen.select("token", F.array_distinct(F.array(*(F.struct(f"t{k}.top", f"t{k}.top_comp") for k in range(TOPS)))).alias("tops"))
     under = named.join(chosen, "token").select("cls", "comp", F.inline("tops")).filter(F.col("comp") != F.col("top_comp"))

@@ -97,3 +97,16 @@ def test_without_broadcast(spark, monkeypatch):
     want = canon(ngram_join.join_components(docs).select("doc_id", "component_id").collect())
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", -1)
     assert canon(ngram_join.join_components(docs).select("doc_id", "component_id").collect()) == want
+
+
+def test_trios(spark):
+    """Two near copies whose shared elements lie in a longer document that links with neither."""
+    rng, out = random.Random(8), []
+    words = lambda n: ["w%d" % rng.randrange(10**9) for _ in range(n)]
+    for _ in range(400):
+        common = words(94)
+        for more in (words(110), words(10), words(10)):
+            out.append((len(out), " ".join(common + more)))
+    out += [(len(out) + i, " ".join(words(8))) for i in range(9000)]  # so many classes that turns end after the first
+    got = ngram_join.join_components(spark.createDataFrame(out, "doc_id long, text string")).collect()
+    assert sum(r.component_id == r.doc_id - 1 for r in got if r.doc_id < 1200 and r.doc_id % 3 == 2) == 400
