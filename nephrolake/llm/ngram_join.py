@@ -11,19 +11,20 @@ expanded.
    Where at least 0.6 of a set is not frequent, the first 64 of that part
    suffice: a link fails to meet there with a chance below 0.56^64 (1e-16),
    far under that of a 64-bit collision.
-2. *First traversal.* Of the classes that share an element a few stand for it
-   (chosen by hash, aggregated before the shuffle, so no group of copies meets
-   in one task). Under each of these tops its other classes form signature
-   trees: leaves of a few sets, nodes with the OR of their token bitmaps and
-   their size ranges. A dual traversal of the top's own tree with these prunes
-   pairs of nodes by the largest overlap they could have. What remains is
-   verified exactly. In a group of near copies nearly all link with a top, so
-   further turns, with other tops and only for what is in different components
-   so far, leave little, in place of all pairs of the group.
-3. *Second traversal.* Elements whose classes are still not in one component
-   deal out the rest: blocks of bounded size, each pair of blocks a dual
-   traversal that also skips what is connected already. Verified likewise.
-   All links that can still join components are found here.
+2. *In groups.* Under each of ``ORDERS`` orders a class falls into the group of
+   its first element, so two classes with Jaccard t meet in one order with that
+   chance. A group's sets form signature trees: leaves of a few sets, nodes with
+   the OR of their token bitmaps and their size ranges. A dual traversal prunes
+   pairs of nodes by the largest overlap they could have; what remains is
+   verified exactly where it is, and a task sends on one link for each two
+   components it joins, so its rows follow the classes and not their pairs.
+   Groups of over a block are first compared with one block of pivots, then,
+   where components are still apart, in all pairs of blocks but those within
+   the group's largest component.
+3. *By elements.* Elements whose classes are still not in one component deal
+   out the rest in the same way, with bitmaps in place of sets; pairs that met
+   in a group, or are connected already, are skipped. What survives is sent to
+   an exact check. All links that can still join components are found here.
 
 Words: runs of ``[^\x20\x09-\x0D]``, A-Z in lower case. With fewer than n
 words the whole sequence is the one shingle; without words the set is empty
@@ -45,13 +46,14 @@ from .components import components
 
 WORDS, PERCENT = 5, 75
 BITMAP_WORDS = 32  # 2048 bits
-LEAF, FANOUT, BLOCK = 8, 8, 256
+LEAF, FANOUT = 8, 8
+#: Classes and shingles of a block, at most on average.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: Frequent shingles are looked for in about so many documents, so many are kept.
 SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 20_000, 4, 1 << 16
 COLD_SHARE, COLD_PREFIX = 0.6, 64
-#: Classes of an element that the others are compared with in a turn, turns at
-#: most, and pairs a class that the last traversal may get before those turns end.
-TOPS, TURNS, ENOUGH = 3, 5, 4
+#: Orders whose first elements group the classes; rows that a task compares first.
+ORDERS, FIRST_ROWS = 4, 8
 #: Rows of (class, row) that are broadcast, at most.
 BROADCAST_ROWS = 500_000
 
@@ -128,6 +130,16 @@ def prefix_of(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, perc
     return np.concatenate((cold, late))[:need]
 
 
+def firsts_of(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first element under each of ORDERS orders, of those not frequent if there are any."""
+    if len(frequent):
+        cold = shingles[frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] != shingles]
+        shingles = cold if len(cold) else shingles
+    if not len(shingles):
+        return np.zeros(ORDERS, _U)
+    return np.array([shingles[_mix(shingles ^ _U((k * 0x9E3779B97F4A7C15) & (2**64 - 1))).argmin()] for k in range(1, ORDERS + 1)], _U)
+
+
 def bitmap_of(shingles: np.ndarray) -> np.ndarray:
     bits = np.zeros(BITMAP_WORDS * 64, bool)
     bits[(_mix(shingles) & _U(BITMAP_WORDS * 64 - 1)).astype(np.int64)] = True
@@ -208,7 +220,7 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(rid, doc_id, cls, size, bits, prefix) for each row; cls: the set's digest."""
+    """(rid, doc_id, cls, size, bits, prefix, firsts) for each row; cls: the set's digest."""
     spark = docs.sparkSession
     by_value = np.argsort(frequent)
     shared = spark.sparkContext.broadcast((frequent[by_value], by_value))  # MAX_FREQUENT at most
@@ -221,11 +233,11 @@ def _sketch(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> Data
             sets = shingle_sets(batch.column(2).to_pylist(), n)
             cls = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], _U).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cls), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap_of(s).tobytes() for s in sets], pa.binary()), pa.array([prefix_of(s, hot, rank, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["rid", "doc_id", "cls", "size", "bits", "prefix"])
+                [batch.column(0), batch.column(1), pa.array(cls), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap_of(s).tobytes() for s in sets], pa.binary()), pa.array([prefix_of(s, hot, rank, percent).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([firsts_of(s, hot).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["rid", "doc_id", "cls", "size", "bits", "prefix", "firsts"])
 
     rows = docs.select(row_key().alias("rid"), "doc_id", "text")
-    return rows.mapInArrow(tidied(sketch), f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, size long, bits binary, prefix array<long>")
+    return rows.mapInArrow(tidied(sketch), f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, size long, bits binary, prefix array<long>, firsts array<long>")
 
 
 def _bits(column) -> np.ndarray:
@@ -244,61 +256,133 @@ def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
 
 def _whole_groups(batches, n_keys: int):
     """Tables that end where a group (the first columns) ends."""
-    held = None
+    held: list[pa.RecordBatch] = []
+    key = lambda b, i: tuple(b.column(k)[i].as_py() for k in range(n_keys))
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        keys = [held.column(k).to_numpy() for k in range(n_keys)]
-        same = np.logical_and.reduce([k == k[-1] for k in keys]) if len(held) else np.zeros(0, bool)
-        cut = len(held) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if not len(batch):
+            continue
+        if held and key(held[-1], len(held[-1]) - 1) != key(batch, 0):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        cut = _runs(*(batch.column(k).to_numpy() for k in range(n_keys)))[-1][0]
         if cut:
-            yield held.slice(0, cut).combine_chunks()
-            held = held.slice(cut)
-    if held is not None and len(held):
-        yield held.combine_chunks()
-
-
-def _first_traversal(pairs: DataFrame, percent: int) -> DataFrame:
-    """pairs: top, block, top_size, top_bits, cls, size, bits."""
-
-    def traverse(batches):
-        for t in _whole_groups(batches, 2):
-            top, block, top_size, cls, size = (t.column(c).to_numpy() for c in ("top", "block", "top_size", "cls", "size"))
-            top_bits, bits = _bits(t.column("top_bits")), _bits(t.column("bits"))
-            out_a, out_b = [], []
-            for a, z in _runs(top, block):
-                one = SignatureTree(top_size[a : a + 1], top_bits[a : a + 1], np.zeros(1, np.int64))
-                tree = SignatureTree(size[a:z], bits[a:z], np.ones(z - a, np.int64))
-                _, hit = dual_traverse(one, tree, percent)
-                out_a.append(np.full(len(hit), top[a]))
-                out_b.append(cls[a:z][hit])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-
-    return pairs.repartition("top", "block").sortWithinPartitions("top", "block").mapInArrow(tidied(traverse), "a long, b long")
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def spanning_links(sets: list[np.ndarray], comp: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Of the links between positions ``a`` and ``b`` of ``sets`` (``b`` is ``a``:
+    among themselves) as many as join all the components that links join. The
+    first rows go first: in a group of near copies they join nearly all."""
+    size = np.array([len(s) for s in sets])
+    names, own = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate(([0], np.cumsum(size)))
+    bits = np.stack([bitmap_of(s) for s in sets])
+    comp, mark, out = comp.copy(), np.zeros(len(names), np.int32), []
+    at, width = 0, FIRST_ROWS
+    while at < len(a):
+        part, with_ = a[at : at + width], a[at:] if b is a else b
+        at, width = at + width, 4 * width
+        i, j = dual_traverse(SignatureTree(size[part], bits[part], comp[part]), SignatureTree(size[with_], bits[with_], comp[with_]), percent)
+        i, j = part[i], with_[j]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for x, z in _runs(i) if len(i) else ():
+            one, others = i[x], j[x:z]
+            others = others[comp[others] != comp[one]]  # components grow as links are found
+            if not len(others):
+                continue
+            n = size[others]
+            first = np.cumsum(n) - n
+            mark[own[start[one] : start[one + 1]]] = 1
+            both = np.add.reduceat(mark[own[np.repeat(start[others] - first, n) + np.arange(n.sum())]], first)
+            mark[own[start[one] : start[one + 1]]] = 0
+            linked = others[100 * both >= percent * (size[one] + n - both)]
+            if len(linked):
+                joined, which = np.unique(comp[linked], return_index=True)
+                out += [(int(one), int(y)) for y in linked[which]]
+                comp[np.isin(comp, joined)] = comp[one]
+    return out
 
 
-def _second_traversal(rows: DataFrame, percent: int) -> DataFrame:
-    """rows: token, left, right, side, cls, size, bits, comp; side 0 and 1 are
-    the two blocks (side 0 alone: a block with itself)."""
+def _dealt(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` (keys, cls, comp, ...) of groups with several components, once
+    for each pair of blocks (left, right) that they are compared in; side 1 is
+    the right block of two. Blocks of the group's largest component come last
+    and are not compared with each other."""
+    per = rows.groupBy(*keys, "comp").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    groups = per.groupBy(*keys).agg(F.max(F.struct("n", "w", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps")).filter("comps > 1")
+    blocks = lambda n, w: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(w / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
+    groups = groups.select(*keys, F.col("main.comp").alias("main"), blocks(F.col("main.n"), F.col("main.w")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("rests"))
+    own = rows.join(groups, keys)
+    hashed = lambda n: F.pmod(F.xxhash64("cls", *keys), F.col(n)).cast("int")
+    in_main = F.col("comp") == F.col("main")
+    own = own.withColumn("own", F.when(in_main, F.col("rests") + hashed("mains")).otherwise(hashed("rests")))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_main, F.col("rests") - 1).otherwise(F.col("rests") + F.col("mains") - 1))))
+    kept = [c for c in rows.columns if c not in keys]
+    return own.select(*keys, F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).cast("int").alias("side"), *kept)
+
+
+def _under_pivots(rows: DataFrame) -> DataFrame:
+    """``rows`` (turn, g, cls, comp, size) of groups with several classes: one
+    block, or a block of pivots against each of the others."""
+    groups = rows.groupBy("turn", "g").agg(F.count("*").alias("n"), F.sum("size").alias("w")).filter("n > 1")
+    groups = groups.select("turn", "g", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = rows.join(groups, ["turn", "g"]).withColumn("own", F.pmod(F.xxhash64("cls", "g"), F.col("blocks")).cast("int"))
+    own = own.withColumn("right", F.explode(F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    return own.select("turn", "g", F.lit(0).alias("left"), "right", (F.col("own") > 0).cast("int").alias("side"), "cls", "comp", "size")
+
+
+def _linked_in_groups(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join components, verified where a group's blocks meet."""
+    keys = ("turn", "g", "left", "right")
+
+    def compare(batches):
+        for t in _whole_groups(batches, len(keys)):
+            left, right, side, cls, comp = (t.column(c).to_numpy() for c in ("left", "right", "side", "cls", "comp"))
+            found = []
+            for a, z in _runs(*(t.column(c).to_numpy() for c in keys)):
+                one, two = np.flatnonzero(side[a:z] == 0), np.flatnonzero(side[a:z] == 1)
+                if left[a] == right[a]:
+                    one = two = np.arange(z - a)
+                if len(one) and len(two):
+                    shingles = [np.frombuffer(x, _U) for x in t.column("view").slice(a, z - a).to_pylist()]
+                    found += [(cls[a + i], cls[a + j]) for i, j in spanning_links(shingles, comp[a:z], one, two, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    slim, slim_path = stash(dealt.select(*keys, "side", "cls", "comp"), "dealt")
+    named = F.broadcast(slim) if slim.count() <= BROADCAST_ROWS else slim  # then no set is shuffled twice
+    rows = sets.join(named, "cls").select(*keys, "side", "cls", "comp", "view")
+    out, path = stash(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(compare), "u long, v long").distinct(), "links")
+    discard(dealt.sparkSession, slim_path)
+    return out, path
+
+
+def _element_candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """rows: token, left, right, side, cls, comp, size, bits, firsts; pairs
+    (a, b) that survive the traversal, met in no group and are in two components."""
+    keys = ("token", "left", "right")
 
     def traverse(batches):
-        for t in _whole_groups(batches, 3):
-            token, left, right, side, cls, size, comp = (t.column(c).to_numpy() for c in ("token", "left", "right", "side", "cls", "size", "comp"))
+        for t in _whole_groups(batches, len(keys)):
+            token, left, right, side, cls, size, comp = (t.column(c).to_numpy() for c in (*keys, "side", "cls", "size", "comp"))
             bits = _bits(t.column("bits"))
-            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            firsts = t.column("firsts").combine_chunks().flatten().to_numpy().reshape(-1, ORDERS)
+            out = [np.zeros((0, 2), np.int64)]
             for a, z in _runs(token, left, right):
-                trees = [(cls[a:z][m], SignatureTree(size[a:z][m], bits[a:z][m], comp[a:z][m])) for k in (0, 1) if (m := side[a:z] == k).any()]
-                if left[a] != right[a] and len(trees) < 2:
-                    continue
-                (ca, ta), (cb, tb) = trees[0], trees[-1]
-                i, j = dual_traverse(ta, tb, percent)
-                x, y = np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])
-                pair = np.unique(np.stack((x, y), axis=1)[x != y], axis=0)
-                out_a.append(pair[:, 0])
-                out_b.append(pair[:, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                at = [a + np.flatnonzero(side[a:z] == k) for k in (0, 1)] if left[a] < right[a] else [np.arange(a, z)] * 2
+                if len(at[0]) and len(at[1]):
+                    one, two = (SignatureTree(size[k], bits[k], comp[k]) for k in at)
+                    i, j = dual_traverse(one, two, percent)
+                    i, j = at[0][i], at[1][j]
+                    new = (cls[i] != cls[j]) & (firsts[i] != firsts[j]).all(axis=1)
+                    out.append(np.unique(np.sort(np.stack((cls[i[new]], cls[j[new]]), axis=1), axis=1), axis=0))
+            pair = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    keys = ("token", "left", "right")
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(traverse), "a long, b long").distinct()
 
 
@@ -318,9 +402,8 @@ def overlap_bound(x: np.ndarray, y: np.ndarray, size_x: int, size_y: int) -> int
     return int(max(same, np.isin(y[:j], x[:i]).sum())) + min(size_x - i, size_y - j) + 1
 
 
-def _views(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view) -> DataFrame:
-    """(a, b, size_a, view_a, size_b, view_b): what ``view`` makes of both sets of each pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+def _seen(wanted: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view) -> DataFrame:
+    """(cls, size, view): what ``view`` makes of the set of each wanted class."""
     named = reps.select("cls", "rid").join(wanted, "cls")
     if wanted.count() <= BROADCAST_ROWS:
         named = F.broadcast(named)  # then only the wanted texts are read on, and none is shuffled
@@ -331,8 +414,13 @@ def _views(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([view(s).tobytes() for s in sets], pa.binary())], names=["cls", "size", "view"])
 
     seen = docs.select(row_key().alias("rid"), "text").join(named, "rid").select("cls", "text").mapInArrow(tidied(look), "cls long, size long, view binary")
-    seen = seen.groupBy("cls").agg(F.first(F.struct("size", "view")).alias("r"))  # a repeated row gives its view again
-    side = lambda k: seen.select(F.col("cls").alias(k), F.col("r.size").alias(f"size_{k}"), F.col("r.view").alias(f"view_{k}"))
+    return seen.groupBy("cls").agg(F.first(F.struct("size", "view")).alias("r")).select("cls", "r.size", "r.view")  # a repeated row gives its view again
+
+
+def _views(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view) -> DataFrame:
+    """(a, b, size_a, view_a, size_b, view_b): what ``view`` makes of both sets of each pair."""
+    seen = _seen(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), reps, docs, n, view)
+    side = lambda k: seen.select(F.col("cls").alias(k), F.col("size").alias(f"size_{k}"), F.col("view").alias(f"view_{k}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "size_a", "view_a", "size_b", "view_b")
 
 
@@ -365,31 +453,11 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percen
     return edges, links_path
 
 
-def _named(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """(token, cls, size, comp): with the component that each class is in so far."""
+def _named(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``rows`` with the component that each class is in so far."""
     if comp is None:
-        return shared.withColumn("comp", F.col("cls"))
-    return shared.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "size", F.coalesce("root", "cls").alias("comp"))
-
-
-def _under_tops(named: DataFrame, turn: int) -> DataFrame:
-    """(top, cls): each element's classes under up to TOPS of them, chosen by
-    hashes of this turn, where the two are not in one component yet. The first
-    two tops are the ends of one order, so they differ, and all pairs of an
-    element with TOPS classes are compared."""
-    order = lambda k: F.struct(F.xxhash64("cls", F.lit(turn * TOPS + k)).alias("h"), F.col("cls").alias("top"), F.col("comp").alias("top_comp"))
-    tops = [(F.max(order(0)) if k == 1 else F.min(order(k))).alias(f"t{k}") for k in range(TOPS)]
-    chosen = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *tops).filter(F.col("lo") != F.col("hi"))
-    chosen = chosen.select("token", F.array_distinct(F.array(*(F.struct(f"t{k}.top", f"t{k}.top_comp") for k in range(TOPS)))).alias("tops"))
-    under = named.join(chosen, "token").select("cls", "comp", F.inline("tops")).filter(F.col("comp") != F.col("top_comp"))
-    return under.select(F.least("cls", "top").alias("top"), F.greatest("cls", "top").alias("cls")).distinct()
-
-
-def _left_to_compare(named: DataFrame) -> int:
-    """How many pairs of classes share an element and not a component (pairs
-    that share several elements count for each)."""
-    per = named.groupBy("token", "comp").agg(F.count("*").cast("double").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"))
-    return int(per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.lit(0.0))).first()[0])
+        return rows.withColumn("comp", F.col("cls"))
+    return rows.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
 
 
 def join_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -399,36 +467,30 @@ def join_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     docs = docs.select("doc_id", "text")
     rows, rows_path = stash(_sketch(docs, _frequent(docs, n), n, percent), "sketch")
     live = rows.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
-    classes, classes_path = stash(live.groupBy("cls").agg(F.min(F.struct("rid", "size", "bits")).alias("r"), F.min("doc_id").alias("least")).select("cls", "r.rid", "r.size", "r.bits", "least"), "classes")
-    dealt = live.join(classes.select("cls", "rid"), ["cls", "rid"], "left_semi").select("cls", "size", F.explode("prefix").alias("token"))
-    several = dealt.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter(F.col("lo") != F.col("hi")).select("token")
-    shared, shared_path = stash(dealt.join(several, "token"), "shared")
-
-    links, paths, comp, comp_paths, remain = None, [], None, [], 1 << 62
-    for turn in range(TURNS):
-        named = _named(shared, comp)
-        if turn:
-            before, remain = remain, _left_to_compare(named)
-            if remain <= ENOUGH * max(1, classes.count()) or 2 * remain > before:
-                break  # little is left, or what is left does not link
-        pairs = _under_tops(named, turn).join(classes.select("cls", "size", "bits"), "cls").join(classes.select(F.col("cls").alias("top"), F.col("size").alias("top_size"), F.col("bits").alias("top_bits")), "top")
-        pairs = pairs.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(64)))
-        found, path = _verified(_first_traversal(pairs.select("top", "block", "top_size", "top_bits", "cls", "size", "bits"), percent), classes, docs, n, percent)
-        links, paths = found if links is None else links.unionByName(found), [*paths, path]
-        discard(spark, *comp_paths)
-        comp, comp_paths = components(links)
-
-    # elements whose classes are not all in one component: all that is left to compare
-    named = _named(shared, comp)
-    apart = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter((F.col("lo") != F.col("hi")) & (F.col("n") > TOPS)).select("token", "n")
-    left = named.join(apart, "token").select("token", "cls", "size", "comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    left = left.withColumn("own", F.pmod(F.xxhash64("cls", "token"), F.col("blocks")).cast("int"))
-    both = left.select("token", "cls", "size", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    both = both.select("token", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "size", "comp")
-    both = both.join(classes.select("cls", "bits"), "cls").select("token", "left", "right", "side", "cls", "size", "bits", "comp")
-    found, path = _verified(_second_traversal(both, percent), classes, docs, n, percent)
+    classes, classes_path = stash(live.groupBy("cls").agg(F.min(F.struct("rid", "size", "bits", "firsts")).alias("r"), F.min("doc_id").alias("least")).select("cls", "r.*", "least"), "classes")
+
+    # in groups: first against pivots, then what is still apart
+    keyed = classes.select("cls", "size", F.posexplode("firsts").alias("turn", "g"))
+    several = keyed.groupBy("turn", "g").agg(F.count("*").alias("n"), F.sum("size").alias("w")).filter("n > 1")
+    grouped, grouped_path = stash(keyed.join(several.withColumn("large", (F.col("n") > BLOCK) | (F.col("w") > BLOCK_SHINGLES)).drop("n", "w"), ["turn", "g"]), "grouped")
+    sets, sets_path = stash(_seen(grouped.select("cls").distinct(), classes, docs, n, lambda s: s).drop("size"), "sets")
+    first, first_path = _linked_in_groups(_under_pivots(_named(grouped.filter("turn = 0").drop("large"), None)), sets, percent)
+    comp, comp_paths = components(first)
+    again = _named(grouped.filter("turn > 0 or large").drop("large"), comp)
+    second, second_path = _linked_in_groups(_dealt(again, ["turn", "g"], "size"), sets, percent)
+    links = first.unionByName(second)
+    discard(spark, sets_path, grouped_path, *comp_paths)
+    comp, comp_paths = components(links)
+
+    # by elements whose classes are not all in one component: all that is left to compare
+    elements = _named(live.join(classes.select("cls", "rid"), ["cls", "rid"], "left_semi").select("cls", "prefix"), comp).select("cls", "comp", F.explode("prefix").alias("token"))
+    apart, apart_path = stash(elements.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"), "apart")
+    left, left_path = stash(elements.join(F.broadcast(apart) if apart.count() <= BROADCAST_ROWS else apart, "token").withColumn("one", F.lit(1)), "elements")
+    both = _dealt(left, ["token"], "one").drop("one").join(classes.select("cls", "size", "bits", "firsts"), "cls")
+    both = both.select("token", "left", "right", "side", "cls", "comp", "size", "bits", "firsts")
+    found, path = _verified(_element_candidates(both, percent), classes, docs, n, percent)
     roots, roots_paths = components(links.unionByName(found))
-    discard(spark, shared_path, path, *paths, *comp_paths)
+    discard(spark, apart_path, left_path, path, first_path, second_path, *comp_paths)
 
     least = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
     named, named_path = stash(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id"), "named")

@@ -62,6 +62,7 @@ def chained(spark):
 def test_against_brute_force(spark, table, frequent, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 2000)
     docs = table(spark)
     got = ngram_join.join_components(docs).select("doc_id", "n_shingles", "component_id").collect()
     assert canon(got) == canon(brute([(r.doc_id, r.text) for r in docs.collect()]))
@@ -99,6 +100,27 @@ def test_without_broadcast(spark, monkeypatch):
     assert canon(ngram_join.join_components(docs).select("doc_id", "component_id").collect()) == want
 
 
+def test_spanning_links():
+    """Links of a task join the same components as all links, in as many rows as that takes."""
+    rng = np.random.default_rng(9)
+    base = [rng.integers(0, 2**63, 150, dtype=np.uint64) for _ in range(6)]
+    sets = [np.unique(np.concatenate((b[rng.random(150) < 0.93], rng.integers(0, 2**63, 8, dtype=np.uint64)))) for b in base for _ in range(30)]
+
+    def parts(pairs, comp):
+        comp = list(comp)
+        for x, y in pairs:
+            comp = [comp[x] if c == comp[y] else c for c in comp]
+        return {frozenset(i for i, c in enumerate(comp) if c == k) for k in comp}
+
+    links = lambda xs, ys: [(x, y) for x in xs for y in ys if x != y and 100 * (o := len(np.intersect1d(sets[x], sets[y]))) >= 75 * (len(sets[x]) + len(sets[y]) - o)]
+    every, half = np.arange(len(sets)), np.arange(0, len(sets), 2)
+    for a, b in ((every, every), (half, half + 1)):
+        for comp in (every, every // 4 * 4):
+            got = ngram_join.spanning_links(sets, comp, a, a if b is a else b)
+            assert set(got) <= set(links(a, b)) and parts(got, comp) == parts(links(a, b), comp)
+            assert len(got) == len(set(comp.tolist())) - len(parts(got, comp))
+
+
 def test_trios(spark):
     """Two near copies whose shared elements lie in a longer document that links with neither."""
     rng, out = random.Random(8), []
