@@ -45,7 +45,7 @@ from .common import discard, prepare, read_table, row_key, stash, tidied
 from .components import components
 
 WORDS, PERCENT = 5, 75
-BITMAP_WORDS = 32  # 2048 bits
+BITMAP_WORDS, BITS_EACH = 32, 4  # 2048 bits in the trees; bits a shingle in the last test of a pair
 LEAF, FANOUT = 8, 8
 #: Classes and shingles of a block, at most on average.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
@@ -60,6 +60,7 @@ BROADCAST_ROWS = 500_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_TURNS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 3, 1 << 64) for k in range(ORDERS)], _U)  # odd factors
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -113,39 +114,65 @@ def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def prefix_of(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def places_of(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Where each shingle is in ``frequent`` (sorted), -1 if it is not there."""
+    if not len(frequent):
+        return np.full(len(shingles), -1)
+    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+    return np.where(frequent[at] == shingles, at, -1)
+
+
+def prefix_of(shingles: np.ndarray, places: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The elements that deal a set out."""
     n = len(shingles)
-    need = n - -(-percent * n // 100) + 1
-    if len(frequent) == 0:
-        return shingles[: min(need, COLD_PREFIX)] if need > 0 else shingles[:0]
-    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-    hot = frequent[at] == shingles
+    need = n - -(-percent * n // 100) + 1 if n else 0
+    hot = places >= 0
     cold = shingles[~hot]
     if len(cold) >= COLD_SHARE * n and len(cold) >= min(need, COLD_PREFIX):
         need = min(need, COLD_PREFIX)
     if len(cold) >= need:
         return cold[:need]
-    late = shingles[hot][np.argsort(rank[at[hot]], kind="stable")]
+    late = shingles[hot][np.argsort(rank[places[hot]], kind="stable")]
     return np.concatenate((cold, late))[:need]
 
 
-def firsts_of(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first element under each of ORDERS orders, of those not frequent if there are any."""
-    if len(frequent):
-        cold = shingles[frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] != shingles]
-        shingles = cold if len(cold) else shingles
+def firsts_of(shingles: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first element under each of ORDERS orders: of those not frequent
+    where they are most of the set, else of all (as in a large group of copies)."""
     if not len(shingles):
         return np.zeros(ORDERS, _U)
-    return np.array([shingles[_mix(shingles ^ _U((k * 0x9E3779B97F4A7C15) & (2**64 - 1))).argmin()] for k in range(1, ORDERS + 1)], _U)
+    cold = shingles[places < 0]
+    pool = cold if len(cold) >= COLD_SHARE * len(shingles) else shingles
+    return pool[(pool * _TURNS[:, None]).argmin(axis=1)]
 
 
-def bitmap_of(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, bool)
-    bits[(_mix(shingles) & _U(BITMAP_WORDS * 64 - 1)).astype(np.int64)] = True
+def bitmap_of(shingles: np.ndarray, bits_each: int = 0) -> np.ndarray:
+    """A bit for each shingle's hash; with ``bits_each`` of them a shingle at
+    least, the length a power of two."""
+    words = max(BITMAP_WORDS, 1 << (len(shingles) * bits_each // 64).bit_length()) if bits_each else BITMAP_WORDS
+    bits = np.zeros(words * 64, bool)
+    bits[(_mix(shingles) & _U(words * 64 - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(_U)
 
 
+def folded(bits: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
+    """A long bitmap (along the last axis) at a shorter length."""
+    return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, words), axis=-2)
+
+
+def fit_by_bitmaps(i: np.ndarray, j: np.ndarray, bits: list[np.ndarray], size: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of positions can still link by their bitmaps at full length."""
+    width = np.array([len(b) for b in bits])
+    ok = np.zeros(len(i), bool)
+    for x, y in {*zip(width[i].tolist(), width[j].tolist(), strict=True)}:
+        here = np.flatnonzero((width[i] == x) & (width[j] == y))
+        for part in np.array_split(here, -(-len(here) * max(x, y) // (1 << 20))):
+            a, b = (folded(np.stack([bits[k] for k in side[part]]), min(x, y)) for side in (i, j))
+            more = [size[side[part]] - np.bitwise_count(v).sum(axis=1) for side, v in ((i, a), (j, b))]
+            ok[part] = np.bitwise_count(a & b).sum(axis=1) + np.minimum(*more) >= need_overlap(size[i[part]], size[j[part]], percent)
+    return ok
+
+
 def need_overlap(a, b, percent: int = PERCENT):
     """The smallest overlap with which sets of these sizes link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -231,19 +258,19 @@ def _sketch(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> Data
         hot, rank = shared.value
         for batch in batches:
             sets = shingle_sets(batch.column(2).to_pylist(), n)
-            cls = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], _U).view(np.int64)
+            size = np.array([len(x) for x in sets])
+            places = np.split(places_of(np.concatenate(sets), hot), np.cumsum(size)[:-1])
+            cls = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], _U).view(np.int64)
+            longs = lambda rows: pa.array([x.view(np.int64) for x in rows], pa.list_(pa.int64()))
+            dealers = [prefix_of(x, p, rank, percent) for x, p in zip(sets, places, strict=True)], [firsts_of(x, p) for x, p in zip(sets, places, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cls), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap_of(s).tobytes() for s in sets], pa.binary()), pa.array([prefix_of(s, hot, rank, percent).view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([firsts_of(s, hot).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array(cls), pa.array(size), pa.array([bitmap_of(x, BITS_EACH).tobytes() for x in sets], pa.binary()), *map(longs, dealers)],
                 names=["rid", "doc_id", "cls", "size", "bits", "prefix", "firsts"])
 
     rows = docs.select(row_key().alias("rid"), "doc_id", "text")
     return rows.mapInArrow(tidied(sketch), f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, size long, bits binary, prefix array<long>, firsts array<long>")
 
 
-def _bits(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), _U).reshape(-1, BITMAP_WORDS)
-
-
 def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of equal keys in rows that are sorted by them."""
     n = len(keys[0])
@@ -369,7 +396,8 @@ def _element_candidates(rows: DataFrame, percent: int) -> DataFrame:
     def traverse(batches):
         for t in _whole_groups(batches, len(keys)):
             token, left, right, side, cls, size, comp = (t.column(c).to_numpy() for c in (*keys, "side", "cls", "size", "comp"))
-            bits = _bits(t.column("bits"))
+            wide = [np.frombuffer(x, _U) for x in t.column("bits").to_pylist()]
+            bits = np.stack([folded(x) for x in wide])
             firsts = t.column("firsts").combine_chunks().flatten().to_numpy().reshape(-1, ORDERS)
             out = [np.zeros((0, 2), np.int64)]
             for a, z in _runs(token, left, right):
@@ -379,29 +407,15 @@ def _element_candidates(rows: DataFrame, percent: int) -> DataFrame:
                     i, j = dual_traverse(one, two, percent)
                     i, j = at[0][i], at[1][j]
                     new = (cls[i] != cls[j]) & (firsts[i] != firsts[j]).all(axis=1)
-                    out.append(np.unique(np.sort(np.stack((cls[i[new]], cls[j[new]]), axis=1), axis=1), axis=0))
+                    i, j = i[new], j[new]
+                    ok = fit_by_bitmaps(i, j, wide, size, percent)
+                    out.append(np.unique(np.sort(np.stack((cls[i[ok]], cls[j[ok]]), axis=1), axis=1), axis=0))
             pair = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(traverse), "a long, b long").distinct()
 
 
-def bound_of(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """The high halves of the first elements by hash, as many as a link may miss and one."""
-    n = len(shingles)
-    return (shingles[: n - -(-percent * n // 100) + 1] >> _U(32)).astype("<u4")
-
-
-def overlap_bound(x: np.ndarray, y: np.ndarray, size_x: int, size_y: int) -> int:
-    """The most that two sets can share, from the first elements of both: what
-    lies up to where the shorter view ends is seen, the rest may be common.
-    Halves of hashes can only seem equal, which raises the bound."""
-    end = min(x[-1], y[-1])
-    i, j = np.searchsorted(x, end, side="right"), np.searchsorted(y, end, side="right")
-    same = np.isin(x[:i], y[:j]).sum()
-    return int(max(same, np.isin(y[:j], x[:i]).sum())) + min(size_x - i, size_y - j) + 1
-
-
 def _seen(wanted: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view) -> DataFrame:
     """(cls, size, view): what ``view`` makes of the set of each wanted class."""
     named = reps.select("cls", "rid").join(wanted, "cls")
@@ -417,39 +431,23 @@ def _seen(wanted: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view) ->
     return seen.groupBy("cls").agg(F.first(F.struct("size", "view")).alias("r")).select("cls", "r.size", "r.view")  # a repeated row gives its view again
 
 
-def _views(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view) -> DataFrame:
-    """(a, b, size_a, view_a, size_b, view_b): what ``view`` makes of both sets of each pair."""
-    seen = _seen(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), reps, docs, n, view)
-    side = lambda k: seen.select(F.col("cls").alias(k), F.col("size").alias(f"size_{k}"), F.col("view").alias(f"view_{k}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "size_a", "view_a", "size_b", "view_b")
-
-
-def _chosen(views: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) for which ``test`` of both views and sizes holds."""
-
-    def choose(batches):
-        for batch in batches:
-            _, _, sa, va, sb, vb = (c.to_pylist() for c in batch.columns)
-            hit = pa.array([test(*x) for x in zip(va, vb, sa, sb, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(hit), batch.column(1).filter(hit)], names=["a", "b"])
-
-    return views.mapInArrow(tidied(choose), "a long, b long")
-
-
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, str]:
-    """The pairs (a, b) of classes that do link, as edges (u, v), and their
-    table: first by a bound from an eighth of the bytes of both sets, then by
-    the whole sets."""
+    """The pairs (a, b) of classes that do link, as edges (u, v), and their table."""
+    spark = pairs.sparkSession
     pairs, path = stash(pairs, "pairs")
-    near, near_path = stash(_chosen(_views(pairs, reps, docs, n, lambda s: bound_of(s, percent)), lambda x, y, a, b: overlap_bound(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), a, b) >= need_overlap(a, b, percent)), "pairs")
-    discard(pairs.sparkSession, path)
+    seen, seen_path = stash(_seen(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), reps, docs, n, lambda s: s), "sets")
+    side = lambda k: seen.select(F.col("cls").alias(k), F.col("view").alias(f"view_{k}"))
 
-    def links(x: bytes, y: bytes, a: int, b: int) -> bool:
-        both = len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True))
-        return 100 * both >= percent * (a + b - both)
-
-    edges, links_path = stash(_chosen(_views(near, reps, docs, n, lambda s: s), links).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    discard(pairs.sparkSession, near_path)
+    def choose(batches):
+        for batch in batches:
+            sets = [[np.frombuffer(v, _U) for v in batch.column(k).to_pylist()] for k in (2, 3)]
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)], int)
+            hit = pa.array(100 * both >= percent * (np.array([len(x) + len(y) for x, y in zip(*sets, strict=True)], int) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(hit) for k in (0, 1)], names=["u", "v"])
+
+    views = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "view_a", "view_b")
+    edges, links_path = stash(views.mapInArrow(tidied(choose), "u long, v long"), "links")
+    discard(spark, path, seen_path)
     return edges, links_path
 
 

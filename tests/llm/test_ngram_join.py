@@ -84,13 +84,23 @@ def test_traversal_loses_nothing():
     assert links <= found and len(found) < len(sets) ** 2 / 4
 
 
-def test_bound_holds():
+def test_bitmaps_bound_links():
+    """At any lengths, bitmaps rule out no pair that links, and most that do not."""
     rng = np.random.default_rng(5)
-    for _ in range(300):
-        pool = rng.integers(0, 2**64, int(rng.integers(2, 200)), dtype=np.uint64)
-        x, y = (np.unique(pool[rng.random(len(pool)) < rng.choice([0.3, 0.9])]) for _ in range(2))
-        if len(x) and len(y):
-            assert ngram_join.overlap_bound(ngram_join.bound_of(x, 75), ngram_join.bound_of(y, 75), len(x), len(y)) >= len(np.intersect1d(x, y))
+    sets = []
+    for n in (3, 90, 700, 3000, 20_000):
+        pool = rng.integers(0, 2**64, n, dtype=np.uint64)
+        sets += [np.unique(pool[rng.random(n) < share]) for share in (0.5, 0.6, 0.8, 0.85, 0.9, 0.95, 1) for _ in range(3)]
+    sets = [s for s in sets if len(s)]
+    size, bits = np.array([len(s) for s in sets]), [ngram_join.bitmap_of(s, ngram_join.BITS_EACH) for s in sets]
+    for s, b in zip(sets, bits, strict=True):
+        assert (ngram_join.folded(b) == ngram_join.bitmap_of(s)).all()
+    i, j = np.triu_indices(len(sets), 1)
+    ok = ngram_join.fit_by_bitmaps(i, j, bits, size, 75)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    link = 100 * both >= 75 * (size[i] + size[j] - both)
+    assert ok[link].all() and link.sum() > 50
+    assert not ok[(both < 0.5 * size[i]) & (size[i] > 50)].any()
 
 
 def test_without_broadcast(spark, monkeypatch):
