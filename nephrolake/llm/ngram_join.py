@@ -230,6 +230,21 @@ def dual_traverse(a: SignatureTree, b: SignatureTree, percent: int = PERCENT) ->
             i, lb = i[at], lb - 1
 
 
+def leaf_pairs(runs: np.ndarray, size: np.ndarray, bits: np.ndarray, comp: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """What a traversal leaves of many groups (runs of positions) of one leaf
+    each, all at once."""
+    n, level = np.diff(runs)[:, 0], (bits, size - np.bitwise_count(bits).sum(axis=1), size, size, comp, np.zeros(len(size), bool))
+    found = [np.zeros((2, 0), np.int64)]
+    for k in range(2, LEAF + 1):
+        one, two = np.triu_indices(k, 1)
+        at = runs[n == k, :1]
+        i, j = (at + one).ravel(), (at + two).ravel()
+        ok = possible(level, level, i, j, percent)
+        found.append(np.stack((i[ok], j[ok])))
+    i, j = np.concatenate(found, axis=1)
+    return i, j
+
+
 def _frequent(docs: DataFrame, n: int) -> np.ndarray:
     """Shingles that come often in a sample, the most frequent last."""
     total = docs.count()
@@ -399,17 +414,20 @@ def _element_candidates(rows: DataFrame, percent: int) -> DataFrame:
             wide = [np.frombuffer(x, _U) for x in t.column("bits").to_pylist()]
             bits = np.stack([folded(x) for x in wide])
             firsts = t.column("firsts").combine_chunks().flatten().to_numpy().reshape(-1, ORDERS)
-            out = [np.zeros((0, 2), np.int64)]
-            for a, z in _runs(token, left, right):
+            runs = np.array(_runs(token, left, right))
+            single = (np.diff(runs)[:, 0] <= LEAF) & (left[runs[:, 0]] == right[runs[:, 0]])
+            found = [leaf_pairs(runs[single], size, bits, comp, percent)]  # most groups are one leaf
+            for a, z in runs[~single]:
                 at = [a + np.flatnonzero(side[a:z] == k) for k in (0, 1)] if left[a] < right[a] else [np.arange(a, z)] * 2
                 if len(at[0]) and len(at[1]):
-                    one, two = (SignatureTree(size[k], bits[k], comp[k]) for k in at)
-                    i, j = dual_traverse(one, two, percent)
-                    i, j = at[0][i], at[1][j]
-                    new = (cls[i] != cls[j]) & (firsts[i] != firsts[j]).all(axis=1)
-                    i, j = i[new], j[new]
-                    ok = fit_by_bitmaps(i, j, wide, size, percent)
-                    out.append(np.unique(np.sort(np.stack((cls[i[ok]], cls[j[ok]]), axis=1), axis=1), axis=0))
+                    i, j = dual_traverse(*(SignatureTree(size[k], bits[k], comp[k]) for k in at), percent)
+                    found.append((at[0][i], at[1][j]))
+            out = [np.zeros((0, 2), np.int64)]
+            for i, j in found:
+                new = (cls[i] != cls[j]) & (firsts[i] != firsts[j]).all(axis=1)
+                i, j = i[new], j[new]
+                ok = fit_by_bitmaps(i, j, wide, size, percent)
+                out.append(np.unique(np.sort(np.stack((cls[i[ok]], cls[j[ok]]), axis=1), axis=1), axis=0))
             pair = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 

@@ -82,6 +82,9 @@ def test_traversal_loses_nothing():
     found = {*zip(i.tolist(), j.tolist(), strict=True)}
     links = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b and 100 * (o := len(np.intersect1d(sets[a], sets[b]))) >= 75 * (len(sets[a]) + len(sets[b]) - o)}
     assert links <= found and len(found) < len(sets) ** 2 / 4
+    runs = [(a, a + k) for a, k in ((0, 3), (3, 8), (11, 1), (12, 2), (14, 7))]  # groups of one leaf are compared at once
+    i, j = ngram_join.leaf_pairs(np.array(runs), size, bits, np.arange(len(sets)))
+    assert {*zip(i.tolist(), j.tolist(), strict=True)} == {(a, b) for x, z in runs for a, b in found if x <= a < b < z}
 
 
 def test_bitmaps_bound_links():
