@@ -6,13 +6,17 @@ shards. Each shard builds a graph: near neighbours, robust-pruned to a bounded
 degree. The shards' adjacency lists are united by node, and every node searches
 its shards' part of the united graph: each connected part greedily from its
 medoid and from the node itself, then on through all that lies within the
-range. Found pairs are verified in double precision; a sample of nodes is
-searched by brute force over all vectors to audit recall. Below ``MIN_RECALL``
-the overlap and the beam are doubled, and once that costs as much, all pairs
-are compared.
+range. Found pairs are verified in double precision. A task sends on a count
+and a component for each node, never its links: a pair is counted only in the
+smallest shard that both ends are in. A sample of nodes is searched by brute
+force over all vectors to audit the counted links. Below ``MIN_RECALL`` the
+overlap and the beam are doubled, and once that costs as much, all pairs are
+compared.
 
 A shard over ``MAX_SHARD`` nodes is dealt into parts of bounded size; every
 two parts build and search a graph together, so that none of its pairs is lost.
+Vectors of each length are compared among themselves; lengths of few vectors
+are a shard each, all in one run.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite
 components links with nothing; one of another length links with none of the
@@ -34,9 +38,11 @@ from .components import components
 
 MIN_COSINE, MIN_RECALL = 0.9, 0.98
 #: Vectors that centroids are fitted on, nodes of a shard, centroids at most.
-SAMPLE, SHARD, MAX_CENTROIDS, MAX_SHARD = 20_000, 1200, 4096, 6000
+SAMPLE, SHARD, MAX_CENTROIDS, MAX_SHARD = 20_000, 1200, 4096, 1500
 OVERLAP, NEAR, DEGREE, SLACK, BEAM, QUERIES = 2, 48, 24, 1.2, 16, 128
 AUDIT = 128
+#: Steps of a search that are taken at once.
+STEPS = 50_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -116,9 +122,11 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _mutual(n: int, q: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs in both directions: a link found from one end holds for both."""
-    q, o = np.concatenate((q, o)), np.concatenate((o, q))
-    key = np.unique(q[q != o] * n + o[q != o])
-    return key // n, key % n
+    hit = np.zeros((n, n), bool)  # n: nodes of two parts at most
+    hit[q, o] = True
+    hit |= hit.T
+    np.fill_diagonal(hit, False)
+    return np.nonzero(hit)
 
 
 def all_pairs(x: np.ndarray, others: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -150,20 +158,21 @@ def _walk(x: np.ndarray, part: np.ndarray, adjacency: np.ndarray, reach: float,
         sims[here, self_[here]] = open_[here, self_[here]] = 1
         beyond = np.zeros(m, np.int64)
         while len(live):
-            best = open_[live].argmax(axis=1)
-            value = open_[live, best]
-            go = (value > -2) & ((value >= reach) | (beyond[live] < beam))
-            live, best, value = live[go], best[go], value[go]
-            if not len(live):
-                break
-            beyond[live] += value < reach
-            open_[live, best] = -2
-            near = adjacency[best]
-            fresh = sims[live[:, None], near] <= -2
-            s = np.einsum("qkd,qd->qk", inside[near], q[live])
-            r, c = np.nonzero(fresh)
-            sims[live[r], near[r, c]] = s[r, c]
-            open_[live[r], near[r, c]] = s[r, c]
+            # all seen nodes within reach are expanded; where there are none, the best of the others
+            within = open_[live] >= reach
+            r, c = np.nonzero(within)
+            r, rest = live[r], live[~within.any(axis=1)]
+            best = open_[rest].argmax(axis=1)
+            go = (open_[rest, best] > -2) & (beyond[rest] < beam)
+            rest, best = rest[go], best[go]
+            beyond[rest] += 1
+            live = np.union1d(r, rest)
+            r, c = np.concatenate((rest, r[:STEPS])), np.concatenate((best, c[:STEPS]))
+            open_[r, c] = -2
+            key = np.repeat(r, adjacency.shape[1]) * n + adjacency[c].ravel()
+            key = np.unique(key[sims.ravel()[key] <= -2])
+            r, c = key // n, key % n
+            sims[r, c] = open_[r, c] = np.einsum("kd,kd->k", inside[c], q[r])
         a, b = np.nonzero(sims >= reach)
         found_q.append(a + at)
         found_x.append(part[b])
@@ -195,9 +204,11 @@ def _exact(vectors: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([(u[a[i : i + 65536]] * u[b[i : i + 65536]]).sum(axis=1) >= MIN_COSINE for i in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
 
 
-def _links(nodes: DataFrame, kmeans: np.ndarray, overlap: int, beam: int | None) -> tuple[DataFrame, list[str]]:
-    """(node, near: nodes linked, roots: its shards' component names), a row for each node and shard.
-    Without a beam, all pairs of a shard are compared."""
+def _links(nodes: DataFrame, kmeans: np.ndarray | None, overlap: int, beam: int | None, watched: np.ndarray) -> tuple[DataFrame, str]:
+    """(node, others: rows linked in pairs counted here, root: its component's
+    name here, near: the nodes of those pairs for ``watched`` nodes), a row for
+    each node and pair of parts of a shard, and its table. Without centroids
+    each length is a shard; without a beam, all pairs of a shard are compared."""
     spark = nodes.sparkSession
     shared = spark.sparkContext.broadcast(kmeans)  # MAX_CENTROIDS at most
 
@@ -208,22 +219,26 @@ def _links(nodes: DataFrame, kmeans: np.ndarray, overlap: int, beam: int | None)
             k = min(overlap, s.shape[1])
             shard = np.argsort(-s, axis=1, kind="stable")[:, :k]
             at = np.repeat(np.arange(len(v)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.ravel().astype("i8")), *(batch.column(c).take(pa.array(at)) for c in range(3))], names=["shard", "node", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.ravel().astype("i8")), pa.array([*np.sort(shard, axis=1).astype("i8")], pa.list_(pa.int64())).take(pa.array(at)), *(batch.column(c).take(pa.array(at)) for c in range(3))], names=["shard", "shards", "node", "v", "n"])
 
-    dealt, dealt_path = stash(nodes.select("node", "v", "n").mapInArrow(tidied(deal), "shard long, node long, v array<double>, n long"), "dealt")
+    if kmeans is None:
+        dealt = nodes.select(F.size("v").cast("long").alias("shard"), F.array(F.size("v").cast("long")).alias("shards"), "node", "v", "n")
+    else:
+        dealt = nodes.select("node", "v", "n").mapInArrow(tidied(deal), "shard long, shards array<long>, node long, v array<double>, n long")
+    dealt, dealt_path = stash(dealt, "dealt")
     sizes = dealt.groupBy("shard").agg(F.count("*").alias("size"))
     # a shard too large for a task: its nodes are dealt into parts, and every two parts meet
     dealt = dealt.join(sizes, "shard").withColumn("parts", F.ceil(F.col("size") / MAX_SHARD).cast("int"))
     dealt = dealt.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(0))
-    own = dealt.select("shard", "node", "v", "n", F.col("part").alias("left"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("right"))
-    own = own.select("shard", F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right"), "node", "v", "n")
+    own = dealt.select("shard", "shards", "node", "v", "n", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    keys = ["shard", "left", "right"]
+    own = own.select("shard", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"), "shards", "node", "v", "n", "part")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         node = pdf["node"].to_numpy()
         adj = robust_prune(_unit(np.stack(pdf["v"])).astype("f4"))
         return pd.DataFrame({"node": node, "edges": [node[a] for a in adj]})
 
-    keys = ["shard", "left", "right"]
     if beam is None:
         ready = own
     else:
@@ -247,39 +262,76 @@ def _links(nodes: DataFrame, kmeans: np.ndarray, overlap: int, beam: int | None)
         sure = _exact(v, a, b)
         a, b = a[sure], b[sure]
         root = _roots(len(node), a, b)
-        cuts = np.searchsorted(a, np.arange(len(node) + 1))
-        weight = pdf["n"].to_numpy()
-        near = [[{"node": int(node[j]), "n": int(weight[j])} for j in b[cuts[i] : cuts[i + 1]]] for i in range(len(node))]
-        return pd.DataFrame({"node": node, "near": near, "root": node[root]})
-
-    found = ready.groupBy(*keys).applyInPandas(search, "node long, near array<struct<node:long,n:long>>, root long")
-    out, path = stash(found, "near")
+        mine = _counted_here(np.stack(pdf["shards"]), pdf["part"].to_numpy(), pdf["shard"][0], pdf["left"][0], pdf["right"][0], a, b)
+        a, b = a[mine], b[mine]
+        others = np.bincount(a, pdf["n"].to_numpy()[b], len(node)).astype("i8")
+        near: list = [None] * len(node)
+        for i in np.flatnonzero(np.isin(node, watched)):
+            near[i] = node[b[a == i]]
+        return pd.DataFrame({"node": node, "others": others, "root": node[root], "near": near})
+
+    out, path = stash(ready.groupBy(*keys).applyInPandas(search, "node long, others long, root long, near array<long>"), "near")
     discard(spark, dealt_path)
-    return out, [path]
+    return out, path
+
 
+def _counted_here(shards: np.ndarray, part: np.ndarray, shard: int, left: int, right: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether this is the smallest shard that both positions of a pair are in,
+    and these are their parts of it."""
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 65536):
+        i, j = a[at : at + 65536], b[at : at + 65536]
+        common = np.where((shards[i][:, :, None] == shards[j][:, None, :]).any(axis=2), shards[i], np.iinfo("i8").max).min(axis=1)
+        out[at : at + 65536] = (common == shard) & (np.minimum(part[i], part[j]) == left) & (np.maximum(part[i], part[j]) == right)
+    return out
 
-def audit(nodes: DataFrame, found: DataFrame, count: int = AUDIT) -> float:
-    """Recall over the links of a sample of nodes, against brute force."""
+
+def true_links(nodes: DataFrame, count: int = AUDIT) -> tuple[np.ndarray, DataFrame, str]:
+    """A sample of nodes, all their links by brute force over all nodes as
+    (node, other), and the table that these are written to."""
     spark = nodes.sparkSession
     picked = nodes.orderBy(F.xxhash64("node"), "node").limit(count).select("node", "v").toPandas()
-    if len(picked) == 0:
-        return 1.0
-    shared = spark.sparkContext.broadcast((picked["node"].to_numpy(), _unit(np.stack(picked["v"]))))  # a sample of fixed size
+    size = picked["v"].map(len)
+    groups = {n: (picked["node"][size == n].to_numpy(), _unit(np.stack(picked["v"][size == n]))) for n in size.unique()}
+    shared = spark.sparkContext.broadcast(groups)  # a sample of fixed size
 
     def brute(batches):
-        ids, q = shared.value
         for batch in batches:
-            node = batch.column(0).to_numpy()
-            i, j = np.nonzero(_unit(_matrix(batch.column(1))) @ q.T >= MIN_COSINE)
-            other = node[i] != ids[j]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[j][other]), pa.array(node[i][other])], names=["node", "other"])
-
-    true = nodes.select("node", "v").mapInArrow(tidied(brute), "node long, other long").cache()
+            length = np.array([len(v) for v in batch.column(1)])
+            found = [np.zeros((0, 2), np.int64)]
+            for n, (ids, q) in shared.value.items():
+                at = pa.array(np.flatnonzero(length == n))
+                if len(at):
+                    node = batch.column(0).take(at).to_numpy()
+                    i, j = np.nonzero(_unit(_matrix(batch.column(1).take(at))) @ q.T >= MIN_COSINE)
+                    found.append(np.stack((ids[j], node[i]), axis=1)[node[i] != ids[j]])
+            pair = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["node", "other"])
+
+    true, path = stash(nodes.select("node", "v").mapInArrow(tidied(brute), "node long, other long"), "audit")
+    return picked["node"].to_numpy(), true, path
+
+
+def _searched(nodes: DataFrame, kmeans: np.ndarray | None) -> tuple[DataFrame, str, float]:
+    """What ``_links`` finds once the audit is content, its table, the recall."""
+    spark = nodes.sparkSession
+    watched, true, true_path = true_links(nodes)
     total = true.count()
-    got = found.join(F.broadcast(spark.createDataFrame(picked[["node"]])), "node").select("node", F.explode("near.node").alias("other")).distinct()
-    hit = true.join(got, ["node", "other"], "left_semi").count()
-    true.unpersist()
-    return hit / total if total else 1.0
+    overlap, beam = OVERLAP, BEAM
+    while True:
+        found, path = _links(nodes, kmeans, overlap, beam, watched)
+        got = found.filter(F.col("near").isNotNull()).select("node", F.explode("near").alias("other"))
+        recall = true.join(got, ["node", "other"], "left_semi").count() / total if total else 1.0
+        if recall >= MIN_RECALL:
+            discard(spark, true_path)
+            return found, path, recall
+        discard(spark, path)
+        if beam is None:
+            raise RuntimeError(f"recall {recall} after all pairs were compared")
+        if kmeans is None or overlap * overlap >= len(kmeans):  # all pairs cost no more than wider shards
+            kmeans, overlap, beam = None if kmeans is None else kmeans[:1], 1, None
+        else:
+            overlap, beam = 2 * overlap, 2 * beam
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -289,33 +341,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     finite = F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows, rows_path = stash(rows.withColumn("ok", F.coalesce(finite, F.lit(False))).withColumn("key", F.when(F.col("ok"), F.xxhash64("v"))), "vectors")
     nodes, nodes_path = stash(rows.filter("ok").groupBy("key").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.min("v").alias("v")).withColumnRenamed("key", "node"), "nodes")
-    lengths = sorted(r[0] for r in nodes.select(F.size("v")).distinct().limit(1000).collect())
-    near, paths, recall = None, [], 1.0
-    for length in lengths:  # one for all tables in use; vectors of other lengths are compared among themselves
-        own = nodes.filter(F.size("v") == length)
-        count = own.count()
+    few = SHARD // OVERLAP
+    length = F.size("v")
+    counts = {r["k"]: r["n"] for r in nodes.groupBy(length.alias("k")).agg(F.count("*").alias("n")).filter(F.col("n") > few).collect()}  # lengths in common use
+    runs = []
+    for k, count in sorted(counts.items()):
+        own = nodes.filter(length == k)
         share = max(1, min(1_000_003, int(1_000_003 * SAMPLE / count)))
         sample = own.filter(F.pmod("node", F.lit(1_000_003)) < share).orderBy("node").limit(SAMPLE).select("v").toPandas()["v"]
         sample = _unit(np.stack(sample if len(sample) else own.limit(1).toPandas()["v"])).astype("f4")
-        kmeans, overlap, beam = centroids(sample, min(MAX_CENTROIDS, -(-count * OVERLAP // SHARD))), OVERLAP, BEAM
-        while True:
-            found, tables = _links(own, kmeans, overlap, beam)
-            seen = audit(own, found)
-            if seen >= MIN_RECALL:
-                break
-            discard(spark, *tables)
-            if beam is None:
-                raise RuntimeError(f"recall {seen} after all pairs were compared")
-            if overlap * overlap >= len(kmeans):  # all pairs cost no more than wider shards
-                kmeans, overlap, beam = kmeans[:1], 1, None
-            else:
-                overlap, beam = 2 * overlap, 2 * beam
-        recall, paths = min(recall, seen), paths + tables
-        near = found if near is None else near.unionByName(found)
-    if near is None:
+        runs.append(_searched(own, centroids(sample, min(MAX_CENTROIDS, -(-count * OVERLAP // SHARD)))))
+    rest = nodes.filter(~length.isin(*counts)) if counts else nodes
+    if not rest.isEmpty():
+        runs.append(_searched(rest, None))
+    if not runs:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
-    linked = near.filter(F.size("near") > 0)
-    sums = linked.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")).select("node", F.aggregate("near", F.lit(0).cast("long"), lambda a, s: a + s["n"]).alias("others"))
+    linked, paths, recall = runs[0][0], [r[1] for r in runs], min(r[2] for r in runs)
+    for found, _, _ in runs[1:]:
+        linked = linked.unionByName(found)
+    sums = linked.groupBy("node").agg(F.sum("others").alias("others"))
     roots, root_paths = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).filter("u <> v"))
     named = nodes.select("node", "n", "least").join(sums, "node", "left").join(roots, "node", "left").select("node", "n", "least", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "node").alias("root"))
     named, _ = stash(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("key"), "n", "others", "component_id"), "named")

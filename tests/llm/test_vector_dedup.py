@@ -116,3 +116,22 @@ def test_all_pairs_where_the_graph_fails(spark, monkeypatch):
     n = (x @ x.T >= 0.9).sum(1) - 1
     out = vector_dedup.near_duplicates(df).collect()
     assert {r.vec_id: r.n_links for r in out} == {i: int(c) for i, c in enumerate(n)} and out[0].recall == 1
+
+
+def test_many_lengths(spark):
+    """More lengths than could be searched one by one, two near copies of each."""
+    rows = [(2 * k + i, [1.0] * k + [0.5 + 0.1 * i], 0, "z") for k in range(1, 1300) for i in (0, 1)]
+    got = vector_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, 1, i - i % 2) for i, *_ in rows}
+
+
+def test_one_large_group(spark):
+    """A group of near copies over the size of a part: counted once, in bounded memory."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=32)
+    rows = [base + rng.normal(size=32) * 0.05 for _ in range(2000)] + list(rng.normal(size=(200, 32)))
+    got = vector_dedup.near_duplicates(spark.createDataFrame([(i, [float(c) for c in v], 0, "z") for i, v in enumerate(rows)], SCHEMA)).collect()
+    x = vector_dedup._unit(np.array(rows, "f4"))
+    n = (x @ x.T >= 0.9).sum(1) - 1
+    assert n[:2000].min() == 1999 and sum(r.n_links for r in got) >= 0.98 * n.sum() and all(r.n_links <= n[r.vec_id] for r in got)
+    assert {r.component_id for r in got if r.vec_id < 2000} == {0}
