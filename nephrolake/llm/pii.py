@@ -2,9 +2,11 @@ r"""Personal data in text, with DataFrame functions only.
 
 Regular expressions propose spans, validators confirm them (Luhn for cards,
 mod-97 for account numbers, part and digit ranges for the rest), and words
-near a span move its score. Positions are code points: the matches of a
+near a span move its score: those within ``CONTEXT_CHARS`` before and after it,
+up to the next match of its kind. Positions are code points: the matches of a
 pattern and the pieces between them (``split`` by the same pattern) alternate,
-so running lengths give every start.
+so running lengths give every start. Running values are taken in blocks, and
+text is cut out of short pieces, so that time follows the text and its matches.
 
 Base kinds, always kept when confirmed: email, ip, card, phone. The method
 adds ``iban`` (mod-97) and ``local_phone`` (a national number, only kept
@@ -56,6 +58,9 @@ CONTEXT = {
 }
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "local_phone": 0.3}
 CONTEXT_CHARS, CONTEXT_GAIN, MIN_SCORE = 32, 0.3, 0.5
+#: Elements of a block of running values, code points of a piece of text.
+BLOCK, PIECE = 64, 1024
+_FAR = 2**31 - 1
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
 
@@ -99,51 +104,65 @@ def _confirmed(kind: str, c: Column) -> Column:
     return F.lit(True)
 
 
-def _steps(kind: str, text: Column) -> Column:
-    """(gap before it, match length, match) of each match of one kind's pattern."""
-    hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda g: F.length(g))
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0))), lambda m, g: F.struct(g.alias("gap"), F.length(m).alias("size"), m.alias("hit")))
-    return F.when(GUARDS[kind](text), pairs).otherwise(F.array().cast("array<struct<gap:int,size:int,hit:string>>"))
-
-
-def _kind_spans(kind: str, text: Column) -> Column:
-    """Confirmed spans of one kind, in order; starts by a running sum."""
-    rank = list(PATTERNS).index(kind)
-    steps = F.col(f"__{kind}")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out")),
-        lambda a, s: F.struct(
-            (a["at"] + s["gap"] + s["size"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["size"]).alias("end"), s["hit"].alias("hit")))).alias("out")),
-    )["out"]
-    sure = F.filter(walked, lambda s: _confirmed(kind, s["hit"]))
-
-    def scored(s: Column) -> Column:
-        before = F.substr(text, F.greatest(s["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT_CHARS)))
-        gain = F.when(F.lower(before).rlike(rf"\b(?:{CONTEXT[kind]})"), CONTEXT_GAIN).otherwise(0.0)
-        return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(PRIOR[kind]) + gain, F.lit(1.0)).alias("score"))
-
-    spans = F.transform(sure, scored)
+def _running(values: Column, op, start: int) -> Column:
+    """``op`` of each element of an array of ints and all before it. Appending
+    copies an array, so this goes by blocks, then over the blocks' ends."""
+    append = lambda a, x: F.concat(a, F.array(op(F.coalesce(F.get(a, F.size(a) - 1), F.lit(start)), x)))
+    none = F.array().cast("array<int>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: F.aggregate(F.slice(values, i * BLOCK + 1, BLOCK), none, append))
+    one = F.struct(blocks.alias("blocks"))
+    # a struct in an array of one keeps the blocks from being computed for each use
+    whole = F.transform(F.array(one), lambda b: F.struct(b["blocks"].alias("blocks"), F.aggregate(F.transform(b["blocks"], lambda x: F.get(x, F.size(x) - 1)), none, append).alias("ends")))
+    joined = F.transform(whole, lambda b: F.flatten(F.transform(b["blocks"], lambda x, i: F.transform(x, lambda v: op(v, F.coalesce(F.get(b["ends"], i - 1), F.lit(start)))))))
+    return F.when(F.size(values) > 0, F.get(joined, 0)).otherwise(none)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _scored(kind: str) -> Column:
+    """Confirmed spans of one kind, in order, of its matches, the text between
+    them and the matches' ends."""
+    hits, gaps, ends = (F.col(f"__{x}_{kind}") for x in ("hits", "gaps", "ends"))
+
+    def span(i: Column) -> Column:
+        hit = F.get(hits, i)
+        near = lambda text: F.lower(text).rlike(rf"\b(?:{CONTEXT[kind]})")
+        gain = F.when(near(F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS))) | near(F.left(F.get(gaps, i + 1), F.lit(CONTEXT_CHARS))), CONTEXT_GAIN).otherwise(0.0)
+        end = F.get(ends, i)
+        return F.struct((end - F.length(hit)).alias("start"), F.lit(list(PATTERNS).index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(PRIOR[kind]) + gain, F.lit(1.0)).alias("score"))
+
+    sure = F.filter(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: _confirmed(kind, F.get(hits, i)))
+    spans = F.transform(sure, span)
     if kind not in BASE:
         spans = F.filter(spans, lambda s: s["score"] >= MIN_SCORE)
-    return F.when(F.size(steps) > 0, spans).otherwise(F.array().cast(SPAN)).cast(SPAN)
+    return F.when(F.size(hits) > 0, spans).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``spans`` added: (start, rank, end, kind, score), sorted."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.drop("spans")
-    names = [f"__{k}" for k in (*PATTERNS, "base")]
-    out = fixed(out, {f"__{k}": _steps(k, text) for k in PATTERNS})
-    out = fixed(out, {f"__{k}": _kind_spans(k, text) for k in PATTERNS})
-    # what the method adds gives way to base spans that it overlaps
-    out = fixed(out, {"__base": F.concat(*(F.col(f"__{k}") for k in BASE))})
-    base = F.col("__base")
-    own = F.concat(*(F.col(f"__{k}") for k in PATTERNS if k not in BASE))
-    extra = F.filter(own, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]) & (b["kind"] != "card")))
-    return fixed(out, {"spans": F.array_sort(F.concat(base, extra))}).drop(*names)
+    none = F.array().cast("array<string>")
+    out = fixed(out, {f"__may_{k}": F.coalesce(GUARDS[k](text), F.lit(False)) for k in PATTERNS})
+    raw = {f"__hits_{k}": F.when(F.col(f"__may_{k}"), F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none) for k in PATTERNS}
+    out = fixed(out, raw | {f"__gaps_{k}": F.when(F.col(f"__may_{k}"), F.split(text, PATTERNS[k], -1)).otherwise(none) for k in PATTERNS})
+    steps = lambda k: F.transform(f"__hits_{k}", lambda m, i: F.length(F.get(F.col(f"__gaps_{k}"), i)) + F.length(m))
+    out = fixed(out, {f"__steps_{k}": steps(k) for k in PATTERNS})
+    out = fixed(out, {f"__ends_{k}": _running(F.col(f"__steps_{k}"), _sum, 0) for k in PATTERNS})
+    out = fixed(out, {"__base": F.concat(*(_scored(k) for k in BASE)), "__own": F.concat(*(_scored(k) for k in PATTERNS if k not in BASE))})
+    out = fixed(out.drop(*(f"__{x}_{k}" for x in ("may", "hits", "gaps", "steps", "ends") for k in PATTERNS)), {"__all": F.array_sort(F.concat("__base", "__own"))})
+    # what the method adds gives way to base spans that it overlaps (cards aside): the
+    # furthest end of those that start before it, and the start of the next one, tell
+    solid = lambda s: (s["rank"] < len(BASE)) & (s["kind"] != "card")
+    some = F.size("__own") > 0
+    values = lambda x, name, other: F.when(some, F.transform(x, lambda s: F.when(solid(s), s[name]).otherwise(other))).otherwise(F.array().cast("array<int>"))
+    out = fixed(out, {"__upto": values(F.col("__all"), "end", -1), "__from": values(F.reverse("__all"), "start", _FAR)})
+    out = fixed(out, {"__upto": _running(F.col("__upto"), F.greatest, -1), "__from": F.reverse(_running(F.col("__from"), F.least, _FAR))})
+    free = lambda s, i: (F.coalesce(F.get(F.col("__upto"), i - 1), F.lit(-1)) <= s["start"]) & (F.coalesce(F.get(F.col("__from"), i + 1), F.lit(_FAR)) >= s["end"])
+    spans = F.when(some, F.filter("__all", lambda s, i: (s["rank"] < len(BASE)) | free(s, i))).otherwise(F.col("__all"))
+    return fixed(out, {"spans": spans}).drop("__base", "__own", "__all", "__upto", "__from")
 
 
 def _joined(spans: Column) -> Column:
@@ -155,14 +174,21 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     overlapping spans the first stands for both."""
     found = find_pii(docs, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    done = F.aggregate(
-        F.col("spans"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("out")))
-        .otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))))
-    found = fixed(found, {"__done": done})
-    done = F.col("__done")
-    clean = F.when(F.size("spans") == 0, F.col(text_col)).otherwise(F.concat(F.array_join(done["out"], ""), F.substr(text, done["at"] + 1)))
-    return fixed(found, {text_col: clean}).drop("__done").select(*found.drop("__done").columns)
+    found = fixed(found, {"__upto": F.transform("spans", lambda s: s["end"]), "__pieces": F.when(F.size("spans") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))})
+    found = fixed(found, {"__upto": _running(F.col("__upto"), F.greatest, 0)})
+
+    def cut(start: Column, end: Column | None) -> Column:
+        """The text from ``start`` to ``end`` (None: to its end)."""
+        first = F.floor(start / PIECE).cast("int")
+        some = F.size("__pieces") if end is None else F.floor((end - 1) / PIECE).cast("int") - first + 1
+        near = F.array_join(F.slice("__pieces", first + 1, F.greatest(some, F.lit(0))), "")
+        return F.substr(near, start % PIECE + 1, *(() if end is None else (end - start,)))
+
+    before = lambda i: F.coalesce(F.get(F.col("__upto"), i - 1), F.lit(0))
+    parts = F.transform("spans", lambda s, i: F.when(s["start"] >= before(i), F.concat(cut(before(i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(""))
+    clean = F.when(F.size("spans") == 0, F.col(text_col)).otherwise(F.concat(F.array_join(parts, ""), cut(before(F.size("spans")), None)))
+    names = found.drop("__upto", "__pieces").columns
+    return fixed(found, {text_col: clean}).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,33 @@ def test_redact_and_empty(spark):
     assert text[13] == "mail me: <EMAIL>, call <PHONE> or pay <CARD> from <IP> not 1.2.3.256"
     assert text[3].startswith("a line") and text[6] is None
     assert pii.find_pii(empty(spark)).count() == 0
+
+
+def test_many_spans_in_one_text(spark):
+    """Time follows the text: 40,000 addresses, numbers and accounts in one."""
+    import time
+
+    line = "mail a.{0}@b{0}.org, call +49 30 {1}, from 10.0.0.{2}; iban DE89 3704 0044 0532 0130 00 or 4111 1111 1111 1111\n"
+    texts = ["".join(line.format(i, 1234567 + i, i % 300) for i in range(8000)), "é@b.c a@b.cd " * 20_000, "DE89 3704 0044 0532 0130 00 +49 30 1234567@x.de;" * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).cache()
+    df.count()
+    start = time.time()
+    rows = {r.doc_id: r for r in pii.redact(df).collect()}
+    spans = {r.doc_id: r.spans for r in pii.find_pii(df).collect()}
+    assert time.time() - start < 60
+    for i, t in enumerate(texts):
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in spans[i] if s.rank < len(pii.BASE)] == brute(t)
+    assert sum(s.kind == "iban" for s in spans[0]) == 8000 and not any(s.kind == "local_phone" for s in spans[0])
+    assert rows[1].text == "é@b.c <EMAIL> " * 20_000
+    first = line.format(1, 1234568, 1).replace("a.1@b1.org", "<EMAIL>").replace("+49 30 1234568", "<PHONE>").replace("10.0.0.1;", "<IP>;").replace("DE89 3704 0044 0532 0130 00", "<IBAN>").replace("4111 1111 1111 1111", "<CARD>")
+    assert rows[0].text.split("\n")[1] == first[:-1]
+
+
+def test_running(spark):
+    import itertools
+
+    for n in (0, 1, 63, 64, 65, 200, 5000):
+        x = [(7 * i * i) % 11 - 3 for i in range(n)]
+        df = spark.createDataFrame([(x,)], "x array<int>")
+        got = df.select(pii._running(pii.F.col("x"), pii._sum, 0).alias("s"), pii._running(pii.F.col("x"), pii.F.greatest, -9).alias("m")).first()
+        assert got.s == [*itertools.accumulate(x)] and got.m == [*itertools.accumulate(x, max)]
