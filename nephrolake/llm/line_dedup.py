@@ -1,14 +1,13 @@
 r"""Line dedup with once-seen and twice-seen Bloom filters.
 
-Pass 1 sets, for the hash of each document's distinct long lines, bits of two
-Bloom filters: once-seen, and twice-seen for what was there already. Tasks
-send only the positions they set, by filter segment, so the traffic follows
-the lines and not tasks times filter size. Pass 2 shuffles only the lines that
-the twice-seen filter suspects; an exact count by document confirms them and
-picks the keeper. Pass 3 drops the confirmed lines.
-
-A filter is two bitmaps of at most ``MAX_BITS`` bits, whatever the input;
-beyond that more lines are suspected, with the same result.
+Pass 1 sends 64-bit hashes of each document's distinct long lines to the
+segment of the once-seen filter that they belong to; a hash that is there
+already goes into the twice-seen filter. The once-seen filter grows with the
+lines and stays dealt out over the tasks; the twice-seen filter holds repeated
+lines only and is broadcast, with at most ``MAX_BITS`` bits, whatever the
+input; beyond that more lines are suspected, with the same result. Pass 2
+shuffles only the lines that the twice-seen filter suspects; an exact count by
+document confirms them and picks the keeper. Pass 3 drops the confirmed lines.
 
 A line's key: the line stripped of ``[\x20\x09-\x0D]`` at both ends, A-Z in
 lower case. Keys of at least ``min_chars`` code points found in at least
@@ -31,14 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_parts, prepare, read_table, stash, tidied
+from .common import discard, n_parts, prepare, read_table, stash, tidied
 
 MIN_CHARS, MIN_DOCS = 40, 5
 STRIP = b" \t\n\x0b\x0c\r"
 #: Confirmed lines that are broadcast, at most.
 BROADCAST_ROWS = 500_000
-#: Bits a line, hash functions, bits of a segment, bits of a filter at most.
-BITS_PER_LINE, PROBES, SEGMENT_BITS, MAX_BITS = 16, 3, 1 << 19, 1 << 28
+#: Bits a line, hash functions, least bits of a segment, bits of the twice-seen filter at most.
+BITS_PER_LINE, PROBES, SEGMENT_BITS, MAX_BITS = 16, 3, 1 << 16, 1 << 29
+#: Most bits of a segment of the once-seen filter, hashes that a task holds before it sends them.
+MOST_SEGMENT_BITS, HELD = 1 << 24, 1 << 19
 #: About so many bytes of text to a long line; only the filters' size depends on it.
 BYTES_PER_LINE = 256
 
@@ -57,58 +58,97 @@ def _digest(key: bytes) -> bytes:
     return xxhash.xxh3_128_digest(key)
 
 
-def _positions(digests: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit positions of each digest (two 64-bit words)."""
-    a, b = digests[:, 0], digests[:, 1] | np.uint64(1)
+def _words(digests: list[bytes]) -> np.ndarray:
+    """The first 64 bits of each digest."""
+    return np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)[:, 0]
+
+
+def _positions(words: np.ndarray, bits: int) -> np.ndarray:
+    """PROBES bit positions of each word."""
+    a, b = words * np.uint64(0x9E3779B97F4A7C15), (words >> np.uint64(29)) | np.uint64(1)
+    a ^= a >> np.uint64(32)
     return np.stack([(a + np.uint64(i) * b) & np.uint64(bits - 1) for i in range(PROBES)], axis=1)
 
 
-def filter_bits(lines: int) -> int:
-    """A power of two with about BITS_PER_LINE bits a line, at most MAX_BITS."""
-    return min(MAX_BITS, max(SEGMENT_BITS, 1 << (max(1, lines) * BITS_PER_LINE - 1).bit_length()))
+def filter_bits(lines: int, least: int = SEGMENT_BITS, most: int = MAX_BITS) -> int:
+    """A power of two with about BITS_PER_LINE bits a line, within bounds."""
+    return min(most, max(least, 1 << (max(1, lines) * BITS_PER_LINE - 1).bit_length()))
+
 
+def _by_part(kind: int, words: np.ndarray, parts: int):
+    """(part, kind, words of that part) for each part that has any."""
+    part = (words >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    part, words = part[order], words[order]
+    for p, chunk in zip(np.unique(part), np.split(words, np.flatnonzero(np.diff(part)) + 1), strict=False):
+        yield int(p), kind, chunk.tobytes()
 
-def twice_seen(docs: DataFrame, min_chars: int, bits: int) -> bytes:
-    """The twice-seen filter over all documents, as a bitmap."""
+
+def twice_seen(docs: DataFrame, min_chars: int, lines: int) -> tuple[bytes, int]:
+    """The twice-seen filter over all documents, as a bitmap, and its bits.
+    ``lines``: about how many there are; only the first filter's size depends on it."""
     spark = docs.sparkSession
+    segments = max(n_parts(spark), -(-lines * BITS_PER_LINE // MOST_SEGMENT_BITS))
+    bits = filter_bits(-(-lines // segments), 1 << 13, MOST_SEGMENT_BITS)
+
+    def send(batches):
+        digests: list[bytes] = []
+
+        def rows():
+            words, times = np.unique(_words(digests), return_counts=True)
+            out = [*_by_part(0, words[times == 1], segments), *_by_part(1, words[times > 1], segments)] if len(words) else []
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["segment", "kind", "words"])
 
-    def set_bits(batches):
-        digests = []
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 digests += {_digest(k) for k in line_keys(text, min_chars) if k is not None}
-        found = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
-        found, times = np.unique(found, axis=0, return_counts=True) if len(found) else (found, np.zeros(0, int))
-        once, twice = np.unique(_positions(found, bits)), np.unique(_positions(found[times > 1], bits))
-        rows = []
-        for kind, at in ((0, once), (1, twice)):
-            segment = at // np.uint64(SEGMENT_BITS)
-            for s, chunk in zip(np.unique(segment), np.split(at, np.flatnonzero(np.diff(segment)) + 1), strict=False):
-                rows.append((int(s), kind, (chunk % np.uint64(SEGMENT_BITS)).astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["segment", "kind", "at"])
+            if len(digests) >= HELD:
+                yield rows()
+                digests.clear()
+        yield rows()
+
+    def pick(batches):
+        at, once = None, None
+        for batch in batches:
+            out = []
+            for segment, kind, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if segment != at:
+                    at, once = segment, np.zeros(bits, bool)
+                words = np.frombuffer(words, "<u8")
+                place = _positions(words, bits)
+                again = once[place].all(axis=1) | (kind == 1)
+                once[place] = True
+                out.append(words[again])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in out if len(x)], pa.binary()), pa.array([len(x) for x in out if len(x)], pa.int64())], names=["words", "n"])
+
+    sent = docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(tidied(send), "segment long, kind int, words binary")
+    again, path = stash(sent.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(tidied(pick), "words binary, n long"), "again")
+    size = filter_bits(again.agg(F.sum("n")).first()[0] or 0)
+
+    def set_bits(batches):
+        for batch in batches:
+            rows = []
+            for words in batch.column(0).to_pylist():
+                place = np.unique(_positions(np.frombuffer(words, "<u8"), size))
+                segment = place // np.uint64(SEGMENT_BITS)
+                rows += [(int(s), (chunk % np.uint64(SEGMENT_BITS)).astype("<u2").tobytes()) for s, chunk in zip(np.unique(segment), np.split(place, np.flatnonzero(np.diff(segment)) + 1), strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["segment", "at"])
 
     def merge(batches):
-        once, twice = {}, {}
+        seen: dict[int, np.ndarray] = {}
         for batch in batches:
-            for s, kind, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a = once.setdefault(s, np.zeros(SEGMENT_BITS, bool))
-                t = twice.setdefault(s, np.zeros(SEGMENT_BITS, bool))
-                at = np.frombuffer(at, dtype="<u4")
-                if kind == 0:
-                    t[at[a[at]]] = True
-                    a[at] = True
-                else:
-                    t[at] = True
-        out = [(s, zlib.compress(np.packbits(t, bitorder="little").tobytes(), 1)) for s, t in twice.items()]
+            for s, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seen.setdefault(s, np.zeros(SEGMENT_BITS, bool))[np.frombuffer(at, "<u2")] = True
+        out = [(s, zlib.compress(np.packbits(t, bitorder="little").tobytes(), 1)) for s, t in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["segment", "bits"])
 
-    sets = docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(tidied(set_bits), "segment long, kind int, at binary")
-    merged = sets.repartition(min(bits // SEGMENT_BITS, n_parts(spark)), "segment").mapInArrow(tidied(merge), "segment long, bits binary")
-    out = bytearray(bits // 8)
+    merged = again.select("words").mapInArrow(tidied(set_bits), "segment long, at binary").repartition(min(size // SEGMENT_BITS, n_parts(spark)), "segment").mapInArrow(tidied(merge), "segment long, bits binary")
+    table = bytearray(size // 8)
     for row in merged.toLocalIterator():  # at most MAX_BITS in all
         at = row["segment"] * SEGMENT_BITS // 8
-        out[at : at + SEGMENT_BITS // 8] = zlib.decompress(row["bits"])
-    return bytes(out)
+        table[at : at + SEGMENT_BITS // 8] = zlib.decompress(row["bits"])
+    discard(spark, path)
+    return bytes(table), size
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -117,8 +157,9 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     sc = spark.sparkContext
     slim = docs.select("doc_id", "text")
     total = slim.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = filter_bits(total // BYTES_PER_LINE)
-    seen = sc.broadcast(zlib.compress(twice_seen(slim, min_chars, bits), 1))
+    table, bits = twice_seen(slim, min_chars, total // BYTES_PER_LINE)
+    seen = sc.broadcast(zlib.compress(table, 1))
+    del table
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def suspects(batches):
@@ -129,7 +170,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
                 own = {_digest(k) for k in line_keys(text, min_chars) if k is not None}
                 digests += own
                 owner += [i] * len(own)
-            at = _positions(np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2), bits)
+            at = _positions(_words(digests), bits)
             hit = np.flatnonzero((table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1") & 1).all(axis=1))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(owner, dtype="int64")[hit])), pa.array([digests[k] for k in hit], pa.binary())], names=["doc_id", "line"])
 

@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from nephrolake.llm import line_dedup
@@ -51,3 +52,20 @@ def test_without_broadcast(spark, monkeypatch):
 def test_empty(spark):
     out = line_dedup.drop_repeated_lines(empty(spark))
     assert out.count() == 0 and {"lang", "n_lines", "n_dropped"} <= {*out.columns}
+
+
+def test_filter_suspects_few(spark):
+    """The broadcast filter follows repeated lines, not all: with bits for a
+    thirtieth of the lines it suspects few that come once."""
+    rows = [(i, "\n".join(f"line {i}-{k} that comes once and is long enough to count" for k in range(200)) + f"\none of fifty lines that come in many documents {i % 50:04}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    table, bits = line_dedup.twice_seen(docs, 40, 80_400)
+    assert bits * 1.2 < 80_400
+    seen = np.frombuffer(table, "u1")
+
+    def share(texts):
+        words = line_dedup._words([line_dedup._digest(k) for t in texts for k in line_dedup.line_keys(t, 40)])
+        at = line_dedup._positions(words, bits)
+        return (seen[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1") & 1).all(axis=1).mean()
+
+    assert share(t.rsplit("\n", 1)[0] for _, t in rows) < 0.02 and share(t.rsplit("\n", 1)[1] for _, t in rows) == 1
