@@ -51,8 +51,7 @@ def features_of(text: str | None) -> tuple[float, ...]:
     k = max(1, len(words))
     count = Counter(words)
     lines = [x for x in data.split(b"\n") if x.strip()]
-    # five words make a unit here; units do not overlap, at two offsets
-    fives = [tuple(words[i : i + 5]) for s in (0, 2) for i in range(s, len(words) - 4, 5)] if len(count) < 0.9 * k else []
+    fives = [*zip(*(words[i:] for i in range(5)), strict=False)]
     upper = share(_UPPER)
     return (
         float(np.log1p(len(words))), sum(map(len, words)) / k, share(_LOWER) + upper, upper, share(b"0123456789"), share(b"#*$%&|<>"), share(b"!?"), share(b".,;:"), share(_HIGH), len(lines) / k, len(count) / k,
@@ -172,8 +171,17 @@ def measure(docs: DataFrame) -> DataFrame:
 def fit(measured: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Additive | None:
     """Learn from the rows with a label 0 or 1; beyond ``max_rows`` of them,
     those whose hashed ids come first."""
-    rows = measured.select("doc_id", "features").join(labels.select("doc_id", F.col("quality").alias("__y")), "doc_id").filter(F.col("__y").isin(0, 1))
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_rows).select("features", "__y").toPandas()
+    order = F.xxhash64("doc_id")
+    marks = labels.select("doc_id", F.col("quality").alias("__y")).filter(F.col("__y").isin(0, 1))
+    share, picked = (2.0 * max_rows + 50) / max(1, marks.count()), None
+    while True:
+        # first the rows that can be in the sample, by the share of the order's range, then exactly
+        near = (order.cast("double") / 2.0**63).between(-1.0, -1.0 + 2.0 * min(1.0, share))
+        rows = measured.select("doc_id", "features").filter(near).join(marks.filter(near), "doc_id")
+        picked = rows.orderBy(order, "doc_id", "features").limit(max_rows).select("features", "__y").toPandas()
+        if len(picked) >= max_rows or share >= 1:
+            break
+        share *= 8  # labels of documents that are not there
     if len(picked) == 0:
         return None
     return train(np.array(picked["features"].tolist()), picked["__y"].to_numpy(float))
