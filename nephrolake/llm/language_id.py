@@ -138,21 +138,31 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Netw
     # first the rows that can be in the sample, by the share of the order's range, then exactly
     share = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, (2.0 * docs_per_language + 50) / n))))
     near = rows.filter((F.col("__order").cast("double") / 2.0**63).between(-1.0, -1.0 + 2.0 * share[F.col("lang")]))
-    window = Window.partitionBy("lang").orderBy("__order", "text")
-    picked = near.withColumn("__n", F.row_number().over(window)).filter(F.col("__n") <= docs_per_language).select("lang", "text").toPandas()
+    window = Window.partitionBy("lang").orderBy("__order", "windows")
+    sample = near.select("lang", "__order", "text").mapInArrow(tidied(_sampled), "lang string, __order long, windows binary")  # texts stay where they are
+    picked = sample.withColumn("__n", F.row_number().over(window)).filter(F.col("__n") <= docs_per_language).select("lang", "__n", "windows").toPandas()
     languages = sorted(counts)
     x, y = [], []
-    for lang, text in sorted(zip(picked["lang"], picked["text"], strict=True)):
-        if LETTER.search(text):
-            all_windows = windows_of(text.encode())
-            at = np.unique(np.linspace(0, len(all_windows) - 1, WINDOWS_PER_DOC).round().astype(int))
-            x.append(all_windows[at])
-            y += [languages.index(lang)] * len(at)
-    if not x:
+    for lang, _, data in sorted(picked.itertuples(index=False, name=None)):
+        some = np.frombuffer(data, np.uint8).reshape(-1, WINDOW)
+        x.append(some)
+        y += [languages.index(lang)] * len(some)
+    if not y:
         return None
     return train(np.concatenate(x), np.array(y), languages)
 
 
+def _sampled(batches):
+    """The windows of a text that are learnt from, none if it holds no letter."""
+    for batch in batches:
+        out = []
+        for text in batch.column(2).to_pylist():
+            all_windows = windows_of(text.encode()) if LETTER.search(text) else np.zeros((0, WINDOW), np.uint8)
+            at = np.unique(np.linspace(0, max(0, len(all_windows) - 1), WINDOWS_PER_DOC).round().astype(int))[: len(all_windows)]
+            out.append(all_windows[at].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["lang", "__order", "windows"])
+
+
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """``docs`` with lang_pred and score added."""
     spark = prepare(docs.sparkSession)

@@ -52,6 +52,69 @@ def test_tables_match_the_filters():
     assert np.allclose(language_id.Scorer(net).probabilities(x), want, atol=1e-4)
 
 
+def test_language_against_brute_force(spark):
+    """The query's answers from plain filters over every window of every text; copies tie."""
+    data = "/root/testdata/sf0.001"
+    docs = documents(spark).select("doc_id", "text", "lang")
+    net = language_id.fit_on_documents(docs)
+    want = {}
+    for r in docs.collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            want[r.doc_id] = ("und", 0.0)
+            continue
+        data_ = r.text.encode()
+        x = language_id.windows_of(data_)
+        z = np.concatenate([sum(p[j][x[:, j : 256 - w + 1 + j]] for j in range(w)).max(axis=1) for w, p in zip(language_id.WIDTHS, net.filters, strict=True)], axis=1)
+        prob = language_id._softmax(np.maximum(z + net.bias, 0) @ net.out + net.out_bias)
+        size = np.array([len(data_[i : i + 256]) for i in range(0, len(data_), 256)])
+        mean = (prob * size[:, None]).sum(axis=0) / size.sum()
+        want[r.doc_id] = (net.languages[int(mean.argmax())], float(mean.max()))
+    rows = language_id.query(spark, data).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3
+
+
+def test_quality_against_brute_force(spark):
+    """The query's scores from its own tables, looked up one by one; copies tie."""
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{data}/labels.parquet").filter(~language_id.held_out(4, 2))
+    model = quality_model.fit(quality_model.measure(docs), labels)
+    want = {}
+    for r in docs.collect():
+        x = quality_model.features_of(r.text)
+        z = model.base + sum(t[sum(v >= e for e in edge)] for v, edge, t in zip(x, model.edges, model.tables, strict=True))
+        for (i, j), t in zip(model.pairs, model.pair_tables, strict=True):
+            z += t[sum(x[i] >= e for e in model.pair_edges[i]), sum(x[j] >= e for e in model.pair_edges[j])]
+        want[r.doc_id] = 1 / (1 + np.exp(-z))
+    rows = quality_model.query(spark, data).collect()
+    assert len(rows) == len(want) and all(abs(r.score - want[r.doc_id]) < 1e-9 for r in rows)
+
+
+def test_repeats_at_any_distance():
+    words = ["w%d" % i for i in range(23)]
+    at = quality_model.FEATURES.index("repeat_fives")
+    for gap in range(5):
+        text = " ".join(words + ["g%d" % i for i in range(gap)] + words)
+        assert quality_model.features_of(text)[at] > 0.3
+    assert quality_model.features_of(" ".join(words))[at] == 0
+
+
+def test_quality_sample_follows_ids(spark):
+    """With labels of documents that are not there the sample is still full, and ties in ids are kept apart."""
+    measured = quality_model.measure(documents(spark))
+    ids = [r.doc_id for r in documents(spark).select("doc_id").collect()]
+    labels = spark.createDataFrame([(i, i % 2) for i in [*ids, *range(10**6, 10**6 + 4000)]], "doc_id long, quality int")
+    seen = []
+    real, quality_model.train = quality_model.train, lambda x, y: seen.append(len(y))
+    try:
+        quality_model.fit(measured, labels, 50)
+    finally:
+        quality_model.train = real
+    assert seen == [50]
+
+
 def test_quality_held_out(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = quality_model.query(spark, "/root/testdata/sf0.1").join(labels, "doc_id").filter("held_out").collect()
