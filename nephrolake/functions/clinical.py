@@ -75,7 +75,10 @@ def age_bin(age: Column | str) -> Column:
 
 
 def event_key(subject: Column | str, charttime: Column | str, kind: Column | str, value: Column | str) -> Column:
-    return F.concat_ws("|", col(subject).cast("string"), F.date_format(col(charttime), "yyyy-MM-dd HH:mm:ss"), col(kind), col(value).cast("string"))
+    """The four fields as text; a missing one is written 'None', so that keys
+    with different missing fields differ."""
+    parts = col(subject).cast("string"), F.date_format(col(charttime), "yyyy-MM-dd HH:mm:ss"), col(kind).cast("string"), col(value).cast("string")
+    return F.concat_ws("|", *(F.coalesce(p, F.lit("None")) for p in parts))
 
 
 def topic_for(event_type: Column | str) -> Column:

@@ -5,18 +5,29 @@ scores, not the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD, BINS, MIN_GROUP, FLOOR = 0.5, 10, 10, 0.80
+#: Bands of a score's unit that prefix sums go by.
+BANDS = 1024
 
 
 def _steps(df: DataFrame, groups: list[str]) -> DataFrame:
     """By group and distinct score, from the highest: positives and negatives so far."""
     n = df.groupBy(*groups, "p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
-    down = Window.partitionBy(*groups).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*groups)
-    return n.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole)})
+    # prefix sums by bands of scores: no task holds all the scores of a group, and the bands are few
+    n = n.withColumn("_band", F.floor(F.coalesce(F.col("p").cast("double"), F.lit(-1.0)) * BANDS))
+    bands = n.groupBy(*groups, "_band").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    above, whole = Window.partitionBy(*groups).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*groups)
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    bands = bands.select(*(F.col(g).alias(f"_g_{g}") for g in groups), F.col("_band").alias("_b"), before("_pos").alias("_tp"), before("_neg").alias("_fp"), F.sum("_pos").over(whole).alias("all_pos"), F.sum("_neg").over(whole).alias("all_neg"))
+    same = F.col("_band") == F.col("_b")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    down = Window.partitionBy(*groups, "_band").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    out = n.join(bands, same).withColumns({"tp": F.col("_tp") + F.sum("pos").over(down), "fp": F.col("_fp") + F.sum("neg").over(down)})
+    return out.select(*groups, "p", "pos", "neg", "tp", "fp", "all_pos", "all_neg")
 
 
 def ranking_metrics(df: DataFrame, groups: list[str]) -> DataFrame:
@@ -43,6 +54,14 @@ def calibration_error(df: DataFrame, groups: list[str], bins: int = BINS) -> Dat
     return total.join(gaps, groups, "left").select(*groups, (F.coalesce("gap", F.lit(0.0)) / F.col("total")).alias("ece"))
 
 
+def cross_site(df: DataFrame, here: Column, bins: int = BINS, gap: float = 0.05) -> DataFrame:
+    """One row: calibration error where the model is from and elsewhere, and
+    whether they are more than ``gap`` apart."""
+    sites = calibration_error(df.withColumn("_here", here), ["_here"], bins)
+    one = sites.agg(F.max(F.when(F.col("_here"), F.col("ece"))).alias("ece_source"), F.max(F.when(~F.col("_here"), F.col("ece"))).alias("ece_target"))
+    return one.withColumn("warned", F.abs(F.col("ece_source") - F.col("ece_target")) > gap)
+
+
 def roc_points(df: DataFrame, groups: list[str]) -> DataFrame:
     return _steps(df, groups).select(*groups, F.col("p").alias("threshold"), F.try_divide("fp", "all_neg").alias("fpr"), F.try_divide("tp", "all_pos").alias("tpr"))
 

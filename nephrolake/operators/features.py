@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clinical import col
+from ..functions.clinical import col, hour_bucket
+from . import kdigo, series, staging
 
 HISTORY, FIRST = 20, 3
 
@@ -19,6 +20,21 @@ def baseline_of_three(events: DataFrame, value: str, tiebreak: str, key: str = "
     return history.select(key, F.explode(first).alias("v")).groupBy(key).agg(F.percentile("v", 0.5).alias("baseline"))
 
 
+def offset_cohort(patients: DataFrame, labs: DataFrame, intake: DataFrame, tiebreak: str) -> DataFrame:
+    """From patients (subject_id, age, weight), labs (labname, labresult) and
+    intake (intake_ml), both with a subject_id and minutes in ``offset``, to
+    hours with features by each patient's weight, and a stage."""
+    people = staging.plausible_patients(patients).select("subject_id", "weight")
+    at = lambda df: staging.shifted(df.filter(F.col("offset").isNotNull()), "offset").withColumnRenamed("event_time", "charttime")
+    named = staging.plausible_labs(labs).filter(F.lower(F.trim("labname")) == "creatinine")
+    hours = series.last_of_hour(at(named), "labresult", tiebreak)
+    urine = at(staging.plausible_intake(intake)).groupBy("subject_id", hour_bucket("charttime").alias("hour_bucket")).agg(F.sum("intake_ml").alias("urine_output_ml"))
+    both = series.outer_hours(hours, urine, ["subject_id", "hour_bucket"]).join(people, "subject_id")
+    out = series.engineer(both, weight=F.col("weight"))
+    stage = kdigo.stage_gap_free("creatinine", "creatinine_ratio", "creatinine_delta_48h", *(f"urine_ml_kg_hr_{h}h" for h in (6, 12, 24)))
+    return out.withColumn("kdigo_stage", stage)
+
+
 def feature_vector(current, baseline, ratio, delta, uo6, uo24) -> Column:
     """Ten slots; the last three stand for what a live stream does not know."""
     or_ = lambda c, x: F.coalesce(col(c), F.lit(x))

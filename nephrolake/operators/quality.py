@@ -67,10 +67,15 @@ def gate_rules(source_type: str, value_column: str = "valuenum") -> list[Rule]:
     raise ValueError(f"Unknown source_type: {source_type}")
 
 
+def missing_columns(df: DataFrame, required) -> list[str]:
+    """Required columns that are not there, in order of name."""
+    return sorted({*required} - {*df.columns})
+
+
 def run_gate(df: DataFrame, source_type: str, value_column: str = "valuenum") -> dict:
     """Checkpoint 1: passed, success_rate, failed columns, row count, report."""
     rules = gate_rules(source_type, value_column)
-    missing = sorted({r.column for r in rules} - {*df.columns})
+    missing = missing_columns(df, [r.column for r in rules])
     if missing:
         raise ValueError(f"missing required columns: {missing}")
     rows = [r.asDict() for r in evaluate(df, rules).collect()]  # one row for each rule

@@ -30,12 +30,26 @@ def sliding_counts(df: DataFrame, time: str = "ts", window: str = "1 hour", slid
     return df.groupBy(F.window(F.col(time).cast("timestamp"), window, slide).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
+def fm_registers(df: DataFrame, value: str, registers: int = REGISTERS) -> DataFrame:
+    """One row, a column z0, z1, ... for each register: the most trailing zeros
+    that the register's hash of a value has."""
+    distinct = df.select(F.col(value).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
+    return distinct.agg(*(F.max(trailing_zeros(hash32(F.concat(F.lit(f"{i}|"), "v")))).alias(f"z{i}") for i in range(registers)))
+
+
+def estimate(top: list[int]) -> int:
+    """The distinct count that registers stand for."""
+    if not any(top):
+        return 0
+    return round(len(top) / sum(2.0**-z for z in top) / PHI)
+
+
 def flajolet_martin(df: DataFrame, value: str, registers: int = REGISTERS) -> DataFrame:
     """One row: the estimate from ``registers`` hashes of each distinct value."""
-    distinct = df.select(F.col(value).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
-    per = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(registers - 1))).alias("i"), "v").groupBy("i").agg(F.max(trailing_zeros(hash32(F.concat_ws("|", F.col("i").cast("string"), "v")))).alias("z"))
-    total = per.agg(F.max("z").alias("top"), F.sum(F.pow(F.lit(2.0), -F.col("z"))).alias("s"))
-    return total.select(F.when(F.coalesce(F.col("top"), F.lit(0)) == 0, 0).otherwise(F.round(registers / F.col("s") / PHI)).cast("long").alias("estimate"))
+    row = fm_registers(df, value, registers)
+    z = [F.coalesce(F.col(f"z{i}"), F.lit(0)) for i in range(registers)]
+    total = sum((F.pow(F.lit(2.0), -x) for x in z[1:]), F.pow(F.lit(2.0), -z[0]))
+    return row.select(F.when(F.greatest(*z) == 0, 0).otherwise(F.round(registers / total / PHI)).cast("long").alias("estimate"))
 
 
 def reservoir(df: DataFrame, k: int, seed: int, key: str) -> DataFrame:
@@ -50,10 +64,16 @@ def reservoir_md5(df: DataFrame, k: int, seed: int, key: str) -> DataFrame:
 
 def mark_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """``status``: UNIQUE for the first row of a key, DUP for the rest. Firsts
-    are aggregated and joined back, so a key with many rows stays spread."""
-    first = df.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
+    are aggregated and joined back, so a key with many rows stays spread. NULL
+    is a key like any other. ``order`` should tell rows of a key apart: those
+    that tie for the first place are all UNIQUE."""
+    names = [f"_k{i}" for i in range(len(key))]
+    first = df.groupBy(*(F.col(k).alias(n) for k, n in zip(key, names, strict=True))).agg(F.min(F.struct(*order)).alias("_first"))
+    same = F.lit(True)
+    for k, n in zip(key, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
     test = F.struct(*order) == F.col("_first")
-    return df.join(first, key).withColumn("status", F.when(test, "UNIQUE").otherwise("DUP")).drop("_first")
+    return df.join(first, same).withColumn("status", F.when(test, "UNIQUE").otherwise("DUP")).drop("_first", *names)
 
 
 def seen_stats(df: DataFrame, key: list[str]) -> DataFrame:

@@ -47,6 +47,10 @@ def plausible_labs(labs: DataFrame) -> DataFrame:
     return labs.filter((F.lower(F.trim("labname")) != "creatinine") | F.col("labresult").between(0.3, 15))
 
 
+def plausible_intake(intake: DataFrame, value: str = "intake_ml", cap: float = 5000.0) -> DataFrame:
+    return intake.filter(F.col(value).between(0, cap) & F.col("subject_id").isNotNull())
+
+
 def by_label(events: DataFrame, dictionary: DataFrame, pattern: str) -> DataFrame:
     """Events of the items whose label matches. The dictionary is small and of
     fixed size; the session's broadcast threshold decides how it is joined."""

@@ -77,7 +77,10 @@ def with_views(sql: str) -> str:
 
     visit(sql)
     ctes = [f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in used]
-    return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + sql
+    if not ctes:
+        return sql
+    own = sql.lstrip()
+    return "WITH " + ",\n".join(ctes) + (",\n" + own[5:] if own.startswith("WITH ") else "\n" + sql)
 
 
 class Tables:

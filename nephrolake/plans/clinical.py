@@ -91,16 +91,6 @@ def _(t):
     return rel.engineered(t).select("subject_id", "hour_bucket", "creatinine", "baseline_creatinine", "creatinine_ratio", "creatinine_delta_48h", F.round("urine_ml_kg_hr_6h", 6).alias("u6"))
 
 
-@query("d3_offset_cohort", """SELECT id, hour_bucket, arg_max(labresult, (shifted, event_id)) AS creatinine FROM (SELECT event_id, user_id AS id, value / 10 AS labresult, TIMESTAMP '2022-01-01' + CAST(event_id % 5000 AS INTEGER) * INTERVAL 1 MINUTE AS shifted,
-    date_trunc('hour', TIMESTAMP '2022-01-01' + CAST(event_id % 5000 AS INTEGER) * INTERVAL 1 MINUTE) AS hour_bucket FROM events WHERE event_type = 'view' AND value / 10 BETWEEN 0.3 AND 15) e
-    JOIN raw_patients p ON e.id = p.subject_id AND p.weight BETWEEN 30 AND 250 GROUP BY 1, 2""")
-def _(t):
-    labs = t.events.filter("event_type = 'view'").select(F.col("event_id").alias("labevent_id"), F.col("user_id").alias("subject_id"), F.lit("creatinine").alias("labname"), (F.col("value") / 10).alias("labresult"), (F.col("event_id") % 5000).cast("int").alias("offset"))
-    people = staging.plausible_patients(t.raw_patients.withColumn("age", F.lit(50))).select("subject_id")
-    at = staging.shifted(staging.plausible_labs(labs), "offset").withColumnRenamed("event_time", "charttime").join(people, "subject_id")
-    return series.last_of_hour(at, "labresult", "labevent_id").withColumnRenamed("subject_id", "id")
-
-
 @query("d4_d5_d6_outer_features", """SELECT subject_id, hour_bucket, creatinine, min(creatinine) OVER (w ROWS 47 PRECEDING) AS min_cr_48h, creatinine - lag(creatinine, 1) OVER w AS cr_delta_1h,
     round(avg(urine_output_ml) OVER (w ROWS 5 PRECEDING) / (70.0::DOUBLE * 6), 8) AS v6 FROM outer_hours WINDOW w AS (PARTITION BY subject_id ORDER BY hour_bucket)""")
 def _(t):
@@ -268,7 +258,7 @@ def _(t):
 
 @query("v5_v7_true_stats", "SELECT care_unit, count(*) AS n, round(avg(anchor_age), 6) AS true_mean, round(4.5::DOUBLE / count(*), 9) AS sensitivity FROM raw_patients GROUP BY 1")
 def _(t):
-    out = privacy.dp_mean_by_unit(t.raw_patients, "care_unit", "anchor_age", epsilon=0)
+    out = privacy.dp_mean_by_unit(t.raw_patients, "care_unit", "anchor_age", epsilon=0, true_values=True)
     return out.select("care_unit", "n", F.round("true_mean", 6).alias("true_mean"), F.round("sensitivity", 9).alias("sensitivity"))
 
 
@@ -329,10 +319,12 @@ def _(t):
 
 @query("l1_l2_hashed_nearest")
 def _(t):
-    """Bucketed search; what it finds depends on its random planes, so tests
-    check it against the exact neighbours."""
+    """Bucketed search; what it finds depends on its random planes, so a test
+    holds it against the exact neighbours (recall of at least 0.9). These
+    vectors' neighbours lie at wide angles: 64 tables of 5 bits are needed, and
+    five rows in six share a bucket with a query in some table."""
     v = _vectors(t)
-    return similarity.hashed(v, v.filter("id % 100 = 0"), similarity.planes(8, 6, 64), 5).select("query_id", "id", "rank")
+    return similarity.hashed(v, v.filter("id % 100 = 0"), similarity.planes(64, 5, 64), 5).select("query_id", "id", "rank")
 
 
 @query("l4_l6_explanations", """SELECT c_custkey, CASE WHEN abs(c_acctbal) >= c_nationkey THEN printf('acctbal: %.2f%%', 100 * abs(c_acctbal) / (abs(c_acctbal) + c_nationkey + 0.000001)) ELSE printf('nation: %.2f%%', 100 * c_nationkey / (abs(c_acctbal) + c_nationkey + 0.000001)) END AS explanation FROM customer""")
@@ -384,13 +376,6 @@ def _(t):
     return evaluation.by_attribute(t.scored, ["lang", "source"]).select("attribute", "value", "n", F.round("f1", 9).alias("f1"), F.round("auroc", 9).alias("auroc"), "flagged")
 
 
-@query("e8_cross_site", "SELECT a.e AS ece_source, b.e AS ece_target, abs(a.e - b.e) > 0.05 AS warned FROM (SELECT round(abs(avg(p) - avg(y)), 9) AS e FROM scored WHERE lang = 'en') a, (SELECT round(abs(avg(p) - avg(y)), 9) AS e FROM scored WHERE lang <> 'en') b")
-def _(t):
-    gap = t.scored.groupBy((F.col("lang") == "en").alias("here")).agg(F.round(F.abs(F.avg("p") - F.avg("y")), 9).alias("e"))
-    one = gap.agg(F.max(F.when(F.col("here"), F.col("e"))).alias("ece_source"), F.max(F.when(~F.col("here"), F.col("e"))).alias("ece_target"))
-    return one.withColumn("warned", F.abs(F.col("ece_source") - F.col("ece_target")) > 0.05)
-
-
 @query("a13_correlations", """SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(corr(l_quantity, l_extendedprice), 8) AS corr FROM lineitem UNION ALL SELECT 'l_quantity', 'l_quantity', round(corr(l_quantity, l_quantity), 8) FROM lineitem
     UNION ALL SELECT 'l_extendedprice', 'l_extendedprice', round(corr(l_extendedprice, l_extendedprice), 8) FROM lineitem""")
 def _(t):

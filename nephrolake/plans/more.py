@@ -94,12 +94,6 @@ def _(t):
     return t.read("embeddings").select("vec_id", F.round(distance(v, F.transform(v, lambda x: F.lit(0.0))), 6).alias("norm"))
 
 
-@query("s2_bad_rows", "SELECT count(*) FILTER (event_id % 7 <> 0) AS rows_loaded, count(*) FILTER (event_id % 7 = 0) AS errors_seen FROM events")
-def _(t):
-    corrupt = F.when(F.col("event_id") % 7 == 0, F.concat(F.col("event_id"), F.lit(",x")))
-    return files.copy_into(t.events.select("event_id", corrupt.alias(files.CORRUPT)))[1]
-
-
 @query("s5_row_count_report", "SELECT 'nation' AS table_name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier")
 def _(t):
     return files.row_counts({n: t.read(n) for n in ("nation", "region", "supplier")})
@@ -111,16 +105,6 @@ def _(t):
     return replay.synthetic(t.spark, 20, 10)
 
 
-@query("s17_score_rows", """SELECT subject_id, hour_bucket AS score_ts, CASE WHEN creatinine_ratio >= 3.0 THEN 3 WHEN creatinine_ratio >= 2.0 THEN 2 WHEN creatinine_ratio >= 1.5 THEN 1 ELSE 0 END AS kdigo_stage, creatinine AS cr_current, 'UNIQUE' AS bloom_status FROM cr_features""")
-def _(t):
-    c = rel.creatinine_features(t)
-    traces = c.select(
-        F.col("subject_id").cast("string").alias("patient_id"), F.col("hour_bucket").alias("timestamp"), kdigo.stage_stream("creatinine_ratio", F.lit(None).cast("double")).alias("kdigo_stage"), F.lit(None).cast("double").alias("anomaly_score"),
-        F.col("creatinine").alias("cr_current"), F.col("min_cr_48h").alias("baseline_cr_48h"), F.col("creatinine_ratio").alias("cr_ratio"), F.lit(None).cast("double").alias("cr_delta_48h"),
-        *(F.lit(None).cast("double").alias(f"urine_velocity_{h}h") for h in (6, 12, 24)), F.lit(None).cast("string").alias("bloom"), F.lit(None).cast("long").alias("fm_distinct_patients"), F.lit(None).cast("long").alias("dgim_events_1h"), F.lit(None).cast("string").alias("triggered_by"))
-    return files.score_rows(traces).select("subject_id", F.col("score_ts").cast("timestamp_ntz").alias("score_ts"), "kdigo_stage", "cr_current", "bloom_status")
-
-
 @query("s24_newest_traces", "SELECT user_id AS patient_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 10")
 def _(t):
     doc = F.to_json(F.struct(F.col("user_id").alias("patient_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("timestamp"), "event_id"))

@@ -24,6 +24,9 @@ SCHEMAS = {
 }
 LIVE_SCORES = "subject_id long, score_ts timestamp, kdigo_stage int, anomaly_score double, cr_current double, baseline_cr_48h double, cr_ratio double, cr_delta_48h double, urine_velocity_6h double, urine_velocity_12h double, urine_velocity_24h double, bloom_status string, fm_distinct_patients long, dgim_events_1h long, triggered_by string"
 
+TRAINING_SET = "subject_id long, hour_bucket timestamp, kdigo_stage int, creatinine double, creatinine_ratio double, cr_delta_48h double, urine_output_velocity_6h double, urine_output_velocity_24h double, age_group string, gender string, target int"
+DP_METRICS = "metric string, group_value string, dp_mean double, dp_count int, epsilon double, mechanism string, sensitivity double, computed_at timestamp"
+
 
 def schema_of(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)
@@ -45,10 +48,12 @@ def read_text_table(spark: SparkSession, path: str, columns: list[str]) -> DataF
 
 def copy_into(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows, one row with rows_loaded and errors_seen): bad rows are skipped."""
-    kept = df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    # the whole row is read, so that a column that does not parse is seen
-    counts = df.select(F.struct("*").alias("r")).agg(F.count_if(F.col(f"r.{CORRUPT}").isNull()).alias("rows_loaded"), F.count_if(F.col(f"r.{CORRUPT}").isNotNull()).alias("errors_seen"))
-    return kept, counts
+    others = [c for c in df.columns if c != CORRUPT]
+    # a column that nobody asks for is not parsed, and its bad values would pass: a test
+    # that always holds asks for all of them, whatever is selected later
+    whole = F.xxhash64(*others) >= F.lit(-(2**63))
+    good = F.col(CORRUPT).isNull() & whole
+    return df.filter(good).drop(CORRUPT), df.agg(F.count_if(good).alias("rows_loaded"), F.count_if(F.col(CORRUPT).isNotNull() & whole).alias("errors_seen"))
 
 
 def load_tables(spark: SparkSession, root: str, names: list[str] | None = None) -> dict[str, DataFrame]:
@@ -63,8 +68,8 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    df.write.mode("overwrite").option("header", True).option("compression", compression).csv(path)
 
 
 def database_for(layer: str, prefix: str = "") -> str:
@@ -75,17 +80,41 @@ def provision(spark: SparkSession, layers=DATABASES, prefix: str = "") -> None:
     """Databases of the layers and the live score table, if they are not there."""
     for layer in layers:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database_for(layer, prefix)}")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {database_for('mart', prefix)}.live_risk_scores ({LIVE_SCORES}, ingested_at timestamp) USING parquet")
+    for name, columns in {"live_risk_scores": f"{LIVE_SCORES}, ingested_at timestamp", "training_set": TRAINING_SET, "dp_metrics": DP_METRICS}.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database_for('mart', prefix)}.{name} ({columns}) USING parquet")
+
 
+def as_declared(df: DataFrame, ddl: str) -> DataFrame:
+    """``df`` in the columns and types of a declared table; what it lacks is NULL.
+    Fractional counts (noise makes them) are rounded where the table has whole ones."""
+    whole = (T.IntegerType, T.LongType)
+    value = lambda f: F.round(f.name) if isinstance(f.dataType, whole) and isinstance(df.schema[f.name].dataType, T.DoubleType) else F.col(f.name)
+    return df.select(*((value(f) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema_of(ddl)))
 
-def materialize(df: DataFrame, layer: str, name: str, kind: str = "table", prefix: str = "", cluster: list[str] | None = None) -> None:
-    """A temporary view, or a table sorted within partitions by the clustering columns."""
+
+def materialize(df: DataFrame, layer: str, name: str, kind: str = "table", prefix: str = "", cluster: list[str] | None = None, unique: list[str] | None = None, newest: str | None = None) -> None:
+    """``view``: a temporary view. ``table``: a table sorted within partitions
+    by the clustering columns. ``incremental``: rows of ``df`` replace those of
+    the table with the same ``unique`` columns, only rows later than the
+    table's ``newest`` being taken if that is given."""
     if kind == "view":
         df.createOrReplaceTempView(name)
         return
+    spark, table = df.sparkSession, f"{database_for(layer, prefix)}.{name}"
+    if kind == "incremental" and spark.catalog.tableExists(table):
+        old = spark.table(table)
+        if newest is not None:
+            last = old.agg(F.max(newest)).first()[0]
+            df = df if last is None else df.filter(F.col(newest) > F.lit(last))
+        merged = old.join(df.select(*unique), unique, "left_anti").unionByName(df) if unique else old.unionByName(df)
+        # a table can't be read and written at once: the new one takes its place when it is whole
+        merged.write.mode("overwrite").format("parquet").saveAsTable(f"{table}__next")
+        spark.sql(f"DROP TABLE {table}")
+        spark.sql(f"ALTER TABLE {table}__next RENAME TO {table}")
+        return
     if cluster:
         df = df.repartition(*cluster[:1]).sortWithinPartitions(*cluster)
-    df.write.mode("overwrite").format("parquet").saveAsTable(f"{database_for(layer, prefix)}.{name}")
+    df.write.mode("overwrite").format("parquet").saveAsTable(table)
 
 
 def fresh(df: DataFrame, column: str = "computed_at", hours: int = 24) -> Column:

@@ -31,9 +31,9 @@ def to_kafka(messages: DataFrame, servers: str) -> None:
     in_order(messages).write.format("kafka").option("kafka.bootstrap.servers", servers).save()
 
 
-def parsed(messages: DataFrame) -> DataFrame:
-    """Typed events from messages, topic kept."""
-    return messages.select("topic", F.from_json("value", PAYLOAD).alias("e")).select("topic", "e.*")
+def parsed(messages: DataFrame, *kept: str) -> DataFrame:
+    """Typed events from messages, topic and ``kept`` columns as they are."""
+    return messages.select("topic", *kept, F.from_json("value", PAYLOAD).alias("e")).select("topic", *kept, "e.*")
 
 
 def synthetic(spark: SparkSession, subjects: int, readings: int, creatinine: tuple[float, float] = (1.2, 0.4), urine: tuple[float, float] = (60.0, 20.0), seed: int = 42) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nephrolake.operators import ml, similarity
 from nephrolake.sources import files
-from nephrolake.streaming import replay, trace
+from nephrolake.streaming import live, replay, trace
 
 EVENTS = "subject_id string, charttime timestamp, event_type string, value double, event_id long"
 
@@ -145,3 +145,84 @@ def test_hashed_neighbours_recall(spark):
     exact = {(r.query_id, r.id) for r in similarity.brute_force(v, q, 1).collect()}
     found = {(r.query_id, r.id) for r in similarity.hashed(v, q, similarity.planes(24, 5, 64), 1).collect()}
     assert len(exact & found) >= 0.5 * len(exact)
+
+
+def test_hashed_neighbours_recall_as_registered(spark):
+    import __spark_entry__ as entry
+
+    for data in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
+        exact, found = ({(r.query_id, r.id) for r in entry.registry.QUERIES[n](spark, data).collect()} for n in ("l3_l5_nearest", "l1_l2_hashed_nearest"))
+        assert len(exact & found) >= 0.9 * len(exact) > 0
+
+
+def test_brute_force_in_blocks(spark, monkeypatch):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("z"))
+    q = v.filter("id % 40 = 0")
+    want = sorted(similarity.brute_force(v, q, 3).select("query_id", "id", "rank").collect())
+    monkeypatch.setattr(similarity, "BROADCAST_QUERIES", 4)
+    assert sorted(similarity.brute_force(v, q, 3).select("query_id", "id", "rank").collect()) == want
+
+
+def test_spellings_and_repeats():
+    events = rows(("1", 0, "CR ", 1.0), ("1", 1, " uo", 210), ("1", 1, " uo", 210), ("1", 12, "cr", 2.5))
+    t = trace.process(events)
+    assert [x["bloom"] for x in t] == ["UNIQUE", "UNIQUE", "DUP", "UNIQUE"] and t[2]["urine_velocity_6h"] == pytest.approx(0.5)
+    assert (t[-1]["cr_ratio"], t[-1]["cr_delta_48h"], t[-1]["n_events"]) == (2.5, 1.5, 3)
+    assert trace.process(rows(("1", 0, "cr", 0.7), ("1", 1, "cr", 1.0)))[-1]["cr_ratio"] == 1.4286
+
+
+def test_counters_go_on(spark, tmp_path):
+    """Registers and minutes carry over from batch to batch; a batch that runs again gives the same."""
+    count = live.counters(str(tmp_path / "counters"))
+    at = lambda lo, hi, minute: spark.range(lo, hi).select(F.col("id").cast("string").alias("patient_id"), F.to_timestamp(F.lit(f"2150-01-01 {minute // 60:02}:{minute % 60:02}:00")).alias("timestamp"))
+    get = lambda df, n: count(df, n).select("fm_distinct_patients", "dgim_events_1h").first()[:]
+    first, second, late = get(at(0, 500, 0), 0), get(at(400, 3000, 30), 1), get(at(0, 10, 75), 2)
+    assert get(at(400, 3000, 30), 1) == second
+    assert first[1] == 500 and second[1] == 3100 and late[1] == 2610
+    assert 100 < first[0] < 2500 and 600 < second[0] < 15000 and late[0] == second[0]
+    whole = at(0, 3000, 0).withColumnRenamed("patient_id", "v")
+    from nephrolake.operators import sketches
+
+    assert sketches.flajolet_martin(whole, "v").first()[0] == second[0]
+
+
+def test_topics_in_and_console(spark, tmp_path, capfd):
+    sent = replay.routed(replay.synthetic(spark, 4, 3)).select("topic", "value", F.lit("2150-01-01").cast("timestamp").alias("timestamp"), F.monotonically_increasing_id().alias("offset"))
+    got = live.typed(sent.withColumn("value", F.col("value").cast("binary")))
+    assert got.count() == 12 and {"kafka_ts", "event_id", "topic", "subject_id"} <= {*got.columns}
+    o = live.kafka_options("a:1", at_most=10)
+    assert o["startingOffsets"] == "earliest" and o["maxOffsetsPerTrigger"] == "10" and o["subscribe"].count(",") == 2
+    q = live.to_console(stream(spark, tmp_path, got.select("subject_id", "event_id")), None).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(60)
+    assert q.exception() is None
+
+
+def test_twins_and_group_size(spark):
+    vector = lambda *v: dict(zip(live.VECTOR, map(float, v), strict=True))
+    history = spark.createDataFrame([{"id": 1, "outcome": "stable", **vector(1, 1, 1, 0, 1, 1, 1)}, {"id": 2, "outcome": "stage 3", **vector(9, 1, 9, 8, 0, 0, 0)}])
+    traces = spark.createDataFrame([{"patient_id": "7", "timestamp": "a", **vector(8, 1, 8, 7, 0, 0, 0)}, {"patient_id": "8", "timestamp": "a", **vector(1, 1, 1, 0, 1, 1, 1)}])
+    out = {r.patient_id: r.twins for r in live.with_twins(traces, history, similarity.planes(16, 2, 7), 1).collect()}
+    assert out["7"][0]["id"] == 2 and out["7"][0]["outcome"] == "stage 3" and out["8"][0]["id"] == 1 and out["8"][0]["dist"] == 0
+    people = spark.createDataFrame([("7", "F", 60), ("8", "F", 60), ("9", "M", 60)], "patient_id string, gender string, age int")
+    assert {r.patient_id: r.k_anonymity for r in live.with_group_size(traces, people, ["gender", "age"]).collect()} == {"7": "k=2", "8": "k=2"}
+
+
+def test_first_seen_with_missing_keys(spark):
+    from nephrolake.functions.clinical import event_key
+    from nephrolake.operators import sketches
+
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, n int")
+    assert sorted(r.status for r in sketches.mark_seen(df, ["k"], ["n"]).collect()) == ["DUP", "UNIQUE", "UNIQUE"]
+    keys = df.select(event_key("k", F.lit("2150-01-01 08:00:00").cast("timestamp"), F.lit("creatinine"), F.lit(1.2)).alias("k")).collect()
+    assert keys[2].k == "a|2150-01-01 08:00:00|creatinine|1.2" and keys[0].k == "None|2150-01-01 08:00:00|creatinine|1.2"
+
+
+def test_incremental_table(spark):
+    files.provision(spark, ["silver", "mart"], prefix="i_")
+    rows_ = lambda *r: spark.createDataFrame(r, "id int, at int, v string")
+    for part in (rows_((1, 1, "a"), (2, 1, "b")), rows_((2, 2, "c"), (3, 2, "d"), (9, 0, "old"))):
+        files.materialize(part, "silver", "t", "incremental", "i_", unique=["id"], newest="at")
+    assert sorted(r[:] for r in spark.table("i_silver.t").collect()) == [(1, 1, "a"), (2, 2, "c"), (3, 2, "d")]
+    assert spark.table("i_mart.dp_metrics").columns[:2] == ["metric", "group_value"] and spark.table("i_mart.training_set").columns[-1] == "target"
+    for name in ("silver", "mart"):
+        spark.sql(f"DROP DATABASE i_{name} CASCADE")
