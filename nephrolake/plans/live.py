@@ -104,8 +104,8 @@ def _(t):
     return live.composed(readings(t)).select("event_id", "bloom", "dgim_events_1h", "fm_distinct_patients", "n_events", "cr_current", "baseline_cr_48h", F.round("urine_velocity_6h", 6).alias("u6"), "triggered_by")
 
 
-@query("s17_s18_score_rows", f"""{_COMPOSED} SELECT subject_id, charttime AS score_ts, {_STAGE} AS kdigo_stage, round({_SCORE}, 1) AS anomaly_score, cr_current, baseline_cr_48h, round(ratio, 4) AS cr_ratio, round(delta, 4) AS cr_delta_48h,
-    round(u6, 6) AS urine_velocity_6h, round(u12, 6) AS urine_velocity_12h, round(u24, 6) AS urine_velocity_24h, 'UNIQUE' AS bloom_status, fm_distinct_patients, dgim_events_1h, triggered_by FROM final""")
+@query("s17_s18_score_rows", f"""{_COMPOSED} SELECT subject_id, charttime AS score_ts, {_STAGE} AS kdigo_stage, (n // 1000 + CAST(n % 1000 > 500 OR n % 1000 = 500 AND n // 1000 % 2 = 1 AS INTEGER)) / 10.0::DOUBLE AS anomaly_score, cr_current, baseline_cr_48h, round(ratio, 4) AS cr_ratio, round(delta, 4) AS cr_delta_48h,
+    round(u6, 6) AS urine_velocity_6h, round(u12, 6) AS urine_velocity_12h, round(u24, 6) AS urine_velocity_24h, 'UNIQUE' AS bloom_status, fm_distinct_patients, dgim_events_1h, triggered_by FROM (SELECT *, CAST(round({_SCORE} * 10000) AS BIGINT) AS n FROM final)""")
 def _(t):
     rows = files.score_rows(live.composed(readings(t)))
     return rows.withColumns({f"urine_velocity_{h}h": F.round(f"urine_velocity_{h}h", 6) for h in (6, 12, 24)} | {"score_ts": F.col("score_ts").cast("timestamp_ntz")})
