@@ -46,3 +46,23 @@ def test_cuts():
     assert packing.cuts(2 * 8 + 5, 8) == [(0, 8), (8, 8), (16, 4), (20, 1)]
     for n in range(200):
         assert sum(x[1] for x in packing.cuts(n, 16)) == n
+
+
+def test_same_ids_as_the_tokenizers_library():
+    """The fast path against the library itself: documents, odd Unicode, entries of the vocabulary."""
+    import json
+    import random
+
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng, tok, enc = random.Random(7), Tokenizer.from_file(path), packing.encoder(path)
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    pool = [*" \t\n\r\x0b\u00a0\u2028'", *"abcXYZ0189.,!?|<>#", "\u00e9", "e\u0301", "\u05d0", "\u4e2d", "\U0001f600", "\u200d", "\ufeff", "'s", "'LL", "\u0130", "\u00df"]
+    texts += ["".join(rng.choices(pool, k=rng.randrange(1, 60))) for _ in range(3000)]
+    names = [*json.load(open(path, encoding="utf-8"))["model"]["vocab"]]
+    texts += ["".join(rng.choices(names, k=4)) for _ in range(500)]
+    for text in filter(None, texts):
+        assert enc.encode(text) == tok.encode(text, add_special_tokens=False).ids, text[:80]
