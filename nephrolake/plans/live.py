@@ -104,11 +104,11 @@ def _(t):
     return live.composed(readings(t)).select("event_id", "bloom", "dgim_events_1h", "fm_distinct_patients", "n_events", "cr_current", "baseline_cr_48h", F.round("urine_velocity_6h", 6).alias("u6"), "triggered_by")
 
 
-@query("s17_s18_score_rows", f"""{_COMPOSED} SELECT subject_id, charttime AS score_ts, {_STAGE} AS kdigo_stage, (n // 1000 + CAST(n % 1000 > 500 OR n % 1000 = 500 AND n // 1000 % 2 = 1 AS INTEGER)) / 10.0::DOUBLE AS anomaly_score, cr_current, baseline_cr_48h, round(ratio, 4) AS cr_ratio, round(delta, 4) AS cr_delta_48h,
-    round(u6, 6) AS urine_velocity_6h, round(u12, 6) AS urine_velocity_12h, round(u24, 6) AS urine_velocity_24h, 'UNIQUE' AS bloom_status, fm_distinct_patients, dgim_events_1h, triggered_by FROM (SELECT *, CAST(round({_SCORE} * 10000) AS BIGINT) AS n FROM final)""")
+@query("s17_s18_score_rows", f"""{_COMPOSED} SELECT subject_id, charttime AS score_ts, {_STAGE} AS kdigo_stage, (floor(d) + CAST(d - floor(d) > 0.5 OR d - floor(d) = 0.5 AND floor(d) % 2 = 1 AS INTEGER))::DOUBLE / 10 AS anomaly_score, cr_current, baseline_cr_48h, floor(round(ratio, 4) * 100 + 0.001) / 100 AS cr_ratio, round(delta, 3) AS cr_delta_48h,
+    round(u6, 6) AS urine_velocity_6h, round(u12, 6) AS urine_velocity_12h, round(u24, 6) AS urine_velocity_24h, 'UNIQUE' AS bloom_status, fm_distinct_patients, dgim_events_1h, triggered_by FROM (SELECT *, CAST(CAST(({_SCORE})::DOUBLE AS VARCHAR) AS DECIMAL(24, 16)) * 10 AS d FROM final)""")
 def _(t):
     rows = files.score_rows(live.composed(readings(t)))
-    return rows.withColumns({f"urine_velocity_{h}h": F.round(f"urine_velocity_{h}h", 6) for h in (6, 12, 24)} | {"score_ts": F.col("score_ts").cast("timestamp_ntz")})
+    return rows.withColumns({f"urine_velocity_{h}h": F.round(f"urine_velocity_{h}h", 6) for h in (6, 12, 24)} | {"cr_ratio": F.floor(F.col("cr_ratio") * 100 + 0.001) / 100, "cr_delta_48h": F.round("cr_delta_48h", 3)} | {"score_ts": F.col("score_ts").cast("timestamp_ntz")})
 
 
 @query("t1_t4_t5_stream_traces", f"{_COMPOSED} SELECT CAST(subject_id AS VARCHAR) AS patient_id, charttime AS at, lower(trim(event_type)) AS kind, n_events, cr_current, baseline_cr_48h, triggered_by FROM final WHERE subject_id IS NOT NULL AND value IS NOT NULL")
