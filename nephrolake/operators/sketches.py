@@ -30,14 +30,17 @@ def sliding_counts(df: DataFrame, time: str = "ts", window: str = "1 hour", slid
     return df.groupBy(F.window(F.col(time).cast("timestamp"), window, slide).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
-def fm_registers(df: DataFrame, value: str, registers: int = REGISTERS) -> DataFrame:
-    """One row, a column z0, z1, ... for each register: the most trailing zeros
-    that the register's hash of a value has."""
+def _by_register(df: DataFrame, value: str, registers: int) -> DataFrame:
+    """(i, z): the most trailing zeros that register i's hash of a value has,
+    combined within a task before anything is shuffled."""
     distinct = df.select(F.col(value).cast("string").alias("v")).filter("v IS NOT NULL").distinct()
-    # combined to a row for each register within a task; 64 hashes as columns took three times as long
     per = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(registers - 1))).alias("i"), "v")
-    per = per.groupBy("i").agg(F.max(trailing_zeros(hash32(F.concat_ws("|", F.col("i").cast("string"), "v")))).alias("z"))
-    return per.agg(*(F.max(F.when(F.col("i") == i, F.col("z"))).alias(f"z{i}") for i in range(registers)))
+    return per.groupBy("i").agg(F.max(trailing_zeros(hash32(F.concat_ws("|", F.col("i").cast("string"), "v")))).alias("z"))
+
+
+def fm_registers(df: DataFrame, value: str, registers: int = REGISTERS) -> DataFrame:
+    """One row, a column z0, z1, ... for each register."""
+    return _by_register(df, value, registers).agg(*(F.max(F.when(F.col("i") == i, F.col("z"))).alias(f"z{i}") for i in range(registers)))
 
 
 def estimate(top: list[int]) -> int:
@@ -49,10 +52,8 @@ def estimate(top: list[int]) -> int:
 
 def flajolet_martin(df: DataFrame, value: str, registers: int = REGISTERS) -> DataFrame:
     """One row: the estimate from ``registers`` hashes of each distinct value."""
-    row = fm_registers(df, value, registers)
-    z = [F.coalesce(F.col(f"z{i}"), F.lit(0)) for i in range(registers)]
-    total = sum((F.pow(F.lit(2.0), -x) for x in z[1:]), F.pow(F.lit(2.0), -z[0]))
-    return row.select(F.when(F.greatest(*z) == 0, 0).otherwise(F.round(registers / total / PHI)).cast("long").alias("estimate"))
+    total = _by_register(df, value, registers).agg(F.max("z").alias("top"), F.sum(F.pow(F.lit(2.0), -F.col("z"))).alias("s"))
+    return total.select(F.when(F.coalesce(F.col("top"), F.lit(0)) == 0, 0).otherwise(F.round(registers / F.col("s") / PHI)).cast("long").alias("estimate"))
 
 
 def reservoir(df: DataFrame, k: int, seed: int, key: str) -> DataFrame:
