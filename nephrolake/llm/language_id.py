@@ -32,7 +32,7 @@ DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 1200, 3
 EPOCHS, BATCH, RATE = 3, 64, 0.004
 #: Windows that are scored at once.
 CHUNK = 512
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -128,6 +128,11 @@ class Scorer:
         return out
 
 
+def has_letter(text: str) -> bool:
+    """Word characters that are no digits hold letters, and a few numerals."""
+    return any(m.group().isalpha() for m in WORDLIKE.finditer(text))
+
+
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Network | None:
     """Learn from (text, lang) rows; ``__order`` decides which rows a language
     gives when it has more than ``docs_per_language``."""
@@ -157,7 +162,7 @@ def _sampled(batches):
     for batch in batches:
         out = []
         for text in batch.column(2).to_pylist():
-            all_windows = windows_of(text.encode()) if LETTER.search(text) else np.zeros((0, WINDOW), np.uint8)
+            all_windows = windows_of(text.encode()) if has_letter(text) else np.zeros((0, WINDOW), np.uint8)
             at = np.unique(np.linspace(0, max(0, len(all_windows) - 1), WINDOWS_PER_DOC).round().astype(int))[: len(all_windows)]
             out.append(all_windows[at].tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["lang", "__order", "windows"])
@@ -175,7 +180,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
         for batch in batches:
             langs, scores = [], []
             for group in _groups(batch.column(batch.schema.get_field_index("text")).to_pylist()):
-                datas = [t.encode() if scorer is not None and t and LETTER.search(t) else None for t in group]
+                datas = [t.encode() if scorer is not None and t and has_letter(t) else None for t in group]
                 views = [windows_of(d) for d in datas if d is not None]
                 probs = scorer.probabilities(np.concatenate(views)) if views else None
                 at = 0

@@ -478,7 +478,9 @@ def _named(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 def join_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, class_id
-    (equal for documents with the same set), rid (``row_key`` of the row)."""
+    (equal for documents with the same set), rid (``row_key`` of the row), root
+    (equal for rows that links join, also where rows of one id are not linked;
+    NULL for a row without an id or without words)."""
     spark = prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows, rows_path = stash(_sketch(docs, _frequent(docs, n), n, percent), "sketch")
@@ -509,11 +511,12 @@ def join_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     discard(spark, apart_path, left_path, path, first_path, second_path, *comp_paths)
 
     least = classes.select("cls", "least").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
-    named, named_path = stash(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id"), "named")
+    named, named_path = stash(least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "root", "component_id"), "named")
     discard(spark, classes_path, *roots_paths)
     out = rows.select("rid", "doc_id", "cls", "size").join(named, "cls", "left")
+    root = F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("root"))
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.when(F.col("size") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), F.col("cls").alias("class_id"), "rid")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"), F.col("cls").alias("class_id"), "rid", root.alias("root"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,20 @@ def test_edges_and_empty(spark):
             assert stage(spark, table, DATA).count() >= 0
 
 
+def test_nothing_to_learn_from(spark):
+    """Without a label, only documents without a letter go."""
+    docs = spark.createDataFrame([(1, "plain words", None), (2, "12 \u00bd \u00b2 _", None), (3, None, None), (4, "\u00e9", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, DATA).collect()} == {1, 4}
+
+
+def test_one_id_on_several_texts(spark):
+    """Texts under one id that are not linked stay; of linked ones the least id does."""
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black brown")
+    docs = spark.createDataFrame([(5, a), (5, b), (9, b), (7, c), (7, c + " "), (3, ""), (3, None)], "doc_id long, text string")
+    kept = [(r.doc_id, (r.text or "").strip()) for r in corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()]
+    assert sorted(kept) == [(3, ""), (3, ""), (5, a), (5, b), (7, c)]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns == packing.pack(empty(spark), public_tokenizers.path("byte_bpe_50k.json")).columns and out.count() > 200
