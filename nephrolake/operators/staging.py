@@ -10,15 +10,18 @@ from ..functions.clinical import CREATININE_ITEMS, URINE_ITEMS, parse_time, to_n
 RENAL_LABELS = {"creatinine": "creatinine", "urine": "urine|foley|void"}
 
 
-def creatinine(labs: DataFrame, low: float = 0.3, high: float = 15.0, unit: str = "mg/dL") -> DataFrame:
-    """Plausible readings of the allowed items, in typed columns."""
-    return labs.filter(F.col("itemid").isin(*CREATININE_ITEMS) & F.col("valuenum").between(low, high) & (F.col("valueuom") == unit) & F.col("subject_id").isNotNull() & F.col("charttime").isNotNull())
+def creatinine(labs: DataFrame, low: float = 0.3, high: float = 15.0, unit: str = "mg/dL", whole: bool = True) -> DataFrame:
+    """Plausible readings of the allowed items, in typed columns; ``whole``:
+    subject and time must be there."""
+    good = F.col("itemid").isin(*CREATININE_ITEMS) & F.col("valuenum").between(low, high) & (F.col("valueuom") == unit)
+    return labs.filter(good & F.col("subject_id").isNotNull() & F.col("charttime").isNotNull() if whole else good)
 
 
 def creatinine_from_text(labs: DataFrame) -> DataFrame:
-    """The same from all-text landing tables, with casts that give NULL."""
+    """The older form, from all-text landing tables, with casts that give NULL:
+    wider bounds, and a reading without a subject or a time stays."""
     typed = labs.select(*(F.col(c).try_cast("long").alias(c) for c in ("subject_id", "hadm_id", "itemid")), parse_time("charttime").alias("charttime"), to_number("valuenum").alias("valuenum"), "valueuom")
-    return creatinine(typed, 0.1, 20.0)
+    return creatinine(typed, 0.1, 20.0, whole=False)
 
 
 def urine(outputs: DataFrame, cap: float | None = None, unit: str | None = None) -> DataFrame:

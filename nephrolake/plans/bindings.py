@@ -2,7 +2,8 @@
 
 ``events`` gives readings (all but clicks: creatinine = value / 10), urine
 (clicks) and stays (signups); ``customer`` gives patients, ``orders``
-admissions. Both forms are views: nothing is computed until it is used.
+admissions. Some readings have no subject, no time, another unit or another
+item. Both forms are views: nothing is computed until it is used.
 """
 
 from __future__ import annotations
@@ -10,18 +11,18 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNITS = ("MICU", "SICU", "CCU", "Med-Surg", "Neuro")
 
 #: DuckDB forms, in order of use.
 VIEWS = {
-    "raw_labs": """SELECT event_id AS labevent_id, user_id AS subject_id, user_id + 100000 AS hadm_id, user_id + 500000 AS stay_id,
-        CASE event_type WHEN 'purchase' THEN 50912 WHEN 'view' THEN 51081 WHEN 'error' THEN 52024 ELSE 52546 END AS itemid,
-        ts AS charttime, value / 10 AS valuenum, 'mg/dL' AS valueuom FROM events WHERE event_type <> 'click'""",
-    "raw_outputs": """SELECT event_id, user_id AS subject_id, user_id + 100000 AS hadm_id, user_id + 500000 AS stay_id,
-        226559 + event_id % 3 AS itemid, ts AS charttime, value, 'mL' AS valueuom FROM events WHERE event_type = 'click'""",
+    "raw_labs": """SELECT event_id AS labevent_id, CASE WHEN event_id % 101 <> 0 THEN user_id END AS subject_id, user_id + 100000 AS hadm_id,
+        user_id + 500000 AS stay_id, CASE WHEN event_id % 19 = 0 THEN 50971 ELSE CASE event_type WHEN 'purchase' THEN 50912 WHEN 'view' THEN 51081 WHEN 'error' THEN 52024 ELSE 52546 END END AS itemid,
+        CASE WHEN event_id % 103 <> 0 THEN ts END AS charttime, value / 10 AS valuenum, CASE WHEN event_id % 17 = 0 THEN 'umol/L' WHEN event_id % 107 <> 0 THEN 'mg/dL' END AS valueuom FROM events WHERE event_type <> 'click'""",
+    "raw_outputs": """SELECT event_id, CASE WHEN event_id % 101 <> 0 THEN user_id END AS subject_id, user_id + 100000 AS hadm_id, user_id + 500000 AS stay_id,
+        CASE WHEN event_id % 19 = 0 THEN 220045 ELSE 226559 + event_id % 3 END AS itemid, CASE WHEN event_id % 103 <> 0 THEN ts END AS charttime, value, 'mL' AS valueuom FROM events WHERE event_type = 'click'""",
     "raw_stays": """SELECT user_id AS subject_id, user_id + 100000 AS hadm_id, user_id + 500000 AS stay_id, 'MICU' AS first_careunit,
         min(ts) AS intime, min(ts) + INTERVAL 10 DAY AS outtime, CAST(10.0 AS DOUBLE) AS los FROM events WHERE event_type = 'signup' GROUP BY user_id""",
     "signup_stays": """SELECT event_id AS stay_id, user_id AS subject_id, user_id + 100000 AS hadm_id, ts AS intime, ts + INTERVAL 48 HOUR AS outtime
@@ -99,14 +100,27 @@ class Tables:
     def _subject(self) -> list:
         return [F.col("user_id").alias("subject_id"), (F.col("user_id") + 100000).alias("hadm_id"), (F.col("user_id") + 500000).alias("stay_id")]
 
+    def _reading(self, item: Column, other: int) -> list:
+        """Whose, which and when: subjects and times are missing here and there,
+        and some items are of another kind."""
+        k = F.col("event_id")
+        return [
+            F.when(k % 101 != 0, F.col("user_id")).alias("subject_id"), *self._subject()[1:],
+            F.when(k % 19 == 0, other).otherwise(item).alias("itemid"), F.when(k % 103 != 0, F.col("ts")).alias("charttime"),
+        ]
+
     @cached_property
     def raw_labs(self) -> DataFrame:
-        item = F.when(F.col("event_type") == "purchase", 50912).when(F.col("event_type") == "view", 51081).when(F.col("event_type") == "error", 52024).otherwise(52546)
-        return self.events.filter("event_type <> 'click'").select(F.col("event_id").alias("labevent_id"), *self._subject(), item.alias("itemid"), F.col("ts").alias("charttime"), (F.col("value") / 10).alias("valuenum"), F.lit("mg/dL").alias("valueuom"))
+        k, kind = F.col("event_id"), F.col("event_type")
+        item = F.when(kind == "purchase", 50912).when(kind == "view", 51081).when(kind == "error", 52024).otherwise(52546)
+        unit = F.when(k % 17 == 0, "umol/L").when(k % 107 != 0, "mg/dL")
+        return self.events.filter("event_type <> 'click'").select(
+            k.alias("labevent_id"), *self._reading(item, 50971), (F.col("value") / 10).alias("valuenum"), unit.alias("valueuom"))
 
     @cached_property
     def raw_outputs(self) -> DataFrame:
-        return self.events.filter("event_type = 'click'").select("event_id", *self._subject(), (F.col("event_id") % 3 + 226559).alias("itemid"), F.col("ts").alias("charttime"), "value", F.lit("mL").alias("valueuom"))
+        k = F.col("event_id")
+        return self.events.filter("event_type = 'click'").select("event_id", *self._reading(k % 3 + 226559, 220045), "value", F.lit("mL").alias("valueuom"))
 
     @cached_property
     def raw_stays(self) -> DataFrame:

@@ -180,7 +180,7 @@ def _(t):
 # ---- quality
 
 @query("q1_gate", """SELECT 'not_null_subject_id' AS rule, count(*) FILTER (subject_id IS NULL) AS bad FROM raw_labs UNION ALL SELECT 'not_null_charttime', count(*) FILTER (charttime IS NULL) FROM raw_labs
-    UNION ALL SELECT 'range_valuenum', count(*) FILTER (valuenum NOT BETWEEN 0.3 AND 15.0) FROM raw_labs UNION ALL SELECT 'set_valueuom', count(*) FILTER (valueuom <> 'mg/dL') FROM raw_labs UNION ALL SELECT 'set_itemid', CAST(0 AS BIGINT)""")
+    UNION ALL SELECT 'range_valuenum', count(*) FILTER (valuenum NOT BETWEEN 0.3 AND 15.0) FROM raw_labs UNION ALL SELECT 'set_valueuom', count(*) FILTER (valueuom <> 'mg/dL') FROM raw_labs UNION ALL SELECT 'set_itemid', count(*) FILTER (itemid NOT IN (50912, 51081, 52024, 52546)) FROM raw_labs""")
 def _(t):
     return quality.evaluate(t.raw_labs, quality.gate_rules("creatinine")).select("rule", "bad")
 

@@ -44,7 +44,8 @@ def _(t):
     return creat(t).select("labevent_id", "subject_id", "hadm_id", F.col("itemid").cast("int").alias("itemid"), "charttime", "valuenum")
 
 
-@query("p2_stg_creatinine_from_text", """SELECT subject_id, hadm_id, itemid, charttime, valuenum FROM raw_labs WHERE valuenum BETWEEN 0.1 AND 20.0""")
+@query("p2_stg_creatinine_from_text", """SELECT subject_id, hadm_id, itemid, charttime, valuenum FROM raw_labs
+    WHERE valuenum BETWEEN 0.1 AND 20.0 AND itemid IN (50912, 51081, 52024, 52546) AND valueuom = 'mg/dL'""")
 def _(t):
     text = t.raw_labs.select(*(F.col(c).cast("string").alias(c) for c in ("subject_id", "hadm_id", "itemid", "charttime", "valuenum", "valueuom")))
     return staging.creatinine_from_text(text).select("subject_id", "hadm_id", F.col("itemid").cast("int").alias("itemid"), "charttime", "valuenum")

@@ -155,6 +155,12 @@ def test_hashed_neighbours_recall_as_registered(spark):
         assert len(exact & found) >= 0.9 * len(exact) > 0
 
 
+def test_hashed_search_leaves_broken_vectors_out(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [])], "id long, z array<double>")
+    assert {(r.query_id, r.id) for r in similarity.hashed(v, v, similarity.planes(16, 1, 2), 3).collect()} == {(1, 2), (2, 1)}
+    assert similarity.hashed(v.limit(0), v, similarity.planes(2, 1, 2), 3).count() == 0
+
+
 def test_brute_force_in_blocks(spark, monkeypatch):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("z"))
     q = v.filter("id % 40 = 0")
