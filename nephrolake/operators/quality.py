@@ -12,10 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clinical import CREATININE_ITEMS, URINE_ITEMS, no_nan
+from ..functions.clinical import no_nan
 
 CREATININE_RANGE = (0.3, 15.0)
-CREATININE_UNITS, URINE_UNITS = ("mg/dL",), ("mL",)
+CREATININE_UNITS = ("mg/dL",)
 
 
 @dataclass(frozen=True)
@@ -59,12 +59,18 @@ def evaluate(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return out.select("rule", "column_name", "judged", "bad", ((F.col("judged") == 0) | (F.col("judged") - F.col("bad") >= F.col("mostly") * F.col("judged"))).alias("passed"))
 
 
+def present(column: str) -> Rule:
+    return Rule(f"present_{column}", column, F.lit(True), about_null=True)
+
+
 def gate_rules(source_type: str, value_column: str = "valuenum") -> list[Rule]:
-    if source_type == "creatinine":
-        return [not_null("subject_id"), not_null("charttime"), between(value_column, *CREATININE_RANGE, mostly=0.99), one_of("valueuom", CREATININE_UNITS), one_of("itemid", CREATININE_ITEMS)]
+    """Checkpoint 1, on raw readings. Items are not its business."""
+    if source_type not in ("creatinine", "urine"):
+        raise ValueError(f"Unknown source_type: {source_type}")
+    rules = [not_null("subject_id"), not_null("charttime"), present("subject_id"), present("charttime"), present(value_column)]
     if source_type == "urine":
-        return [not_null("subject_id"), not_null("charttime"), between(value_column, 0.0), one_of("valueuom", URINE_UNITS), one_of("itemid", URINE_ITEMS)]
-    raise ValueError(f"Unknown source_type: {source_type}")
+        return [*rules, between(value_column, 0.0)]
+    return [*rules, between(value_column, *CREATININE_RANGE, mostly=0.99), one_of("valueuom", CREATININE_UNITS)]
 
 
 def missing_columns(df: DataFrame, required) -> list[str]:
@@ -73,16 +79,20 @@ def missing_columns(df: DataFrame, required) -> list[str]:
 
 
 def run_gate(df: DataFrame, source_type: str, value_column: str = "valuenum") -> dict:
-    """Checkpoint 1: passed, success_rate, failed columns, row count, report."""
-    rules = gate_rules(source_type, value_column)
-    missing = missing_columns(df, [r.column for r in rules])
+    """Checkpoint 1: passed, success_rate, failed columns, row count, report.
+    Subject, time and value must be there; a rule on another column that is
+    missing fails."""
+    missing = missing_columns(df, ["subject_id", "charttime", value_column])
     if missing:
         raise ValueError(f"missing required columns: {missing}")
-    rows = [r.asDict() for r in evaluate(df, rules).collect()]  # one row for each rule
-    if rows[0]["judged"] == 0:
+    rules = gate_rules(source_type, value_column)
+    rows = [r.asDict() for r in evaluate(df, [r for r in rules if r.column in df.columns]).collect()]  # one row for each rule
+    n = rows[0]["judged"]
+    if n == 0:
         raise ValueError("empty DataFrame")
+    rows += [{"rule": r.name, "column_name": r.column, "judged": n, "bad": n, "passed": False} for r in rules if r.column not in df.columns]
     failed = [r["column_name"] for r in rows if not r["passed"]]
-    return {"passed": not failed, "success_rate": 1 - len(failed) / len(rows), "failed": failed, "rows": rows[0]["judged"], "results": rows, "report": report(source_type, rows)}
+    return {"passed": not failed, "success_rate": 1 - len(failed) / len(rows), "failed": failed, "rows": n, "results": rows, "report": report(source_type, rows)}
 
 
 def report(title: str, rows: list[dict]) -> str:

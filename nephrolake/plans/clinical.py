@@ -179,10 +179,14 @@ def _(t):
 
 # ---- quality
 
-@query("q1_gate", """SELECT 'not_null_subject_id' AS rule, count(*) FILTER (subject_id IS NULL) AS bad FROM raw_labs UNION ALL SELECT 'not_null_charttime', count(*) FILTER (charttime IS NULL) FROM raw_labs
-    UNION ALL SELECT 'range_valuenum', count(*) FILTER (valuenum NOT BETWEEN 0.3 AND 15.0) FROM raw_labs UNION ALL SELECT 'set_valueuom', count(*) FILTER (valueuom <> 'mg/dL') FROM raw_labs UNION ALL SELECT 'set_itemid', count(*) FILTER (itemid NOT IN (50912, 51081, 52024, 52546)) FROM raw_labs""")
-def _(t):
-    return quality.evaluate(t.raw_labs, quality.gate_rules("creatinine")).select("rule", "bad")
+@query("q1_gate", """SELECT 'not_null_subject_id' AS rule, count(*) FILTER (subject_id IS NULL) AS bad, count(*) FILTER (subject_id IS NULL) = 0 AS passed FROM raw_labs
+    UNION ALL SELECT 'not_null_charttime', count(*) FILTER (charttime IS NULL), count(*) FILTER (charttime IS NULL) = 0 FROM raw_labs
+    UNION ALL SELECT 'present_' || c, CAST(0 AS BIGINT), true FROM (VALUES ('subject_id'), ('charttime'), ('valuenum')) v(c)
+    UNION ALL SELECT 'range_valuenum', count(*) FILTER (valuenum NOT BETWEEN 0.3 AND 15.0),
+      count(*) FILTER (valuenum BETWEEN 0.3 AND 15.0) >= 0.99 * count(valuenum) FROM raw_labs
+    UNION ALL SELECT 'set_valueuom', count(*) FILTER (valueuom <> 'mg/dL'), count(*) FILTER (valueuom <> 'mg/dL') = 0 FROM raw_labs""")
+def _(t):
+    return quality.evaluate(t.raw_labs, quality.gate_rules("creatinine")).select("rule", "bad", "passed")
 
 
 @query("q2_silver_gate", """SELECT 'not_null_subject_id' AS rule, count(*) FILTER (subject_id IS NULL) AS bad FROM outer_hours UNION ALL SELECT 'not_null_hour_bucket', count(*) FILTER (hour_bucket IS NULL) FROM outer_hours

@@ -33,11 +33,18 @@ def test_gate_errors(spark):
     with pytest.raises(ValueError, match="empty DataFrame"):
         quality.run_gate(labs(spark, [1.0]).limit(0), "creatinine")
     with pytest.raises(ValueError, match="missing required columns"):
-        quality.run_gate(labs(spark, [1.0]).drop("itemid"), "creatinine")
+        quality.run_gate(labs(spark, [1.0]).drop("valuenum"), "creatinine")
     with pytest.raises(ValueError, match="Unknown source_type"):
         quality.run_gate(labs(spark, [1.0]), "blood")
 
 
+def test_gate_on_other_columns(spark):
+    """Items are not judged; a rule on a missing column fails, the other six pass."""
+    assert quality.run_gate(labs(spark, [1.0]).withColumn("itemid", F.lit(7)), "creatinine")["passed"]
+    r = quality.run_gate(labs(spark, [1.0]).drop("valueuom"), "creatinine")
+    assert r["failed"] == ["valueuom"] and r["success_rate"] == 1 - 1 / 7
+
+
 def test_urine_gate(spark):
     df = labs(spark, [250.0, 0.0, 450.5], unit="mL").withColumn("itemid", F.lit(226559))
     assert quality.run_gate(df, "urine")["passed"]
