@@ -60,7 +60,8 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 7) ->
     bytes under each filter's strongest position."""
     rng = np.random.default_rng(seed)
     k, f = len(languages), FILTERS
-    params = [rng.normal(0, 0.3, (w, 256, f)).astype("f4") for w in WIDTHS] + [np.zeros(f * len(WIDTHS), "f4"), rng.normal(0, 0.1, (f * len(WIDTHS), k)).astype("f4"), np.zeros(k, "f4")]
+    params = [rng.normal(0, 0.3, (w, 256, f)).astype("f4") for w in WIDTHS] + [np.zeros(f * len(WIDTHS), "f4"),
+        rng.normal(0, 0.1, (f * len(WIDTHS), k)).astype("f4"), np.zeros(k, "f4")]
     for p in params[: len(WIDTHS)]:
         p[:, 0] = 0  # padding says nothing
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0

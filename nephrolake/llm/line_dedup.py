@@ -97,7 +97,8 @@ def twice_seen(docs: DataFrame, min_chars: int, lines: int) -> tuple[bytes, int]
         def rows():
             words, times = np.unique(_words(digests), return_counts=True)
             out = [*_by_part(0, words[times == 1], segments), *_by_part(1, words[times > 1], segments)] if len(words) else []
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["segment", "kind", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()),
+                pa.array([r[2] for r in out], pa.binary())], names=["segment", "kind", "words"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -119,7 +120,8 @@ def twice_seen(docs: DataFrame, min_chars: int, lines: int) -> tuple[bytes, int]
                 again = once[place].all(axis=1) | (kind == 1)
                 once[place] = True
                 out.append(words[again])
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in out if len(x)], pa.binary()), pa.array([len(x) for x in out if len(x)], pa.int64())], names=["words", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in out if len(x)], pa.binary()), pa.array([len(x) for x in out if len(x)], pa.int64())],
+                names=["words", "n"])
 
     sent = docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(tidied(send), "segment long, kind int, words binary")
     again, path = stash(sent.repartition(segments, "segment").sortWithinPartitions("segment").mapInArrow(tidied(pick), "words binary, n long"), "again")
@@ -131,7 +133,8 @@ def twice_seen(docs: DataFrame, min_chars: int, lines: int) -> tuple[bytes, int]
             for words in batch.column(0).to_pylist():
                 place = np.unique(_positions(np.frombuffer(words, "<u8"), size))
                 segment = place // np.uint64(SEGMENT_BITS)
-                rows += [(int(s), (chunk % np.uint64(SEGMENT_BITS)).astype("<u2").tobytes()) for s, chunk in zip(np.unique(segment), np.split(place, np.flatnonzero(np.diff(segment)) + 1), strict=False)]
+                rows += [(int(s), (chunk % np.uint64(SEGMENT_BITS)).astype("<u2").tobytes())
+                    for s, chunk in zip(np.unique(segment), np.split(place, np.flatnonzero(np.diff(segment)) + 1), strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["segment", "at"])
 
     def merge(batches):
@@ -142,7 +145,8 @@ def twice_seen(docs: DataFrame, min_chars: int, lines: int) -> tuple[bytes, int]
         out = [(s, zlib.compress(np.packbits(t, bitorder="little").tobytes(), 1)) for s, t in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["segment", "bits"])
 
-    merged = again.select("words").mapInArrow(tidied(set_bits), "segment long, at binary").repartition(min(size // SEGMENT_BITS, n_parts(spark)), "segment").mapInArrow(tidied(merge), "segment long, bits binary")
+    merged = again.select("words").mapInArrow(tidied(set_bits), "segment long, at binary").repartition(min(size // SEGMENT_BITS, n_parts(spark)),
+        "segment").mapInArrow(tidied(merge), "segment long, bits binary")
     table = bytearray(size // 8)
     for row in merged.toLocalIterator():  # at most MAX_BITS in all
         at = row["segment"] * SEGMENT_BITS // 8

@@ -193,7 +193,8 @@ class SignatureTree:
             bits, surplus, low, high, comp, mixed = self.levels[-1]
             at = np.arange(0, len(low), width)
             least, most = np.minimum.reduceat(comp, at), np.maximum.reduceat(comp, at)
-            self.levels.append((np.bitwise_or.reduceat(bits, at), np.maximum.reduceat(surplus, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), least, np.logical_or.reduceat(mixed, at) | (least != most)))
+            self.levels.append((np.bitwise_or.reduceat(bits, at), np.maximum.reduceat(surplus, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at),
+                least, np.logical_or.reduceat(mixed, at) | (least != most)))
             width = FANOUT
 
     def children(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +258,8 @@ def _frequent(docs: DataFrame, n: int) -> np.ndarray:
             often = times > 1
             yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["token", "n"])
 
-    top = sample.select("text").mapInArrow(tidied(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
+    counted = sample.select("text").mapInArrow(tidied(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counted.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
     return top["token"].to_numpy(np.int64).view(_U)[::-1]
 
 
@@ -283,7 +285,8 @@ def _sketch(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> Data
                 names=["rid", "doc_id", "cls", "size", "bits", "prefix", "firsts"])
 
     rows = docs.select(row_key().alias("rid"), "doc_id", "text")
-    return rows.mapInArrow(tidied(sketch), f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, size long, bits binary, prefix array<long>, firsts array<long>")
+    return rows.mapInArrow(tidied(sketch), f"rid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, cls long, size long, bits binary, prefix array<long>, "
+        "firsts array<long>")
 
 
 def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
@@ -358,7 +361,8 @@ def _dealt(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
     per = rows.groupBy(*keys, "comp").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
     groups = per.groupBy(*keys).agg(F.max(F.struct("n", "w", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps")).filter("comps > 1")
     blocks = lambda n, w: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(w / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
-    groups = groups.select(*keys, F.col("main.comp").alias("main"), blocks(F.col("main.n"), F.col("main.w")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("rests"))
+    groups = groups.select(*keys, F.col("main.comp").alias("main"), blocks(F.col("main.n"), F.col("main.w")).alias("mains"),
+        blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("rests"))
     own = rows.join(groups, keys)
     hashed = lambda n: F.pmod(F.xxhash64("cls", *keys), F.col(n)).cast("int")
     in_main = F.col("comp") == F.col("main")
@@ -443,7 +447,8 @@ def _seen(wanted: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view) ->
     def look(batches):
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([view(s).tobytes() for s in sets], pa.binary())], names=["cls", "size", "view"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([view(s).tobytes() for s in sets], pa.binary())], names=["cls", "size", "view"])
 
     seen = docs.select(row_key().alias("rid"), "text").join(named, "rid").select("cls", "text").mapInArrow(tidied(look), "cls long, size long, view binary")
     return seen.groupBy("cls").agg(F.first(F.struct("size", "view")).alias("r")).select("cls", "r.size", "r.view")  # a repeated row gives its view again
@@ -485,7 +490,8 @@ def join_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     docs = docs.select("doc_id", "text")
     rows, rows_path = stash(_sketch(docs, _frequent(docs, n), n, percent), "sketch")
     live = rows.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
-    classes, classes_path = stash(live.groupBy("cls").agg(F.min(F.struct("rid", "size", "bits", "firsts")).alias("r"), F.min("doc_id").alias("least")).select("cls", "r.*", "least"), "classes")
+    classes, classes_path = stash(live.groupBy("cls").agg(F.min(F.struct("rid", "size", "bits", "firsts")).alias("r"), F.min("doc_id").alias("least"))
+        .select("cls", "r.*", "least"), "classes")
 
     # in groups: first against pivots, then what is still apart
     keyed = classes.select("cls", "size", F.posexplode("firsts").alias("turn", "g"))

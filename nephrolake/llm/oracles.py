@@ -14,7 +14,8 @@ isle AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM (
   SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
     SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM dup)) GROUP BY doc_id, g),
 gap AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM isle),
-cut AS (SELECT g.doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, max(e) AS last, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS head FROM gap g JOIN d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
+cut AS (SELECT g.doc_id, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, max(e) AS last, string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS head
+    FROM gap g JOIN d ON g.doc_id = d.doc_id GROUP BY g.doc_id)
 SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
   sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
 FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id

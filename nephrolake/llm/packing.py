@@ -114,7 +114,8 @@ def pack(docs: DataFrame, vocab_json: str, max_length: int = MAX_LENGTH, separat
                     if keep_ids:
                         ids_out.append(ids[start : start + length].astype("int32"))
             start, length, tokens, nth = np.array(rows, dtype="int64").reshape(-1, 4).T
-            columns = [doc_ids.take(pa.array(ids_of, pa.int64())), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens), pa.array(np.full(len(nth), part, dtype="int64")), pa.array(nth)]
+            columns = [doc_ids.take(pa.array(ids_of, pa.int64())), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens),
+                pa.array(np.full(len(nth), part, dtype="int64")), pa.array(nth)]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth"]
             if keep_ids:
                 columns, names = [*columns, pa.array(ids_out, pa.list_(pa.int32()))], [*names, "ids"]
@@ -131,7 +132,8 @@ def pack(docs: DataFrame, vocab_json: str, max_length: int = MAX_LENGTH, separat
     if counts.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
     out = pieces.join(offsets, ["length", "part"])
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if keep_ids else []))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("nth")).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"), *(["ids"] if keep_ids else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

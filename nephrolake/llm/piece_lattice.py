@@ -294,7 +294,8 @@ def encode(docs: DataFrame, model_file: str, n_best: int = N_BEST, keep_ids: boo
             for group in _groups(texts):
                 for text, (ids, score, more) in zip(group, model.encode(group, n_best), strict=True):
                     own = ids.tolist()
-                    rows.append((len(own), crc(ids), score / SCALE, [{"score": s / SCALE, "ids_crc32": crc(x)} for s, x in more], model.decode(own) == (text or ""), own if keep_ids else None))
+                    rows.append((len(own), crc(ids), score / SCALE, [{"score": s / SCALE, "ids_crc32": crc(x)} for s, x in more], model.decode(own) == (text or ""),
+                        own if keep_ids else None))
             kinds = [pa.int64(), pa.int64(), pa.float64(), other, pa.bool_(), pa.list_(pa.int32())][: 5 + keep_ids]
             names = ["n_pieces", "ids_crc32", "score", "alternatives", "restored", "ids"][: 5 + keep_ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", *names])

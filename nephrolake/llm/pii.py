@@ -112,7 +112,8 @@ def _running(values: Column, op, start: int) -> Column:
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")), lambda i: F.aggregate(F.slice(values, i * BLOCK + 1, BLOCK), none, append))
     one = F.struct(blocks.alias("blocks"))
     # a struct in an array of one keeps the blocks from being computed for each use
-    whole = F.transform(F.array(one), lambda b: F.struct(b["blocks"].alias("blocks"), F.aggregate(F.transform(b["blocks"], lambda x: F.get(x, F.size(x) - 1)), none, append).alias("ends")))
+    whole = F.transform(F.array(one), lambda b: F.struct(b["blocks"].alias("blocks"),
+        F.aggregate(F.transform(b["blocks"], lambda x: F.get(x, F.size(x) - 1)), none, append).alias("ends")))
     joined = F.transform(whole, lambda b: F.flatten(F.transform(b["blocks"], lambda x, i: F.transform(x, lambda v: op(v, F.coalesce(F.get(b["ends"], i - 1), F.lit(start)))))))
     return F.when(F.size(values) > 0, F.get(joined, 0)).otherwise(none)
 
@@ -131,7 +132,8 @@ def _scored(kind: str) -> Column:
         near = lambda text: F.lower(text).rlike(rf"\b(?:{CONTEXT[kind]})")
         gain = F.when(near(F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS))) | near(F.left(F.get(gaps, i + 1), F.lit(CONTEXT_CHARS))), CONTEXT_GAIN).otherwise(0.0)
         end = F.get(ends, i)
-        return F.struct((end - F.length(hit)).alias("start"), F.lit(list(PATTERNS).index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(PRIOR[kind]) + gain, F.lit(1.0)).alias("score"))
+        return F.struct((end - F.length(hit)).alias("start"), F.lit(list(PATTERNS).index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"),
+            F.least(F.lit(PRIOR[kind]) + gain, F.lit(1.0)).alias("score"))
 
     sure = F.filter(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: _confirmed(kind, F.get(hits, i)))
     spans = F.transform(sure, span)
@@ -174,7 +176,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     overlapping spans the first stands for both."""
     found = find_pii(docs, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = fixed(found, {"__upto": F.transform("spans", lambda s: s["end"]), "__pieces": F.when(F.size("spans") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))})
+    found = fixed(found, {"__upto": F.transform("spans", lambda s: s["end"]),
+        "__pieces": F.when(F.size("spans") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))})
     found = fixed(found, {"__upto": _running(F.col("__upto"), F.greatest, 0)})
 
     def cut(start: Column, end: Column | None) -> Column:
@@ -194,4 +197,5 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(_joined(F.filter("spans", lambda s: s["rank"] < len(BASE))), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(count(k) for k in BASE), F.sha2(_joined(F.filter("spans", lambda s: s["rank"] < len(BASE))), 256).alias("base_sha256"),
+        _joined(F.col("spans")).alias("spans"))

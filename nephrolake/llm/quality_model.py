@@ -54,8 +54,10 @@ def features_of(text: str | None) -> tuple[float, ...]:
     fives = [*zip(*(words[i:] for i in range(5)), strict=False)]
     upper = share(_UPPER)
     return (
-        float(np.log1p(len(words))), sum(map(len, words)) / k, share(_LOWER) + upper, upper, share(b"0123456789"), share(b"#*$%&|<>"), share(b"!?"), share(b".,;:"), share(_HIGH), len(lines) / k, len(count) / k,
-        max(count.values(), default=0) / k, 1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(fives)) / max(1, len(fives)) if fives else 0.0, len(zlib.compress(data, 1)) / n, share(b"|"), sum(x.rstrip()[-1:] not in b".!?:" for x in lines) / max(1, len(lines)),
+        float(np.log1p(len(words))), sum(map(len, words)) / k, share(_LOWER) + upper, upper, share(b"0123456789"), share(b"#*$%&|<>"), share(b"!?"), share(b".,;:"),
+        share(_HIGH), len(lines) / k, len(count) / k,
+        max(count.values(), default=0) / k, 1 - len(set(lines)) / max(1, len(lines)), 1 - len(set(fives)) / max(1, len(fives)) if fives else 0.0,
+        len(zlib.compress(data, 1)) / n, share(b"|"), sum(x.rstrip()[-1:] not in b".!?:" for x in lines) / max(1, len(lines)),
     )
 
 
@@ -115,7 +117,8 @@ def _quadrants(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
     for a in range(1, g.shape[0]):
         for b in range(1, g.shape[1]):
             cells = [(slice(0, a), slice(0, b), cg[a, b], ch[a, b]), (slice(a, None), slice(0, b), cg[-1, b] - cg[a, b], ch[-1, b] - ch[a, b]),
-                     (slice(0, a), slice(b, None), cg[a, -1] - cg[a, b], ch[a, -1] - ch[a, b]), (slice(a, None), slice(b, None), cg[-1, -1] - cg[a, -1] - cg[-1, b] + cg[a, b], ch[-1, -1] - ch[a, -1] - ch[-1, b] + ch[a, b])]
+                     (slice(0, a), slice(b, None), cg[a, -1] - cg[a, b], ch[a, -1] - ch[a, b]),
+                     (slice(a, None), slice(b, None), cg[-1, -1] - cg[a, -1] - cg[-1, b] + cg[a, b], ch[-1, -1] - ch[a, -1] - ch[-1, b] + ch[a, b])]
             gain = sum(_gain(c[2], c[3]) for c in cells)
             if gain > best:
                 best, out = gain, np.zeros_like(g)
@@ -195,7 +198,8 @@ def score(measured: DataFrame, model: Additive | None) -> DataFrame:
         for batch in batches:
             x = np.array(batch.column(batch.schema.get_field_index("features")).to_pylist(), float).reshape(-1, len(FEATURES))
             s = model.score(x) if model is not None else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(s), pa.array((s >= THRESHOLD).astype("i4"))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(s), pa.array((s >= THRESHOLD).astype("i4"))],
+                names=[*names, "score", "predicted"])
 
     return measured.select(*names, "features").mapInArrow(tidied(add), schema)
 

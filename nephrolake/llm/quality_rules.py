@@ -28,7 +28,8 @@ WHITE = " \t\n\x0b\x0c\r"
 # Fixed values of the line rules.
 MENU = r"^\W*(?:home|menu|login|log in|sign in|sign up|next|previous|back|top|share|search)\W*$"
 SEPARATORS, MIN_SEPARATORS, MENU_CHARS = "|»›>", 4, 24
-BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "accept cookies", "accept all cookies", "use of cookies", "copyright (c)", "copyright ©", "lorem ipsum", "subscribe to our", "enable javascript", "javascript is disabled")
+BOILERPLATE = ("all rights reserved", "terms of use", "terms of service", "privacy policy", "accept cookies", "accept all cookies", "use of cookies",
+    "copyright (c)", "copyright ©", "lorem ipsum", "subscribe to our", "enable javascript", "javascript is disabled")
 SYMBOLS, SHOUTS = "#*$%&|<>", "!?"
 LETTER_SHARE, SYMBOL_SHARE, SHOUT_SHARE = 0.5, 0.1, 0.1
 
@@ -75,13 +76,16 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     words = F.col("__words")
     at = lambda i, k: F.get(words, i + k)
     n_windows = F.size(words) - (WINDOW - 1)
-    out = fixed(out, {"__windows": F.when(n_windows > 0, F.transform(F.slice(words, F.lit(1), F.greatest(n_windows, F.lit(1))), lambda w, i: F.xxhash64(w, *(at(i, k) for k in range(1, WINDOW))))).otherwise(F.array().cast("array<bigint>"))})
+    out = fixed(out, {"__windows": F.when(n_windows > 0,
+        F.transform(F.slice(words, F.lit(1), F.greatest(n_windows, F.lit(1))),
+            lambda w, i: F.xxhash64(w, *(at(i, k) for k in range(1, WINDOW))))).otherwise(F.array().cast("array<bigint>"))})
     # only rows in which some window comes twice sort theirs
     twice = F.size(F.array_distinct("__windows")) < F.size("__windows")
     out = fixed(out, {"__sorted": F.when(twice, F.array_sort(F.transform("__windows", lambda w, i: F.struct(w.alias("w"), i.alias("i")))))})
     s = F.col("__sorted")
     near = lambda i: F.coalesce(F.get(s, i)["w"], F.lit(None))
-    starts = F.array_sort(F.transform(F.filter(s, lambda x, i: F.coalesce((x["w"] == near(i - 1)) & (i > 0), F.lit(False)) | F.coalesce(x["w"] == near(i + 1), F.lit(False))), lambda x: x["i"]))
+    starts = F.array_sort(F.transform(F.filter(s, lambda x,
+        i: F.coalesce((x["w"] == near(i - 1)) & (i > 0), F.lit(False)) | F.coalesce(x["w"] == near(i + 1), F.lit(False))), lambda x: x["i"]))
     out = fixed(out, {"__starts": starts})
     covered = F.aggregate(
         F.col("__starts"), F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),

@@ -295,7 +295,8 @@ def merge_runs(runs: list[tuple[bytes, np.ndarray]], width: int) -> tuple[np.nda
 
 def _suffix_runs(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
     """Front-coded runs (range, lcp, rest, doc, tag, at, before, after)."""
-    kinds = [("range", pa.int32()), ("lcp", pa.binary()), ("rest", pa.binary()), ("doc", pa.binary()), ("tag", pa.binary()), ("at", pa.binary()), ("before", pa.binary()), ("after", pa.binary())]
+    kinds = [("range", pa.int32()), ("lcp", pa.binary()), ("rest", pa.binary()), ("doc", pa.binary()), ("tag", pa.binary()), ("at", pa.binary()),
+        ("before", pa.binary()), ("after", pa.binary())]
     shared = docs.sparkSession.sparkContext.broadcast(splitters)
     reach = LENGTH - GRAM
 
@@ -315,11 +316,13 @@ def _suffix_runs(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
         cut = np.searchsorted(head, shared.value, side="left")
         rows = []
         if own:
-            rows.append((-1 - spread, None, None, *(_pack(np.concatenate([np.atleast_1d(r[k]) for r in own]).astype("<i8")) for k in range(4)), _pack(np.array([len(r[2]) for r in own], "<i8"))))
+            rows.append((-1 - spread, None, None, *(_pack(np.concatenate([np.atleast_1d(r[k]) for r in own]).astype("<i8")) for k in range(4)),
+                _pack(np.array([len(r[2]) for r in own], "<i8"))))
         for p, (a, z) in enumerate(zip([0, *cut], [*cut, len(head)], strict=True)):
             if a < z:
                 lcp, rest = front_code(strings[a:z])
-                rows.append((p, _pack(lcp), _pack(rest), doc[a:z].astype("<i8").tobytes(), tag[a:z].tobytes(), at[a:z].astype("<u4").tobytes(), before[a:z].tobytes(), after[a:z].tobytes()))
+                rows.append((p, _pack(lcp), _pack(rest), doc[a:z].astype("<i8").tobytes(), tag[a:z].tobytes(), at[a:z].astype("<u4").tobytes(),
+                    before[a:z].tobytes(), after[a:z].tobytes()))
         return _batch_of(kinds, rows)
 
     def make(batches):
@@ -456,7 +459,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # a tag of the text keeps rows apart that share an id
     tagged = docs.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int"))
-    digests, digests_path = stash(tagged.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("sha")), "digests")
+    digests, digests_path = stash(tagged.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", "tag",
+        F.unhex(F.sha2("text", 256)).alias("sha")), "digests")
     least, least_path = stash(digests.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1"), "least")
     if least.count() <= BROADCAST_ROWS:
         least = F.broadcast(least)
@@ -465,7 +469,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     own = tagged.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).join(F.broadcast(copies) if small else copies, ["doc_id", "tag"], "left_anti")
 
     grams, grams_path = stash(_shared_grams(_fingerprints(own, parts), parts), "grams")
-    sample = np.concatenate([np.frombuffer(r[0], ">u8") for r in grams.filter("tag = -1").select("grams").limit(MAX_SPLITTERS // SAMPLE_A_TASK).collect()] or [np.zeros(0, ">u8")]).astype(_U)
+    sample = np.concatenate([np.frombuffer(r[0], ">u8") for r in grams.filter("tag = "
+        "-1").select("grams").limit(MAX_SPLITTERS // SAMPLE_A_TASK).collect()] or [np.zeros(0, ">u8")]).astype(_U)
     splitters = np.unique(np.quantile(sample.astype("f8"), np.arange(1, parts) / parts).astype(_U)) if len(sample) else np.zeros(0, _U)
     by_doc = grams.filter("tag >= 0").groupBy("doc_id", "tag").agg(F.collect_list("grams").alias("grams"))
     runs = _suffix_runs(own.join(by_doc, ["doc_id", "tag"]).select("doc_id", "tag", "text", "grams"), splitters)
@@ -497,15 +502,18 @@ def dedup(docs: DataFrame) -> DataFrame:
                 kept.append(b"".join(data[a:z] for a, z in zip([0, *e], [*s, len(data)], strict=True)))
                 spans.append([{"start": int(a), "end": int(z)} for a, z in zip(s, e, strict=True)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in batch.column(1).to_pylist()], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                [batch.column(0), pa.array([len(t.encode()) for t in batch.column(1).to_pylist()], pa.int64()),
+                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
                 names=["doc_id", "n_bytes", "spans", "kept"])
 
     shape = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
     changed = hit.select("doc_id", "text", "starts", "ends").mapInArrow(tidied(cut), shape)
-    same = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.col("text").cast("binary").alias("kept"))
+    same = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"),
+        F.col("text").cast("binary").alias("kept"))
     return changed.unionByName(same)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -219,7 +219,9 @@ def _links(nodes: DataFrame, kmeans: np.ndarray | None, overlap: int, beam: int
             k = min(overlap, s.shape[1])
             shard = np.argsort(-s, axis=1, kind="stable")[:, :k]
             at = np.repeat(np.arange(len(v)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.ravel().astype("i8")), pa.array([*np.sort(shard, axis=1).astype("i8")], pa.list_(pa.int64())).take(pa.array(at)), *(batch.column(c).take(pa.array(at)) for c in range(3))], names=["shard", "shards", "node", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.ravel().astype("i8")),
+                pa.array([*np.sort(shard, axis=1).astype("i8")], pa.list_(pa.int64())).take(pa.array(at)), *(batch.column(c).take(pa.array(at)) for c in range(3))],
+                names=["shard", "shards", "node", "v", "n"])
 
     if kmeans is None:
         dealt = nodes.select(F.size("v").cast("long").alias("shard"), F.array(F.size("v").cast("long")).alias("shards"), "node", "v", "n")
@@ -340,7 +342,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows, rows_path = stash(rows.withColumn("ok", F.coalesce(finite, F.lit(False))).withColumn("key", F.when(F.col("ok"), F.xxhash64("v"))), "vectors")
-    nodes, nodes_path = stash(rows.filter("ok").groupBy("key").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.min("v").alias("v")).withColumnRenamed("key", "node"), "nodes")
+    nodes, nodes_path = stash(rows.filter("ok").groupBy("key").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"),
+        F.min("v").alias("v")).withColumnRenamed("key", "node"), "nodes")
     few = SHARD // OVERLAP
     length = F.size("v")
     counts = {r["k"]: r["n"] for r in nodes.groupBy(length.alias("k")).agg(F.count("*").alias("n")).filter(F.col("n") > few).collect()}  # lengths in common use
@@ -361,12 +364,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         linked = linked.unionByName(found)
     sums = linked.groupBy("node").agg(F.sum("others").alias("others"))
     roots, root_paths = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).filter("u <> v"))
-    named = nodes.select("node", "n", "least").join(sums, "node", "left").join(roots, "node", "left").select("node", "n", "least", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", "n", "least").join(sums, "node", "left").join(roots, "node", "left").select("node", "n", "least",
+        F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "node").alias("root"))
     named, _ = stash(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("node").alias("key"), "n", "others", "component_id"), "named")
     discard(spark, nodes_path, *paths, *root_paths)
     out = rows.select("vec_id", "key").join(named, "key", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce(F.col("n") - 1 + F.col("others"), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).alias("recall"))
+    return out.select("vec_id", F.coalesce(F.col("n") - 1 + F.col("others"), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).alias("recall"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

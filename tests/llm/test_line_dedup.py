@@ -57,7 +57,8 @@ def test_empty(spark):
 def test_filter_suspects_few(spark):
     """The broadcast filter follows repeated lines, not all: with bits for a
     thirtieth of the lines it suspects few that come once."""
-    rows = [(i, "\n".join(f"line {i}-{k} that comes once and is long enough to count" for k in range(200)) + f"\none of fifty lines that come in many documents {i % 50:04}") for i in range(400)]
+    rows = [(i, "\n".join(f"line {i}-{k} that comes once and is long enough to count" for k in range(200)) + f"\none of fifty lines that come in many "
+        f"documents {i % 50:04}") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     table, bits = line_dedup.twice_seen(docs, 40, 80_400)
     assert bits * 1.2 < 80_400

@@ -45,7 +45,8 @@ def test_windows_cover_the_text():
 
 def test_tables_match_the_filters():
     rng = np.random.default_rng(1)
-    net = language_id.Network(["a", "b"], [rng.normal(size=(w, 256, 16)).astype("f4") for w in language_id.WIDTHS], rng.normal(size=48).astype("f4"), rng.normal(size=(48, 2)).astype("f4"), np.zeros(2, "f4"))
+    net = language_id.Network(["a", "b"], [rng.normal(size=(w, 256, 16)).astype("f4") for w in language_id.WIDTHS], rng.normal(size=48).astype("f4"),
+        rng.normal(size=(48, 2)).astype("f4"), np.zeros(2, "f4"))
     x = rng.integers(0, 256, (5, 256)).astype(np.uint8)
     z = np.concatenate([sum(p[j][x[:, j : 256 - w + 1 + j]] for j in range(w)).max(axis=1) for w, p in zip(language_id.WIDTHS, net.filters, strict=True)], axis=1)
     want = language_id._softmax(np.maximum(z + net.bias, 0) @ net.out)

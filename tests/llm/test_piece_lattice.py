@@ -33,7 +33,8 @@ def everything(model, s):
 
 def test_n_best_against_all_segmentations(model):
     rng = random.Random(1)
-    texts = ["", "a", " ", "  a", "\n", "ab\ncd", "▁x", "the hat", "é́\U0001f600", "aaaa aa"] + ["".join(rng.choice("aeinrst \n▁é日") for _ in range(rng.randrange(1, 11))) for _ in range(150)]
+    texts = ["", "a", " ", "  a", "\n", "ab\ncd", "▁x", "the hat", "é́\U0001f600",
+        "aaaa aa"] + ["".join(rng.choice("aeinrst \n▁é日") for _ in range(rng.randrange(1, 11))) for _ in range(150)]
     for n in (1, 2, 4, 9):
         for text, (ids, score, more) in zip(texts, model.encode(texts, n), strict=True):
             marked = piece_lattice.SPACE + text.replace(piece_lattice.SPACE, piece_lattice.LITERAL).replace(" ", piece_lattice.SPACE) if text else ""

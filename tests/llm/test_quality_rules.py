@@ -19,7 +19,8 @@ def brute(text):
         if times[w] > 1:
             covered.update(range(i, i + 5))
     lines = [x for x in text.split("\n") if WORD.search(x)]
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]",
+        text)), len(lines) - len(set(lines)), len(covered), len(words) < 10 or 100 * len(covered) > 20 * len(words)
 
 
 @pytest.mark.parametrize("table", [documents, edges])

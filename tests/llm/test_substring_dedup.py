@@ -39,7 +39,8 @@ def tangled(spark):
     stock = [piece(rng.choice([45, 49, 50, 51, 80, 300])) for _ in range(12)] + ["xy" * 60, "z" * 140]
     rows = []
     for i in range(160):
-        rows.append((rng.randrange(10**6), "".join(rng.choice(stock)[rng.choice([0, 0, 1, 7]) :] if rng.random() < 0.6 else piece(rng.randrange(90)) for _ in range(rng.randrange(1, 7)))))
+        rows.append((rng.randrange(10**6), "".join(rng.choice(stock)[rng.choice([0, 0, 1,
+            7]) :] if rng.random() < 0.6 else piece(rng.randrange(90)) for _ in range(rng.randrange(1, 7)))))
     rows += [(i + 1, rows[i][1]) for i in range(5)] + [rows[0], (rows[1][0], rows[2][1])]
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
 

@@ -39,7 +39,8 @@ def groups(spark):
 
 def odd(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.1]), (8, [0.0, 1.0]), (9, [1e30, 1e29]), (10, [1e-30, 0.0]), (11, [1.0, 0.0, 0.0]), (12, [2.0, 0.0, 0.0]), (7, [1.0, 0.0])]
+    rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.1]), (8, [0.0, 1.0]),
+        (9, [1e30, 1e29]), (10, [1e-30, 0.0]), (11, [1.0, 0.0, 0.0]), (12, [2.0, 0.0, 0.0]), (7, [1.0, 0.0])]
     return spark.createDataFrame([(i, v, 0, "y") for i, v in rows], SCHEMA)
 
 
