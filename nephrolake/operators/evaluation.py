@@ -21,7 +21,8 @@ def _steps(df: DataFrame, groups: list[str]) -> DataFrame:
     bands = n.groupBy(*groups, "_band").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     above, whole = Window.partitionBy(*groups).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*groups)
     before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
-    bands = bands.select(*(F.col(g).alias(f"_g_{g}") for g in groups), F.col("_band").alias("_b"), before("_pos").alias("_tp"), before("_neg").alias("_fp"), F.sum("_pos").over(whole).alias("all_pos"), F.sum("_neg").over(whole).alias("all_neg"))
+    bands = bands.select(*(F.col(g).alias(f"_g_{g}") for g in groups), F.col("_band").alias("_b"), before("_pos").alias("_tp"), before("_neg").alias("_fp"),
+        F.sum("_pos").over(whole).alias("all_pos"), F.sum("_neg").over(whole).alias("all_neg"))
     same = F.col("_band") == F.col("_b")
     for g in groups:
         same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
@@ -41,9 +42,11 @@ def ranking_metrics(df: DataFrame, groups: list[str]) -> DataFrame:
 
 def threshold_metrics(df: DataFrame, groups: list[str], threshold: float = THRESHOLD) -> DataFrame:
     yes, hit = F.col("p") >= threshold, F.col("y") == 1
-    n = df.groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(yes & hit).alias("tp"), F.count_if(yes & ~hit).alias("fp"), F.count_if(~yes & hit).alias("fn"), F.count_if(~yes & ~hit).alias("tn"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"))
+    n = df.groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(yes & hit).alias("tp"), F.count_if(yes & ~hit).alias("fp"), F.count_if(~yes & hit).alias("fn"),
+        F.count_if(~yes & ~hit).alias("tn"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"))
     share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return n.select(*groups, "n", share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), share(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), share(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"), "brier")
+    return n.select(*groups, "n", share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), share(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
+        share(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"), "brier")
 
 
 def calibration_error(df: DataFrame, groups: list[str], bins: int = BINS) -> DataFrame:
@@ -87,4 +90,5 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     parts = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     both = lambda a, b, c: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c))
     done = df.agg(*(x for i, (a, b) in enumerate(parts) for x in (F.corr(both(a, b, a), both(a, b, b)).alias(f"r{i}"), F.covar_samp(both(a, b, a), both(a, b, b)).alias(f"v{i}"))))
-    return done.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr"), F.col(f"v{i}").alias("covar")) for i, (a, b) in enumerate(parts)))))
+    return done.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr"), F.col(f"v{i}").alias("covar"))
+        for i, (a, b) in enumerate(parts)))))

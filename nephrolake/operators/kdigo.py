@@ -79,5 +79,6 @@ def anomaly_score(ratio, delta, uo6, strict: bool = False, digits: int | None =
     Rounded half to even, or not at all."""
     r, d, u = col(ratio), col(delta), col(uo6)
     rise = (lambda x: d > x) if strict else (lambda x: d >= x)
-    score = F.when(r.isNotNull(), F.least(r * 20, F.lit(50.0))).otherwise(0.0) + F.when(rise(0.3), 15).when(rise(0.1), 8).otherwise(0) + F.when(u < 0.3, 30).when(u < 0.5, 15).otherwise(0)
+    score = F.when(r.isNotNull(), F.least(r * 20, F.lit(50.0))).otherwise(0.0) + F.when(rise(0.3), 15).when(rise(0.1), 8).otherwise(0)
+    score += F.when(u < 0.3, 30).when(u < 0.5, 15).otherwise(0)
     return F.least(score if digits is None else F.bround(score, digits), F.lit(100.0))

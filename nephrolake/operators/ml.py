@@ -34,7 +34,8 @@ def stratified(df: DataFrame, label: str, key: str, test: float = 0.2, seed: int
     return df.filter(at >= test), df.filter(at < test)
 
 
-def fit_and_score(train: DataFrame, test: DataFrame, kind: str, columns: list[str], label: str = "target", scaled: bool = False, trees: int = 100) -> tuple[PipelineModel, DataFrame]:
+def fit_and_score(train: DataFrame, test: DataFrame, kind: str, columns: list[str], label: str = "target", scaled: bool = False,
+        trees: int = 100) -> tuple[PipelineModel, DataFrame]:
     """The model, and its metrics on ``test`` as one row."""
     model = pipeline(kind, columns, label, scaled, trees).fit(train)
     scored = model.transform(test).select(F.lit(kind).alias("model"), F.col(label).cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))

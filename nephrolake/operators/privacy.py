@@ -62,7 +62,8 @@ def noised(value: Column, sensitivity: Column | float, epsilon: float = EPSILON,
     return value + laplace(b / epsilon, seed)
 
 
-def dp_stats(df: DataFrame, group: str, value: str, sensitivity: float = 1.0, metric: str | None = None, epsilon: float = EPSILON, seed: int | None = None, true_values: bool = False) -> DataFrame:
+def dp_stats(df: DataFrame, group: str, value: str, sensitivity: float = 1.0, metric: str | None = None, epsilon: float = EPSILON, seed: int | None = None,
+        true_values: bool = False) -> DataFrame:
     """Mean and non-null count of each group, both with noise; what is true is
     shown only where it is asked for."""
     out = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.avg(value).alias("mean"), F.count(value).alias("count"))
@@ -87,7 +88,8 @@ def dp_dashboard(df: DataFrame, epsilon: float = EPSILON, seed: int | None = Non
     return out
 
 
-def dp_mean_by_unit(df: DataFrame, unit: str, value: str, low: float = 0.5, high: float = 5.0, epsilon: float = EPSILON, seed: int | None = None, true_values: bool = False) -> DataFrame:
+def dp_mean_by_unit(df: DataFrame, unit: str, value: str, low: float = 0.5, high: float = 5.0, epsilon: float = EPSILON, seed: int | None = None,
+        true_values: bool = False) -> DataFrame:
     """The mean of each unit, with noise that shrinks with its size."""
     out = df.groupBy(unit).agg(F.count("*").alias("n"), F.avg(value).alias("true_mean")).withColumn("sensitivity", (high - low) / F.col("n"))
     out = out.withColumn("dp_mean", noised(F.col("true_mean"), F.col("sensitivity"), epsilon, seed))

@@ -54,7 +54,8 @@ def evaluate(df: DataFrame, rules: list[Rule]) -> DataFrame:
         judged = F.lit(True) if r.about_null else F.col(r.column).isNotNull()
         parts += [F.count_if(judged).alias(f"j{i}"), F.count_if(judged & ~F.coalesce(r.good, F.lit(False))).alias(f"b{i}")]
     counted = df.agg(*parts)
-    rows = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.column).alias("column_name"), F.col(f"j{i}").alias("judged"), F.col(f"b{i}").alias("bad"), F.lit(r.mostly).alias("mostly")) for i, r in enumerate(rules)))
+    rows = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.column).alias("column_name"), F.col(f"j{i}").alias("judged"), F.col(f"b{i}").alias("bad"),
+        F.lit(r.mostly).alias("mostly")) for i, r in enumerate(rules)))
     out = counted.select(F.inline(rows))
     return out.select("rule", "column_name", "judged", "bad", ((F.col("judged") == 0) | (F.col("judged") - F.col("bad") >= F.col("mostly") * F.col("judged"))).alias("passed"))
 
@@ -137,7 +138,8 @@ def summary(df: DataFrame, dataset: str, id_col: str) -> DataFrame:
     hours = df.groupBy(id_col, "hour_bucket").agg(F.count("*").alias("n"))
     main = df.agg(
         F.count("*").alias("rows"), F.count_distinct(id_col).alias("unique_ids"), F.count_if(F.col(id_col).isNull()).alias("missing_id_rows"),
-        F.count_if(~F.coalesce(F.col("kdigo_stage").isin(0, 1, 2, 3), F.lit(False))).alias("invalid_kdigo_rows"), F.count_if(F.col("urine_output_ml") < 0).alias("negative_urine_rows"),
+        F.count_if(~F.coalesce(F.col("kdigo_stage").isin(0, 1, 2, 3), F.lit(False))).alias("invalid_kdigo_rows"),
+        F.count_if(F.col("urine_output_ml") < 0).alias("negative_urine_rows"),
         F.count_if(F.col("creatinine") < 0.3).alias("low_creatinine_rows"), *(F.count_if(F.col("kdigo_stage") == k).alias(f"stage_{k}_rows") for k in range(4)))
     repeats = hours.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicate_patient_hour_rows"))
     return main.crossJoin(repeats).select(F.lit(dataset).alias("dataset"), *main.columns, "duplicate_patient_hour_rows")  # one row each

@@ -27,7 +27,8 @@ def window_counts(df: DataFrame, seconds: int, key: str | None = None, time: str
 
 
 def sliding_counts(df: DataFrame, time: str = "ts", window: str = "1 hour", slide: str = "10 minutes") -> DataFrame:
-    return df.groupBy(F.window(F.col(time).cast("timestamp"), window, slide).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
+    counted = df.groupBy(F.window(F.col(time).cast("timestamp"), window, slide).alias("w")).agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
 def _by_register(df: DataFrame, value: str, registers: int) -> DataFrame:
@@ -83,4 +84,5 @@ def mark_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def seen_stats(df: DataFrame, key: list[str]) -> DataFrame:
     """One row: new keys, duplicate rows, and their share in percent."""
     n = df.groupBy(*key).agg(F.count("*").alias("n")).agg(F.count("*").alias("new"), F.sum("n").alias("total"))
-    return n.select("new", (F.coalesce("total", F.lit(0)) - F.col("new")).alias("dup"), F.coalesce(F.round(100.0 * F.try_divide(F.col("total") - F.col("new"), F.col("total")), 2), F.lit(0.0)).alias("dup_rate_pct"))
+    return n.select("new", (F.coalesce("total", F.lit(0)) - F.col("new")).alias("dup"),
+        F.coalesce(F.round(100.0 * F.try_divide(F.col("total") - F.col("new"), F.col("total")), 2), F.lit(0.0)).alias("dup_rate_pct"))

@@ -20,7 +20,8 @@ def creatinine(labs: DataFrame, low: float = 0.3, high: float = 15.0, unit: str
 def creatinine_from_text(labs: DataFrame) -> DataFrame:
     """The older form, from all-text landing tables, with casts that give NULL:
     wider bounds, and a reading without a subject or a time stays."""
-    typed = labs.select(*(F.col(c).try_cast("long").alias(c) for c in ("subject_id", "hadm_id", "itemid")), parse_time("charttime").alias("charttime"), to_number("valuenum").alias("valuenum"), "valueuom")
+    typed = labs.select(*(F.col(c).try_cast("long").alias(c) for c in ("subject_id", "hadm_id", "itemid")), parse_time("charttime").alias("charttime"),
+        to_number("valuenum").alias("valuenum"), "valueuom")
     return creatinine(typed, 0.1, 20.0, whole=False)
 
 
@@ -33,7 +34,8 @@ def urine(outputs: DataFrame, cap: float | None = None, unit: str | None = None)
 
 
 def stays(icu: DataFrame) -> DataFrame:
-    return icu.filter((F.col("los") > 0) & F.col("subject_id").isNotNull() & F.col("stay_id").isNotNull()).select("subject_id", "hadm_id", "stay_id", "intime", "outtime", F.col("los").alias("los_days"), F.round(F.col("los") * 24, 2).alias("los_hours"), F.to_date("intime").alias("icu_admit_date"))
+    return icu.filter((F.col("los") > 0) & F.col("subject_id").isNotNull() & F.col("stay_id").isNotNull()).select("subject_id", "hadm_id", "stay_id", "intime",
+        "outtime", F.col("los").alias("los_days"), F.round(F.col("los") * 24, 2).alias("los_hours"), F.to_date("intime").alias("icu_admit_date"))
 
 
 def stays_strict(icu: DataFrame) -> DataFrame:

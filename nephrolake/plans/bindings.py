@@ -19,10 +19,13 @@ UNITS = ("MICU", "SICU", "CCU", "Med-Surg", "Neuro")
 #: DuckDB forms, in order of use.
 VIEWS = {
     "raw_labs": """SELECT event_id AS labevent_id, CASE WHEN event_id % 101 <> 0 THEN user_id END AS subject_id, user_id + 100000 AS hadm_id,
-        user_id + 500000 AS stay_id, CASE WHEN event_id % 19 = 0 THEN 50971 ELSE CASE event_type WHEN 'purchase' THEN 50912 WHEN 'view' THEN 51081 WHEN 'error' THEN 52024 ELSE 52546 END END AS itemid,
-        CASE WHEN event_id % 103 <> 0 THEN ts END AS charttime, value / 10 AS valuenum, CASE WHEN event_id % 17 = 0 THEN 'umol/L' WHEN event_id % 107 <> 0 THEN 'mg/dL' END AS valueuom FROM events WHERE event_type <> 'click'""",
+        user_id + 500000 AS stay_id, CASE WHEN event_id % 19 = 0 THEN 50971 ELSE CASE event_type WHEN 'purchase' THEN 50912 WHEN 'view' THEN 51081 WHEN 'error'
+        THEN 52024 ELSE 52546 END END AS itemid,
+        CASE WHEN event_id % 103 <> 0 THEN ts END AS charttime, value / 10 AS valuenum, CASE WHEN event_id % 17 = 0 THEN 'umol/L' WHEN event_id % 107 <> 0
+        THEN 'mg/dL' END AS valueuom FROM events WHERE event_type <> 'click'""",
     "raw_outputs": """SELECT event_id, CASE WHEN event_id % 101 <> 0 THEN user_id END AS subject_id, user_id + 100000 AS hadm_id, user_id + 500000 AS stay_id,
-        CASE WHEN event_id % 19 = 0 THEN 220045 ELSE 226559 + event_id % 3 END AS itemid, CASE WHEN event_id % 103 <> 0 THEN ts END AS charttime, value, 'mL' AS valueuom FROM events WHERE event_type = 'click'""",
+        CASE WHEN event_id % 19 = 0 THEN 220045 ELSE 226559 + event_id % 3 END AS itemid, CASE WHEN event_id % 103 <> 0 THEN ts END AS charttime, value,
+        'mL' AS valueuom FROM events WHERE event_type = 'click'""",
     "raw_stays": """SELECT user_id AS subject_id, user_id + 100000 AS hadm_id, user_id + 500000 AS stay_id, 'MICU' AS first_careunit,
         min(ts) AS intime, min(ts) + INTERVAL 10 DAY AS outtime, CAST(10.0 AS DOUBLE) AS los FROM events WHERE event_type = 'signup' GROUP BY user_id""",
     "signup_stays": """SELECT event_id AS stay_id, user_id AS subject_id, user_id + 100000 AS hadm_id, ts AS intime, ts + INTERVAL 48 HOUR AS outtime
@@ -53,16 +56,20 @@ VIEWS = {
         FROM cr_features c LEFT JOIN urine_hours u ON c.subject_id = u.subject_id AND c.hour_bucket = u.hour_bucket""",
     "staged": """SELECT *, CASE WHEN creatinine_ratio >= 3.0 OR creatinine >= 4.0 THEN 3 WHEN creatinine_ratio BETWEEN 2.0 AND 2.99 THEN 2
         WHEN cr_delta_48h >= 0.3 OR creatinine_ratio BETWEEN 1.5 AND 1.99 THEN 1 ELSE 0 END AS kdigo_stage FROM cr_features""",
-    "outer_hours": """SELECT coalesce(c.subject_id, u.subject_id) AS subject_id, coalesce(c.hour_bucket, u.hour_bucket) AS hour_bucket, c.creatinine, coalesce(u.urine_ml, 0) AS urine_output_ml
+    "outer_hours": """SELECT coalesce(c.subject_id, u.subject_id) AS subject_id, coalesce(c.hour_bucket, u.hour_bucket) AS hour_bucket, c.creatinine,
+    coalesce(u.urine_ml, 0) AS urine_output_ml
         FROM (SELECT subject_id, date_trunc('hour', charttime) AS hour_bucket, arg_max(valuenum, (charttime, labevent_id)) AS creatinine FROM creat GROUP BY ALL) c
         FULL JOIN urine_hours u ON c.subject_id = u.subject_id AND c.hour_bucket = u.hour_bucket""",
     "engineered": """SELECT *, creatinine / nullif(baseline_creatinine, 0) AS creatinine_ratio, creatinine - creatinine_prev_1h AS creatinine_delta_1h,
         creatinine - creatinine_prev_48h AS creatinine_delta_48h FROM (
-        SELECT *, min(creatinine) OVER (PARTITION BY subject_id) AS baseline_creatinine, lag(creatinine, 1) OVER w AS creatinine_prev_1h, lag(creatinine, 48) OVER w AS creatinine_prev_48h,
-          sum(urine_output_ml) OVER (w ROWS 5 PRECEDING) / (70.0::DOUBLE * 6) AS urine_ml_kg_hr_6h, sum(urine_output_ml) OVER (w ROWS 11 PRECEDING) / (70.0::DOUBLE * 12) AS urine_ml_kg_hr_12h,
+        SELECT *, min(creatinine) OVER (PARTITION BY subject_id) AS baseline_creatinine, lag(creatinine, 1) OVER w AS creatinine_prev_1h, lag(creatinine, 48)
+        OVER w AS creatinine_prev_48h,
+          sum(urine_output_ml) OVER (w ROWS 5 PRECEDING) / (70.0::DOUBLE * 6) AS urine_ml_kg_hr_6h, sum(urine_output_ml)
+          OVER (w ROWS 11 PRECEDING) / (70.0::DOUBLE * 12) AS urine_ml_kg_hr_12h,
           sum(urine_output_ml) OVER (w ROWS 23 PRECEDING) / (70.0::DOUBLE * 24) AS urine_ml_kg_hr_24h
         FROM outer_hours WINDOW w AS (PARTITION BY subject_id ORDER BY hour_bucket))""",
-    "scored": """SELECT d.doc_id, d.lang, d.source, l.quality AS y, (d.n_chars % 1000) / 1000.0::DOUBLE AS p FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL""",
+    "scored": """SELECT d.doc_id, d.lang, d.source, l.quality AS y, (d.n_chars % 1000) / 1000.0::DOUBLE AS p FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+    WHERE l.quality IS NOT NULL""",
 }
 
 
@@ -125,24 +132,29 @@ class Tables:
     @cached_property
     def raw_stays(self) -> DataFrame:
         first = self.events.filter("event_type = 'signup'").groupBy("user_id").agg(F.min("ts").alias("intime"))
-        return first.select(*self._subject(), F.lit("MICU").alias("first_careunit"), "intime", (F.col("intime") + F.expr("INTERVAL 10 DAYS")).alias("outtime"), F.lit(10.0).alias("los"))
+        return first.select(*self._subject(), F.lit("MICU").alias("first_careunit"), "intime", (F.col("intime") + F.expr("INTERVAL 10 DAYS")).alias("outtime"),
+            F.lit(10.0).alias("los"))
 
     @cached_property
     def signup_stays(self) -> DataFrame:
-        return self.events.filter("event_type = 'signup'").select(F.col("event_id").alias("stay_id"), *self._subject()[:2], F.col("ts").alias("intime"), (F.col("ts") + F.expr("INTERVAL 48 HOURS")).alias("outtime"))
+        return self.events.filter("event_type = 'signup'").select(F.col("event_id").alias("stay_id"), *self._subject()[:2], F.col("ts").alias("intime"),
+            (F.col("ts") + F.expr("INTERVAL 48 HOURS")).alias("outtime"))
 
     @cached_property
     def raw_patients(self) -> DataFrame:
         k = F.col("c_custkey")
         unit = F.element_at(F.array(*map(F.lit, UNITS)), (k % 5).cast("int") + 1)
         return self.read("customer").select(
-            k.alias("subject_id"), F.when(k % 2 == 0, "F").otherwise("M").alias("gender"), F.when(k % 13 != 0, (F.col("c_nationkey") * 3 + 18).cast("long")).alias("anchor_age"), unit.alias("care_unit"),
-            (F.col("c_nationkey") * 5 + 40).cast("double").alias("weight"), F.when(k % 7 == 0, F.lit("1998-01-01").cast("date")).alias("dod"), F.col("c_mktsegment").alias("ethnicity"))
+            k.alias("subject_id"), F.when(k % 2 == 0, "F").otherwise("M").alias("gender"),
+            F.when(k % 13 != 0, (F.col("c_nationkey") * 3 + 18).cast("long")).alias("anchor_age"), unit.alias("care_unit"),
+            (F.col("c_nationkey") * 5 + 40).cast("double").alias("weight"), F.when(k % 7 == 0, F.lit("1998-01-01").cast("date")).alias("dod"),
+            F.col("c_mktsegment").alias("ethnicity"))
 
     @cached_property
     def raw_admissions(self) -> DataFrame:
         first = self.read("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("admittime"), F.min("o_orderpriority").alias("admission_type"))
-        return first.select(F.col("o_custkey").alias("subject_id"), (F.col("o_custkey") + 100000).alias("hadm_id"), "admittime", (F.col("admittime") + F.expr("INTERVAL 5 DAYS")).alias("dischtime"), "admission_type")
+        return first.select(F.col("o_custkey").alias("subject_id"), (F.col("o_custkey") + 100000).alias("hadm_id"), "admittime",
+            (F.col("admittime") + F.expr("INTERVAL 5 DAYS")).alias("dischtime"), "admission_type")
 
     @cached_property
     def scored(self) -> DataFrame:

@@ -14,9 +14,11 @@ from .clinical import staged
 from .registry import query
 
 
-@query("p13_u2_timeline", """SELECT subject_id, charttime AS event_time, 'creatinine' AS event_type, valuenum AS value, 'mg/dL' AS unit FROM creat UNION ALL SELECT subject_id, charttime, 'urine_output', value, 'mL' FROM urine""")
+@query("p13_u2_timeline", """SELECT subject_id, charttime AS event_time, 'creatinine' AS event_type, valuenum AS value, 'mg/dL' AS unit FROM creat UNION ALL
+    SELECT subject_id, charttime, 'urine_output', value, 'mL' FROM urine""")
 def _(t):
-    part = lambda df, v, kind, unit: df.select("subject_id", F.col("charttime").alias("event_time"), F.lit(kind).alias("event_type"), F.col(v).alias("value"), F.lit(unit).alias("unit"))
+    part = lambda df, v, kind, unit: df.select("subject_id", F.col("charttime").alias("event_time"), F.lit(kind).alias("event_type"), F.col(v).alias("value"),
+        F.lit(unit).alias("unit"))
     return series.timeline(part(rel.creat(t), "valuenum", "creatinine", "mg/dL"), part(rel.urine(t), "value", "urine_output", "mL"))
 
 
@@ -51,12 +53,14 @@ def _(t):
     return t.raw_patients.join(sizes, ["gender", "care_unit"]).select("subject_id", "n_known")
 
 
-@query("v1_strict_group_size", "SELECT subject_id FROM (SELECT subject_id, gender, care_unit, count(weight) OVER (PARTITION BY gender, care_unit) AS n FROM raw_patients) WHERE n >= 100")
+@query("v1_strict_group_size", "SELECT subject_id FROM (SELECT subject_id, gender, care_unit, count(weight) OVER (PARTITION BY gender, "
+    "care_unit) AS n FROM raw_patients) WHERE n >= 100")
 def _(t):
     return privacy.suppress(t.raw_patients, ["gender", "care_unit"], 100, counted="weight").select("subject_id")
 
 
-@query("f4_within_30_days", "SELECT l_orderkey, l_linenumber, CASE WHEN CAST(l_shipdate AS DATE) <= o_orderdate + INTERVAL 30 DAY THEN 1 ELSE 0 END AS soon FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query("f4_within_30_days", "SELECT l_orderkey, l_linenumber, "
+    "CASE WHEN CAST(l_shipdate AS DATE) <= o_orderdate + INTERVAL 30 DAY THEN 1 ELSE 0 END AS soon FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def _(t):
     o = t.read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     soon = F.to_date("l_shipdate").cast("timestamp_ntz") <= F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")
@@ -82,7 +86,8 @@ def _(t):
 @query("f16_time_forms", "SELECT event_id, date_trunc('second', ts) AS at FROM events")
 def _(t):
     base = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    form = F.element_at(F.array(base, F.concat(F.replace(base, F.lit(" "), F.lit("T")), F.lit("Z")), F.concat(F.replace(base, F.lit(" "), F.lit("T")), F.lit("+02:00"))), (F.col("event_id") % 3).cast("int") + 1)
+    form = F.element_at(F.array(base, F.concat(F.replace(base, F.lit(" "), F.lit("T")), F.lit("Z")),
+        F.concat(F.replace(base, F.lit(" "), F.lit("T")), F.lit("+02:00"))), (F.col("event_id") % 3).cast("int") + 1)
     return t.events.select("event_id", fn.parse_time(form).alias("at"))
 
 
@@ -94,7 +99,8 @@ def _(t):
     return t.read("embeddings").select("vec_id", F.round(distance(v, F.transform(v, lambda x: F.lit(0.0))), 6).alias("norm"))
 
 
-@query("s5_row_count_report", "SELECT 'nation' AS table_name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier")
+@query("s5_row_count_report", "SELECT 'nation' AS table_name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', "
+    "count(*) FROM supplier")
 def _(t):
     return files.row_counts({n: t.read(n) for n in ("nation", "region", "supplier")})
 
@@ -105,7 +111,8 @@ def _(t):
     return replay.synthetic(t.spark, 20, 10)
 
 
-@query("s24_newest_traces", "SELECT user_id AS patient_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 10")
+@query("s24_newest_traces", "SELECT user_id AS patient_id, event_id FROM (SELECT user_id, event_id, "
+    "row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 10")
 def _(t):
     doc = F.to_json(F.struct(F.col("user_id").alias("patient_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("timestamp"), "event_id"))
     lines = t.events.select(F.concat(F.lit("INFO [PATIENT_TRACE] "), doc).alias("value"))
@@ -114,10 +121,12 @@ def _(t):
 
 @query("t2_t3_state_snapshot", """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n_events,
     min(CASE WHEN event_type <> 'click' THEN value / 10 END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 48 HOUR PRECEDING AND CURRENT ROW) AS baseline_cr_48h,
-    round(sum(CASE WHEN event_type = 'click' THEN value END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) / (70.0::DOUBLE * 6), 6) AS urine_velocity_6h FROM events""")
+    round(sum(CASE WHEN event_type = 'click' THEN value END) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING
+    AND CURRENT ROW) / (70.0::DOUBLE * 6), 6) AS urine_velocity_6h FROM events""")
 def _(t):
     """The batch twin of the stream's state."""
-    e = t.events.select("event_id", "user_id", "ts", F.when(F.col("event_type") != "click", F.col("value") / 10).alias("cr"), F.when(F.col("event_type") == "click", F.col("value")).alias("uo"))
+    e = t.events.select("event_id", "user_id", "ts", F.when(F.col("event_type") != "click", F.col("value") / 10).alias("cr"),
+        F.when(F.col("event_type") == "click", F.col("value")).alias("uo"))
     back = lambda c, h: series.trailing(c, h, "user_id", "ts")
     n = F.count("*").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return e.select("event_id", n.alias("n_events"), back(F.min("cr"), 48).alias("baseline_cr_48h"), F.round(back(F.sum("uo"), 6) / (70.0 * 6), 6).alias("urine_velocity_6h"))
@@ -126,7 +135,8 @@ def _(t):
 @query("z9_windowed_distinct", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS events, count(DISTINCT user_id) AS subjects FROM events GROUP BY 1")
 def _(t):
     w = F.window(F.col("ts").cast("timestamp"), "1 hour")
-    return t.events.groupBy(w.alias("w")).agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("subjects")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "events", "subjects")
+    return t.events.groupBy(w.alias("w")).agg(F.count("*").alias("events"),
+        F.count_distinct("user_id").alias("subjects")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "events", "subjects")
 
 
 @query("e11_histogram", "SELECT CAST(floor(value / 50) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1")

@@ -16,10 +16,13 @@ TRACE = r"\[PATIENT_TRACE\]\s*(\{.*\})"
 
 # The raw tables' columns.
 SCHEMAS = {
-    "raw_labevents": "labevent_id long, subject_id long, hadm_id long, specimen_id long, itemid long, charttime timestamp_ntz, storetime timestamp_ntz, value string, valuenum double, valueuom string, ref_range_lower double, ref_range_upper double, flag string, priority string, comments string",
+    "raw_labevents": "labevent_id long, subject_id long, hadm_id long, specimen_id long, itemid long, charttime timestamp_ntz, storetime timestamp_ntz, value string, "
+    "valuenum double, valueuom string, ref_range_lower double, ref_range_upper double, flag string, priority string, comments string",
     "raw_outputevents": "subject_id long, hadm_id long, stay_id long, charttime timestamp_ntz, storetime timestamp_ntz, itemid long, value double, valueuom string",
     "raw_icustays": "subject_id long, hadm_id long, stay_id long, first_careunit string, last_careunit string, intime timestamp_ntz, outtime timestamp_ntz, los double",
-    "raw_admissions": "subject_id long, hadm_id long, admittime timestamp_ntz, dischtime timestamp_ntz, deathtime timestamp_ntz, admission_type string, admission_location string, discharge_location string, insurance string, language string, marital_status string, race string, edregtime timestamp_ntz, edouttime timestamp_ntz, hospital_expire_flag int",
+    "raw_admissions": "subject_id long, hadm_id long, admittime timestamp_ntz, dischtime timestamp_ntz, deathtime timestamp_ntz, admission_type string, "
+    "admission_location string, discharge_location string, insurance string, language string, marital_status string, race string, edregtime timestamp_ntz, "
+    "edouttime timestamp_ntz, hospital_expire_flag int",
     "raw_patients": "subject_id long, gender string, anchor_age long, anchor_year long, anchor_year_group string, dod date",
 }
 LIVE_SCORES = "subject_id long, score_ts timestamp, kdigo_stage int, anomaly_score double, cr_current double, baseline_cr_48h double, cr_ratio double, cr_delta_48h double, urine_velocity_6h double, urine_velocity_12h double, urine_velocity_24h double, bloom_status string, fm_distinct_patients long, dgim_events_1h long, triggered_by string"
@@ -37,7 +40,8 @@ def read_csv(spark: SparkSession, path: str, ddl: str, mode: str = "PERMISSIVE")
     columns; short rows are padded; rows that do not parse keep their line in
     ``_corrupt_record``. Plain or gzipped, one file or many."""
     schema = schema_of(ddl).add(CORRUPT, T.StringType())
-    df = spark.read.schema(schema).option("header", True).option("quote", '"').option("nullValue", "NULL").option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    df = spark.read.schema(schema).option("header", True).option("quote", '"').option("nullValue", "NULL").option("mode", mode).option("columnNameOfCorruptRecord",
+        CORRUPT).csv(path)
     return df.select(*(null_tokens(f.name).alias(f.name) if isinstance(f.dataType, T.StringType) and f.name != CORRUPT else F.col(f.name) for f in schema))
 
 
@@ -92,7 +96,8 @@ def as_declared(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(*((value(f) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema_of(ddl)))
 
 
-def materialize(df: DataFrame, layer: str, name: str, kind: str = "table", prefix: str = "", cluster: list[str] | None = None, unique: list[str] | None = None, newest: str | None = None) -> None:
+def materialize(df: DataFrame, layer: str, name: str, kind: str = "table", prefix: str = "", cluster: list[str] | None = None, unique: list[str] | None = None,
+        newest: str | None = None) -> None:
     """``view``: a temporary view. ``table``: a table sorted within partitions
     by the clustering columns. ``incremental``: rows of ``df`` replace those of
     the table with the same ``unique`` columns, only rows later than the
@@ -134,9 +139,11 @@ def score_rows(traces: DataFrame) -> DataFrame:
     """The fifteen columns of the live score table from traces."""
     c = F.col
     return traces.select(
-        c("patient_id").cast("long").alias("subject_id"), c("timestamp").cast("timestamp").alias("score_ts"), F.coalesce("kdigo_stage", F.lit(0)).cast("int").alias("kdigo_stage"), F.coalesce("anomaly_score", F.lit(0.0)).cast("double").alias("anomaly_score"),
+        c("patient_id").cast("long").alias("subject_id"), c("timestamp").cast("timestamp").alias("score_ts"),
+        F.coalesce("kdigo_stage", F.lit(0)).cast("int").alias("kdigo_stage"), F.coalesce("anomaly_score", F.lit(0.0)).cast("double").alias("anomaly_score"),
         "cr_current", "baseline_cr_48h", "cr_ratio", "cr_delta_48h", "urine_velocity_6h", "urine_velocity_12h", "urine_velocity_24h",
-        F.coalesce("bloom", F.lit("UNIQUE")).alias("bloom_status"), c("fm_distinct_patients").cast("long").alias("fm_distinct_patients"), c("dgim_events_1h").cast("long").alias("dgim_events_1h"), "triggered_by")
+        F.coalesce("bloom", F.lit("UNIQUE")).alias("bloom_status"), c("fm_distinct_patients").cast("long").alias("fm_distinct_patients"),
+        c("dgim_events_1h").cast("long").alias("dgim_events_1h"), "triggered_by")
 
 
 # ---- registry of model runs
@@ -149,9 +156,11 @@ def registry_entry(spark: SparkSession, model: str, lineage: Column | str, param
     digest = F.sha2(F.lit(lineage) if isinstance(lineage, str) else lineage, 256)
     base = source if source is not None else spark.range(1)
     return base.select(
-        F.concat(F.lit(f"{model}-"), F.substring(digest, 1, 12)).alias("run_id"), F.lit(model).alias("model"), F.current_timestamp().cast("string").alias("created_at"), digest.alias("lineage"),
+        F.concat(F.lit(f"{model}-"), F.substring(digest, 1, 12)).alias("run_id"), F.lit(model).alias("model"),
+        F.current_timestamp().cast("string").alias("created_at"), digest.alias("lineage"),
         F.create_map(*(F.lit(str(x)) for kv in params.items() for x in kv)).alias("params") if params else F.create_map().cast("map<string,string>").alias("params"),
-        F.create_map(*(x for k, v in metrics.items() for x in (F.lit(k), F.lit(float(v))))).alias("metrics") if metrics else F.create_map().cast("map<string,double>").alias("metrics"))
+        F.create_map(*(x for k, v in metrics.items() for x in (F.lit(k),
+        F.lit(float(v))))).alias("metrics") if metrics else F.create_map().cast("map<string,double>").alias("metrics"))
 
 
 def file_digest(spark: SparkSession, path: str) -> DataFrame:

@@ -83,8 +83,10 @@ def with_twins(traces: DataFrame, history: DataFrame, projections, k: int = 3) -
     vector = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in VECTOR))
     key = F.xxhash64("patient_id", "timestamp", *VECTOR)
     asked = traces.withColumn("_at", key)
-    found = similarity.hashed(history.select("id", vector.alias("z")), asked.select(F.col("_at").alias("id"), vector.alias("z")).dropDuplicates(["id"]), projections, k, itself=True)
-    told = found.join(history.select("id", "outcome"), "id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "outcome", F.round("distance", 3).alias("dist")))).alias("twins"))
+    found = similarity.hashed(history.select("id", vector.alias("z")), asked.select(F.col("_at").alias("id"), vector.alias("z")).dropDuplicates(["id"]), projections,
+        k, itself=True)
+    told = found.join(history.select("id", "outcome"),
+        "id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "outcome", F.round("distance", 3).alias("dist")))).alias("twins"))
     none = F.array().cast(told.schema["twins"].dataType)
     return asked.join(told, asked["_at"] == told["query_id"], "left").withColumn("twins", F.coalesce("twins", none)).drop("_at", "query_id")
 
@@ -117,5 +119,6 @@ def composed(events: DataFrame) -> DataFrame:
         *((back(F.sum("_uo"), h) / (70.0 * h)).alias(f"urine_velocity_{h}h") for h in (6, 12, 24)))
     state = state.withColumns({"cr_ratio": F.round(F.try_divide("cr_current", "baseline_cr_48h"), 4), "cr_delta_48h": F.round(F.col("cr_current") - F.col("baseline_cr_48h"), 4)})
     c = kdigo.classify("cr_current", "baseline_cr_48h", *(f"urine_velocity_{h}h" for h in (6, 12, 24)))
-    staged = state.withColumns({"kdigo_stage": c["stage"], "triggered_by": c["triggered_by"], "anomaly_score": kdigo.anomaly_score("cr_ratio", "cr_delta_48h", "urine_velocity_6h")})
+    staged = state.withColumns({"kdigo_stage": c["stage"], "triggered_by": c["triggered_by"],
+        "anomaly_score": kdigo.anomaly_score("cr_ratio", "cr_delta_48h", "urine_velocity_6h")})
     return staged.withColumn("fm_distinct_patients", F.lit(total).cast("long"))

@@ -13,7 +13,8 @@ PAYLOAD = "subject_id string, charttime timestamp, event_type string, value doub
 def routed(events: DataFrame) -> DataFrame:
     """(topic, key, value): JSON payloads keyed by subject; unrouted kinds have no topic."""
     payload = F.to_json(F.struct(F.col("subject_id").cast("string").alias("subject_id"), F.col("charttime").cast("string").alias("charttime"), "event_type", "value", "valueuom"))
-    return events.select(topic_for("event_type").alias("topic"), F.col("subject_id").cast("string").alias("key"), payload.alias("value"), F.col("charttime").cast("string").alias("at"))
+    return events.select(topic_for("event_type").alias("topic"), F.col("subject_id").cast("string").alias("key"), payload.alias("value"),
+        F.col("charttime").cast("string").alias("at"))
 
 
 def counts(messages: DataFrame) -> DataFrame:
@@ -36,7 +37,8 @@ def parsed(messages: DataFrame, *kept: str) -> DataFrame:
     return messages.select("topic", *kept, F.from_json("value", PAYLOAD).alias("e")).select("topic", *kept, "e.*")
 
 
-def synthetic(spark: SparkSession, subjects: int, readings: int, creatinine: tuple[float, float] = (1.2, 0.4), urine: tuple[float, float] = (60.0, 20.0), seed: int = 42) -> DataFrame:
+def synthetic(spark: SparkSession, subjects: int, readings: int, creatinine: tuple[float, float] = (1.2, 0.4), urine: tuple[float, float] = (60.0, 20.0),
+        seed: int = 42) -> DataFrame:
     """Readings around calibrated means; one subject in five is sick."""
     rows = spark.range(subjects * readings).withColumns({"subject_id": F.col("id") % subjects, "n": F.floor(F.col("id") / subjects)})
     sick = F.col("subject_id") % 5 == 0
@@ -44,4 +46,5 @@ def synthetic(spark: SparkSession, subjects: int, readings: int, creatinine: tup
     ur = F.randn(seed + 2) * urine[1] + urine[0] - F.when(sick, 10 + 20 * F.rand(seed + 3)).otherwise(0)
     at = F.lit("2150-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("n").cast("int"))
     is_cr = F.col("n") % 2 == 0
-    return rows.select("subject_id", at.alias("charttime"), F.when(is_cr, "creatinine").otherwise("urine").alias("event_type"), F.when(is_cr, F.greatest(cr, F.lit(0.2))).otherwise(F.greatest(ur, F.lit(0.0))).alias("value"), F.when(is_cr, "mg/dL").otherwise("mL").alias("valueuom"))
+    return rows.select("subject_id", at.alias("charttime"), F.when(is_cr, "creatinine").otherwise("urine").alias("event_type"),
+        F.when(is_cr, F.greatest(cr, F.lit(0.2))).otherwise(F.greatest(ur, F.lit(0.0))).alias("value"), F.when(is_cr, "mg/dL").otherwise("mL").alias("valueuom"))

@@ -68,7 +68,8 @@ class Subject:
         now = self.cr[-1][1] if self.cr else None
         base = min((v for _, v in self.cr), default=None)
         return {
-            "n_events": self.n, "cr_current": now, "baseline_cr_48h": base, "cr_ratio": round(now / base, 4) if now is not None and base else None, "cr_delta_48h": round(now - base, 4) if now is not None else None,
+            "n_events": self.n, "cr_current": now, "baseline_cr_48h": base, "cr_ratio": round(now / base, 4) if now is not None and base else None,
+            "cr_delta_48h": round(now - base, 4) if now is not None else None,
             "urine_velocity_6h": self.urine(6), "urine_velocity_12h": self.urine(12), "urine_velocity_24h": self.urine(24),
         }
 
@@ -101,7 +102,8 @@ def with_scores(snapshots: DataFrame) -> DataFrame:
     """Stage, rule and score of each snapshot, as column expressions."""
     uo = [f"urine_velocity_{h}h" for h in (6, 12, 24)]
     c = kdigo.classify("cr_current", "baseline_cr_48h", *uo)
-    return snapshots.withColumns({"kdigo_stage": c["stage"], "triggered_by": c["triggered_by"], "anomaly_score": kdigo.anomaly_score("cr_ratio", "cr_delta_48h", "urine_velocity_6h")})
+    return snapshots.withColumns({"kdigo_stage": c["stage"], "triggered_by": c["triggered_by"],
+        "anomaly_score": kdigo.anomaly_score("cr_ratio", "cr_delta_48h", "urine_velocity_6h")})
 
 
 def traces(events: DataFrame) -> DataFrame:

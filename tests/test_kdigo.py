@@ -9,7 +9,8 @@ CASES = [
     ((3.6, 1.0, 1, 1, 1), 3, "cr_ratio>=3.0"), ((4.5, 2.5, 1, 1, 1), 3, "cr_current>=4.0"), ((1.0, 1.0, 1, 1, 0.25), 3, "uo_24h<0.3"),
     ((2.4, 1.0, 1, 1, 1), 2, "2.0<=cr_ratio<3.0"), ((1.0, 1.0, 1, 0.4, 1), 2, "uo_12h<0.5"), ((1.4, 1.0, 1, 1, 1), 1, "cr_delta_48h>=0.3"),
     ((0.65, 0.4, 1, 1, 1), 1, "1.5<=cr_ratio<2.0"), ((1.0, 1.0, 0.4, 1, 1), 1, "uo_6h<0.5"), ((1.1, 1.0, 1, 1, 1), 0, "none"),
-    ((None,) * 5, 0, "none"), ((1.5, 1.0, 0.4, 0.4, 1), 2, "uo_12h<0.5"), ((1.5, 1.0, 0.4, 0.4, 0.2), 3, "uo_24h<0.3"), ((float("nan"),) * 5, 0, "none"), ((1.0, 0.0, 1, 1, 1), 1, "cr_delta_48h>=0.3"),
+    ((None,) * 5, 0, "none"), ((1.5, 1.0, 0.4, 0.4, 1), 2, "uo_12h<0.5"), ((1.5, 1.0, 0.4, 0.4, 0.2), 3, "uo_24h<0.3"), ((float("nan"),) * 5, 0, "none"),
+    ((1.0, 0.0, 1, 1, 1), 1, "cr_delta_48h>=0.3"),
 ]
 
 

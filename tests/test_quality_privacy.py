@@ -52,7 +52,8 @@ def test_urine_gate(spark):
 
 def test_dataset_gate_null_creatinine_fails(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 3.0)], "subject_id long, creatinine double, urine_output_ml double")
-    assert {r.check: r.passed for r in quality.dataset_gate(df, "d", "subject_id").collect()} == {"creatinine_range_valid": False, "urine_non_negative": True, "no_missing_patient_ids": True}
+    assert {r.check: r.passed for r in quality.dataset_gate(df, "d", "subject_id").collect()} == {"creatinine_range_valid": False, "urine_non_negative": True,
+        "no_missing_patient_ids": True}
 
 
 def test_ages(spark):

@@ -53,7 +53,8 @@ def test_stream_equals_batch_window(spark, tmp_path):
     # as the state sees it: readings of the 48 hours up to each event, all kinds moving the anchor
     micros = F.unix_micros("charttime")
     w = Window.partitionBy("subject_id").orderBy(micros).rangeBetween(-48 * 3_600_000_000, 0)
-    batch = events.withColumn("b", F.min(F.when(F.col("event_type") == "creatinine", F.col("value"))).over(w)).withColumn("n", F.count("*").over(Window.partitionBy("subject_id").orderBy("charttime", "event_id")))
+    batch = events.withColumn("b", F.min(F.when(F.col("event_type") == "creatinine", F.col("value"))).over(w)).withColumn("n",
+        F.count("*").over(Window.partitionBy("subject_id").orderBy("charttime", "event_id")))
     want = sorted((r.subject_id, r.charttime, r.b is not None and round(r.b, 9)) for r in batch.collect())
     got = sorted((r.patient_id, r.timestamp, r.baseline_cr_48h is not None and round(r.baseline_cr_48h, 9)) for r in out.collect())
     assert got == want and out.filter("kdigo_stage NOT IN (0, 1, 2, 3)").count() == 0
@@ -62,7 +63,8 @@ def test_stream_equals_batch_window(spark, tmp_path):
 def test_state_survives_a_restart(spark, tmp_path):
     first = spark.createDataFrame([("1", None, "creatinine", 1.0, 1)], EVENTS).withColumn("charttime", F.lit("2150-01-01 00:00:00").cast("timestamp"))
     def go(df):
-        q = trace.traces(stream(spark, tmp_path, df)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q = trace.traces(stream(spark, tmp_path, df)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation",
+            str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination(100)
         return spark.read.parquet(str(tmp_path / "out"))
 
@@ -79,15 +81,19 @@ def test_dedup_counts_and_sink(spark, tmp_path):
     assert trace.dedup(e, "nothing") is e
     live = run(spark, trace.live_counts(stream(spark, tmp_path, e, "in2")), "live", tmp_path / "c2")
     assert live.count() > 0 and live.filter("subjects > events").count() == 0
-    q = trace.traces(stream(spark, tmp_path, e, "in3")).writeStream.foreachBatch(trace.score_sink(str(tmp_path / "scores"))).option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
+    q = trace.traces(stream(spark, tmp_path, e, "in3")).writeStream.foreachBatch(trace.score_sink(str(tmp_path / "scores"))).option("checkpointLocation",
+        str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination(100)
     scores = spark.read.parquet(str(tmp_path / "scores"))
     assert scores.count() == e.count() and len([c for c in scores.columns if c not in ("ingested_at", "batch")]) == 15
-    nested = trace.nested_trace(spark.table("once").limit(0).selectExpr("subject_id AS patient_id", "charttime AS timestamp", "event_type", "0 AS kdigo_stage", "0.0 AS anomaly_score", "'U' AS bloom", *(f"value AS {c}" for c in ("cr_current", "baseline_cr_48h", "cr_ratio", "cr_delta_48h", "urine_velocity_6h", "urine_velocity_12h", "urine_velocity_24h"))))
+    nested = trace.nested_trace(spark.table("once").limit(0).selectExpr("subject_id AS patient_id", "charttime AS timestamp", "event_type", "0 AS kdigo_stage",
+        "0.0 AS anomaly_score", "'U' AS bloom", *(f"value AS {c}" for c in ("cr_current", "baseline_cr_48h", "cr_ratio", "cr_delta_48h", "urine_velocity_6h",
+        "urine_velocity_12h", "urine_velocity_24h"))))
     assert nested.columns == ["patient_id", "trace"]
 
 
-@pytest.mark.parametrize(("kind", "topic"), [("creatinine", "labs"), (" BMP ", "labs"), ("lab", "labs"), ("Heart_Rate", "vitals"), ("spo2", "vitals"), ("urine", "fluids"), ("IV_total", "fluids"), ("ekg", None), ("", None), (None, None)])
+@pytest.mark.parametrize(("kind", "topic"), [("creatinine", "labs"), (" BMP ", "labs"), ("lab", "labs"), ("Heart_Rate", "vitals"), ("spo2", "vitals"),
+    ("urine", "fluids"), ("IV_total", "fluids"), ("ekg", None), ("", None), (None, None)])
 def test_topics(spark, kind, topic):
     df = spark.createDataFrame([(kind,)], "k string")
     from nephrolake.functions.clinical import topic_for
@@ -129,7 +135,8 @@ def test_layers_registry_and_log(spark, tmp_path):
 
 @pytest.mark.parametrize("kind", ["lr", "gbt"])
 def test_models(spark, tmp_path, kind):
-    df = spark.range(1500).select("id", F.when(F.col("id") % 9 > 0, F.rand(1)).alias("a"), F.rand(2).alias("b")).withColumn("target", (F.coalesce("a", F.lit(0.5)) + F.col("b") > 1).cast("int"))
+    df = spark.range(1500).select("id", F.when(F.col("id") % 9 > 0, F.rand(1)).alias("a"), F.rand(2).alias("b")).withColumn("target",
+        (F.coalesce("a", F.lit(0.5)) + F.col("b") > 1).cast("int"))
     train, test = ml.stratified(df, "target", "id")
     assert 0.1 < test.count() / 1500 < 0.3
     model, metrics = ml.fit_and_score(train, test, kind, ["a", "b"], scaled=kind == "lr", trees=15)
@@ -180,7 +187,8 @@ def test_spellings_and_repeats():
 def test_counters_go_on(spark, tmp_path):
     """Registers and minutes carry over from batch to batch; a batch that runs again gives the same."""
     count = live.counters(str(tmp_path / "counters"))
-    at = lambda lo, hi, minute: spark.range(lo, hi).select(F.col("id").cast("string").alias("patient_id"), F.to_timestamp(F.lit(f"2150-01-01 {minute // 60:02}:{minute % 60:02}:00")).alias("timestamp"))
+    at = lambda lo, hi, minute: spark.range(lo, hi).select(F.col("id").cast("string").alias("patient_id"),
+        F.to_timestamp(F.lit(f"2150-01-01 {minute // 60:02}:{minute % 60:02}:00")).alias("timestamp"))
     get = lambda df, n: count(df, n).select("fm_distinct_patients", "dgim_events_1h").first()[:]
     first, second, late = get(at(0, 500, 0), 0), get(at(400, 3000, 30), 1), get(at(0, 10, 75), 2)
     assert get(at(400, 3000, 30), 1) == second
@@ -193,7 +201,8 @@ def test_counters_go_on(spark, tmp_path):
 
 
 def test_topics_in_and_console(spark, tmp_path, capfd):
-    sent = replay.routed(replay.synthetic(spark, 4, 3)).select("topic", "value", F.lit("2150-01-01").cast("timestamp").alias("timestamp"), F.monotonically_increasing_id().alias("offset"))
+    sent = replay.routed(replay.synthetic(spark, 4, 3)).select("topic", "value", F.lit("2150-01-01").cast("timestamp").alias("timestamp"),
+        F.monotonically_increasing_id().alias("offset"))
     got = live.typed(sent.withColumn("value", F.col("value").cast("binary")))
     assert got.count() == 12 and {"kafka_ts", "event_id", "topic", "subject_id"} <= {*got.columns}
     o = live.kafka_options("a:1", at_most=10)
