@@ -6,8 +6,9 @@ expanded.
 
 1. *Dealing out.* Two sets with Jaccard t or more share an element among the
    first ``n - ceil(t n) + 1`` of each under any common order. The order puts
-   shingles that are frequent in a bounded sample last (order decides speed
-   only), so a passage that many documents share rarely deals them together.
+   shingles that are frequent last (order decides speed only), so a passage
+   that many documents share rarely deals them together. All shingles of all
+   documents are counted, in ``CELLS`` counters: those of one cell count as one.
    Where at least 0.6 of a set is not frequent, the first 64 of that part
    suffice: a link fails to meet there with a chance below 0.56^64 (1e-16),
    far under that of a 64-bit collision.
@@ -36,6 +37,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +52,10 @@ BITMAP_WORDS, BITS_EACH = 32, 4  # 2048 bits in the trees; bits a shingle in the
 LEAF, FANOUT = 8, 8
 #: Classes and shingles of a block, at most on average.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
-#: Frequent shingles are looked for in about so many documents, so many are kept.
-SAMPLE_DOCS, FREQUENT, MAX_FREQUENT = 20_000, 4, 1 << 16
+#: Counters of shingles over all documents, and the parts in which tasks send them on.
+CELLS, PARTS = 1 << 22, 64
+#: A cell is frequent that counts so many (and so many for each PER_DOCS documents); so many are kept.
+FREQUENT, PER_DOCS, MAX_FREQUENT = 4, 20_000, 1 << 16
 COLD_SHARE, COLD_PREFIX = 0.6, 64
 #: Orders whose first elements group the classes; rows that a task compares first.
 ORDERS, FIRST_ROWS = 4, 8
@@ -115,11 +120,12 @@ def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
 
 
 def places_of(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Where each shingle is in ``frequent`` (sorted), -1 if it is not there."""
+    """Where each shingle's cell is in ``frequent`` (sorted), -1 if it is not there."""
     if not len(frequent):
         return np.full(len(shingles), -1)
-    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-    return np.where(frequent[at] == shingles, at, -1)
+    cells = shingles & _U(CELLS - 1)
+    at = np.minimum(np.searchsorted(frequent, cells), len(frequent) - 1)
+    return np.where(frequent[at] == cells, at, -1)
 
 
 def prefix_of(shingles: np.ndarray, places: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -247,20 +253,31 @@ def leaf_pairs(runs: np.ndarray, size: np.ndarray, bits: np.ndarray, comp: np.nd
 
 
 def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Shingles that come often in a sample, the most frequent last."""
-    total = docs.count()
-    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < max(1, min(1_000_003, int(1_000_003 * SAMPLE_DOCS / max(1, total)))))
+    """Cells that count many shingles of all documents, the most frequent last."""
+    least, width = max(1, FREQUENT, FREQUENT * docs.count() / PER_DOCS), CELLS // PARTS
 
     def count(batches):
+        counts = np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            shingles = np.concatenate([*shingle_sets(batch.column(0).to_pylist(), n), np.zeros(0, _U)])
+            np.add.at(counts, (shingles & _U(CELLS - 1)).astype(np.int64), 1)
+        own = [(k, x.astype(np.min_scalar_type(x.max()))) for k, x in enumerate(counts.reshape(PARTS, width)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.int32()), pa.array([x.itemsize for _, x in own], pa.int32()),
+            pa.array([zlib.compress(x, 1) for _, x in own], pa.binary())], names=["part", "bytes", "counts"])
+
+    def total(batches):
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
-            sets = shingle_sets(batch.column(0).to_pylist(), n)
-            token, times = np.unique(np.concatenate([*sets, np.zeros(0, _U)]), return_counts=True)
-            often = times > 1
-            yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(times[often].astype(np.int64))], names=["token", "n"])
-
-    counted = sample.select("text").mapInArrow(tidied(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
-    return top["token"].to_numpy(np.int64).view(_U)[::-1]
+            for k, size, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                counts.setdefault(k, np.zeros(width, np.int64))
+                counts[k] += np.frombuffer(zlib.decompress(x), f"u{size}")
+        for k, x in counts.items():
+            many = np.flatnonzero(x >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(k * width + many), pa.array(x[many])], names=["cell", "n"])
+
+    counted = docs.select("text").mapInArrow(tidied(count), "part int, bytes int, counts binary").repartition("part").mapInArrow(tidied(total), "cell long, n long")
+    top = counted.orderBy(F.desc("n"), "cell").limit(MAX_FREQUENT).toPandas()
+    return top["cell"].to_numpy(np.int64).view(_U)[::-1]
 
 
 def _sketch(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:

@@ -145,3 +145,14 @@ def test_trios(spark):
     out += [(len(out) + i, " ".join(words(8))) for i in range(9000)]  # so many classes that turns end after the first
     got = ngram_join.join_components(spark.createDataFrame(out, "doc_id long, text string")).collect()
     assert sum(r.component_id == r.doc_id - 1 for r in got if r.doc_id < 1200 and r.doc_id % 3 == 2) == 400
+
+
+def test_frequent_shingles_of_all_documents(spark):
+    """Groups of copies come last in the order wherever they are; single texts do not."""
+    text = lambda kind, i: " ".join(f"{kind}{i}x{j}" for j in range(8))
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, 7), j -> concat('own', id, 'x', j))) AS text")
+    docs = docs.unionByName(spark.createDataFrame([(30_000 + 60 * g + i, text("group", g)) for g in range(40) for i in range(60)], "doc_id long, text string"))
+    frequent = np.sort(ngram_join._frequent(docs, 5))
+    assert all((ngram_join.places_of(s, frequent) >= 0).all() for s in ngram_join.shingle_sets([text("group", g) for g in range(40)]))
+    alone = np.concatenate(ngram_join.shingle_sets([text("own", i) for i in range(0, 30_000, 100)]))
+    assert (ngram_join.places_of(alone, frequent) >= 0).mean() < 0.01
