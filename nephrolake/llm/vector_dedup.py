@@ -3,17 +3,19 @@
 Equal vectors are one node that knows how many it stands for. Centroids are
 fitted on a bounded sample; every node goes to its nearest ``OVERLAP`` cluster
 shards. Each shard builds a graph: near neighbours, robust-pruned to a bounded
-degree. The shards' adjacency lists are united by node, and every node searches
-its shards' part of the united graph: each connected part greedily from its
-medoid and from the node itself, then on through all that lies within the
-range. Found pairs are verified in double precision. A task sends on a count
+degree, and the spanning trees of what lies within the range, whose edges lead
+both ways: in a crowd of near copies the bound on edges back would leave nodes
+to which none leads, and their pairs would be lost. The shards' adjacency lists
+are united by node, and every node searches its shards' part of the united
+graph: each connected part greedily from its medoid and from the node itself,
+then on through all that lies within the range. Found pairs are verified in double precision. A task sends on a count
 and a component for each node, never its links: a pair is counted only in the
 smallest shard that both ends are in. A sample of nodes is searched by brute
 force over all vectors to audit the counted links. Below ``MIN_RECALL`` the
-overlap and the beam are doubled, and once that costs as much, all pairs are
-compared.
+overlap, the centroids and the beam are doubled, so that shards keep their size,
+and once that costs as much, all pairs are compared.
 
-A shard over ``MAX_SHARD`` nodes is dealt into parts of bounded size; every
+A shard over twice ``MAX_SHARD`` nodes is dealt into parts of that size; every
 two parts build and search a graph together, so that none of its pairs is lost.
 Vectors of each length are compared among themselves; lengths of few vectors
 are a shard each, all in one run.
@@ -37,7 +39,7 @@ from .common import discard, prepare, read_table, stash, tidied
 from .components import components
 
 MIN_COSINE, MIN_RECALL = 0.9, 0.98
-#: Vectors that centroids are fitted on, nodes of a shard, centroids at most.
+#: Vectors that centroids are fitted on, nodes of a shard, centroids at most, nodes of a part.
 SAMPLE, SHARD, MAX_CENTROIDS, MAX_SHARD = 20_000, 1200, 4096, 1500
 OVERLAP, NEAR, DEGREE, SLACK, BEAM, QUERIES = 2, 48, 24, 1.2, 16, 128
 AUDIT = 128
@@ -71,17 +73,35 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np
     return c.astype("f4")
 
 
+def reach_trees(x: np.ndarray, reach: float) -> list[tuple[int, int]]:
+    """Edges of the trees that span what pairs within ``reach`` connect, by the nearest pairs."""
+    best, above, todo, out = np.full(len(x), -2, "f4"), np.zeros(len(x), np.int64), np.ones(len(x), bool), []
+    for _ in range(len(x)):
+        i = int(np.where(todo, best, -3).argmax())
+        if best[i] >= reach:
+            out.append((int(above[i]), i))
+        todo[i] = False
+        s = x @ x[i]
+        nearer = todo & (s > best)
+        best[nearer], above[nearer] = s[nearer], i
+    return out
+
+
 def robust_prune(x: np.ndarray) -> list[np.ndarray]:
     """Neighbours of each row of unit vectors: a candidate stays unless one
-    already kept is nearer to it than it is to the node, by ``SLACK``."""
+    already kept is nearer to it than it is to the node, by ``SLACK``; and its
+    neighbours in the trees of ``reach_trees``, however many."""
     n = len(x)
     k = min(NEAR, n - 1)
     if k < 1:
         return [np.zeros(0, np.int64) for _ in range(n)]
     out: list[set[int]] = []
+    linked: list[np.ndarray] = []
+    reach = MIN_COSINE - 1e-5
     for at in range(0, n, 1024):
         s = x[at : at + 1024] @ x.T
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
+        linked.append(at + np.flatnonzero(s.max(axis=1) >= reach))
         near = np.argpartition(-s, k - 1, axis=1)[:, :k]
         sims = np.take_along_axis(s, near, axis=1)
         order = np.argsort(-sims, axis=1)
@@ -98,6 +118,10 @@ def robust_prune(x: np.ndarray) -> list[np.ndarray]:
             cut[:, : i + 1] = False
             alive &= ~cut
         out += [set(row[m].tolist()) for row, m in zip(near, kept, strict=True)]
+    some = np.concatenate(linked)
+    for i, j in reach_trees(x[some], reach):
+        out[some[i]].add(int(some[j]))
+        out[some[j]].add(int(some[i]))
     for i, row in enumerate([list(r) for r in out]):  # edges lead back
         for j in row:
             if len(out[j]) < 2 * DEGREE:
@@ -135,9 +159,9 @@ def all_pairs(x: np.ndarray, others: np.ndarray, reach: float) -> tuple[np.ndarr
     return np.concatenate([a + 1024 * i for i, (a, _) in enumerate(hits)]), others[np.concatenate([b for _, b in hits])]
 
 
-def _walk(x: np.ndarray, part: np.ndarray, adjacency: np.ndarray, reach: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def _walk(x: np.ndarray, part: np.ndarray, degree: np.ndarray, edges: np.ndarray, reach: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For every row of x as a query, what it finds in ``part`` (positions, with
-    an adjacency of their own): best first from the part's medoid, and from the
+    degrees and edges, one after the other, of their own): best first from the part's medoid, and from the
     query itself where it lies there, through all within ``reach`` and ``beam``
     nodes beyond it."""
     inside = x[part]
@@ -145,6 +169,7 @@ def _walk(x: np.ndarray, part: np.ndarray, adjacency: np.ndarray, reach: float,
     own = np.full(len(x), -1)
     own[part] = np.arange(n)
     start = int((inside @ inside.mean(axis=0)).argmax())
+    first = np.cumsum(degree) - degree
     found_q, found_x = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(x), QUERIES):
         q = x[at : at + QUERIES]
@@ -169,7 +194,8 @@ def _walk(x: np.ndarray, part: np.ndarray, adjacency: np.ndarray, reach: float,
             live = np.union1d(r, rest)
             r, c = np.concatenate((rest, r[:STEPS])), np.concatenate((best, c[:STEPS]))
             open_[r, c] = -2
-            key = np.repeat(r, adjacency.shape[1]) * n + adjacency[c].ravel()
+            d = degree[c]
+            key = np.repeat(r, d) * n + edges[np.repeat(first[c] - np.cumsum(d) + d, d) + np.arange(d.sum())]
             key = np.unique(key[sims.ravel()[key] <= -2])
             r, c = key // n, key % n
             sims[r, c] = open_[r, c] = np.einsum("kd,kd->k", inside[c], q[r])
@@ -194,7 +220,8 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, reach: float, beam: int)
     for r in name[~small]:
         part = np.flatnonzero(root == r)
         local[part] = np.arange(len(part))
-        found.append(_walk(x, part, local[adjacency[part]], reach, beam))
+        true = adjacency[part] != part[:, None]
+        found.append(_walk(x, part, true.sum(axis=1), local[adjacency[part][true]], reach, beam))
     return _mutual(n, np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
 
 
@@ -229,8 +256,8 @@ def _links(nodes: DataFrame, kmeans: np.ndarray | None, overlap: int, beam: int
         dealt = nodes.select("node", "v", "n").mapInArrow(tidied(deal), "shard long, shards array<long>, node long, v array<double>, n long")
     dealt, dealt_path = stash(dealt, "dealt")
     sizes = dealt.groupBy("shard").agg(F.count("*").alias("size"))
-    # a shard too large for a task: its nodes are dealt into parts, and every two parts meet
-    dealt = dealt.join(sizes, "shard").withColumn("parts", F.ceil(F.col("size") / MAX_SHARD).cast("int"))
+    # a shard too large for a task: its nodes are dealt into parts, and every two parts meet; two would be the shard again
+    dealt = dealt.join(sizes, "shard").withColumn("parts", F.when(F.col("size") > 2 * MAX_SHARD, F.ceil(F.col("size") / MAX_SHARD)).otherwise(1).cast("int"))
     dealt = dealt.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(0))
     own = dealt.select("shard", "shards", "node", "v", "n", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     keys = ["shard", "left", "right"]
@@ -314,12 +341,15 @@ def true_links(nodes: DataFrame, count: int = AUDIT) -> tuple[np.ndarray, DataFr
     return picked["node"].to_numpy(), true, path
 
 
-def _searched(nodes: DataFrame, kmeans: np.ndarray | None) -> tuple[DataFrame, str, float]:
-    """What ``_links`` finds once the audit is content, its table, the recall."""
+def _searched(nodes: DataFrame, sample: np.ndarray | None = None, count: int = 0) -> tuple[DataFrame, str, float]:
+    """What ``_links`` finds once the audit is content, its table, the recall.
+    With a ``sample`` of the ``count`` nodes there are centroids, else none."""
     spark = nodes.sparkSession
     watched, true, true_path = true_links(nodes)
     total = true.count()
     overlap, beam = OVERLAP, BEAM
+    fitted = lambda: None if sample is None else centroids(sample, min(MAX_CENTROIDS, -(-count * overlap // SHARD)))
+    kmeans = fitted()
     while True:
         found, path = _links(nodes, kmeans, overlap, beam, watched)
         got = found.filter(F.col("near").isNotNull()).select("node", F.explode("near").alias("other"))
@@ -334,6 +364,7 @@ def _searched(nodes: DataFrame, kmeans: np.ndarray | None) -> tuple[DataFrame, s
             kmeans, overlap, beam = None if kmeans is None else kmeans[:1], 1, None
         else:
             overlap, beam = 2 * overlap, 2 * beam
+            kmeans = fitted()
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -353,10 +384,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         share = max(1, min(1_000_003, int(1_000_003 * SAMPLE / count)))
         sample = own.filter(F.pmod("node", F.lit(1_000_003)) < share).orderBy("node").limit(SAMPLE).select("v").toPandas()["v"]
         sample = _unit(np.stack(sample if len(sample) else own.limit(1).toPandas()["v"])).astype("f4")
-        runs.append(_searched(own, centroids(sample, min(MAX_CENTROIDS, -(-count * OVERLAP // SHARD)))))
+        runs.append(_searched(own, sample, count))
     rest = nodes.filter(~length.isin(*counts)) if counts else nodes
     if not rest.isEmpty():
-        runs.append(_searched(rest, None))
+        runs.append(_searched(rest))
     if not runs:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
     linked, paths, recall = runs[0][0], [r[1] for r in runs], min(r[2] for r in runs)

@@ -136,3 +136,35 @@ def test_one_large_group(spark):
     n = (x @ x.T >= 0.9).sum(1) - 1
     assert n[:2000].min() == 1999 and sum(r.n_links for r in got) >= 0.98 * n.sum() and all(r.n_links <= n[r.vec_id] for r in got)
     assert {r.component_id for r in got if r.vec_id < 2000} == {0}
+
+
+def test_crowded_groups_lose_no_pair():
+    """An original with its near copies: it can't lead back to all of them, and to some nothing else led."""
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=64)
+    crowd = [base, *(base + rng.normal(size=64) * s for s in rng.choice([0.02, 0.12], 230))]
+    x = vector_dedup._unit(np.array(crowd + list(rng.normal(size=(600, 64))))).astype("f4")
+    adj = vector_dedup.robust_prune(x)
+    wide = np.repeat(np.arange(len(x))[:, None], max(map(len, adj)), axis=1)
+    for i, a in enumerate(adj):
+        wide[i, : len(a)] = a
+    q, o = vector_dedup.range_search(x, wide, 0.9 - 1e-5, vector_dedup.BEAM)
+    true = x @ x.T >= 0.9 - 1e-5
+    np.fill_diagonal(true, False)
+    assert {*zip(q.tolist(), o.tolist(), strict=True)} == {*zip(*(k.tolist() for k in np.nonzero(true)), strict=True)}
+
+
+def test_wider_search_keeps_its_shards_small(spark, monkeypatch):
+    """When the audit asks for more overlap, there are more centroids, not larger shards; all pairs come last."""
+    seen, links = [], vector_dedup._links
+
+    def failing(nodes, kmeans, overlap, beam, watched):
+        seen.append((len(kmeans), overlap, beam))
+        found, path = links(nodes, kmeans, overlap, beam, watched)
+        return (found if beam is None else found.filter("false")), path
+
+    monkeypatch.setattr(vector_dedup, "_links", failing)
+    monkeypatch.setattr(vector_dedup, "SHARD", 150)
+    got = vector_dedup.near_duplicates(crowds(spark)).select("n_links", "recall").collect()
+    assert seen == [(8, 2, 16), (16, 4, 32), (1, 1, None)]
+    assert got[0].recall == 1 and min(r.n_links for r in got) > 48
