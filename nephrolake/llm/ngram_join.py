@@ -24,7 +24,10 @@ expanded.
    the group's largest component.
 3. *By elements.* Elements whose classes are still not in one component deal
    out the rest in the same way, with bitmaps in place of sets; pairs that met
-   in a group, or are connected already, are skipped. What survives is sent to
+   in a group, or are connected already, are skipped. Bitmaps go only where a
+   set meets another that it could link with by size and by the places of the
+   element: what two sets share begins at one that they both were dealt out by,
+   and so is no more than either has from there on. What survives is sent to
    an exact check. All links that can still join components are found here.
 
 Words: runs of ``[^\x20\x09-\x0D]``, A-Z in lower case. With fewer than n
@@ -371,20 +374,21 @@ def spanning_links(sets: list[np.ndarray], comp: np.ndarray, a: np.ndarray, b: n
 
 
 def _dealt(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """``rows`` (keys, cls, comp, ...) of groups with several components, once
-    for each pair of blocks (left, right) that they are compared in; side 1 is
-    the right block of two. Blocks of the group's largest component come last
-    and are not compared with each other."""
+    """``rows`` (keys, cls, comp, ...) of groups with several components: once
+    where the group is one block, else once for each pair of blocks (left, right)
+    that they are compared in; side 1 is the right block of two. Blocks of the
+    group's largest component come last and are not compared with each other."""
     per = rows.groupBy(*keys, "comp").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
     groups = per.groupBy(*keys).agg(F.max(F.struct("n", "w", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("comps")).filter("comps > 1")
     blocks = lambda n, w: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(w / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
     groups = groups.select(*keys, F.col("main.comp").alias("main"), blocks(F.col("main.n"), F.col("main.w")).alias("mains"),
-        blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("rests"))
+        blocks(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("rests"), (blocks(F.col("n"), F.col("w")) == 1).alias("whole"))
     own = rows.join(groups, keys)
     hashed = lambda n: F.pmod(F.xxhash64("cls", *keys), F.col(n)).cast("int")
     in_main = F.col("comp") == F.col("main")
-    own = own.withColumn("own", F.when(in_main, F.col("rests") + hashed("mains")).otherwise(hashed("rests")))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_main, F.col("rests") - 1).otherwise(F.col("rests") + F.col("mains") - 1))))
+    own = own.withColumn("own", F.when(F.col("whole"), 0).when(in_main, F.col("rests") + hashed("mains")).otherwise(hashed("rests")))
+    last = F.when(F.col("whole"), 0).when(in_main, F.col("rests") - 1).otherwise(F.col("rests") + F.col("mains") - 1)
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     kept = [c for c in rows.columns if c not in keys]
     return own.select(*keys, F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).cast("int").alias("side"), *kept)
 
@@ -424,6 +428,47 @@ def _linked_in_groups(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return out, path
 
 
+def meetings(i: np.ndarray, j: np.ndarray, size: np.ndarray, pos: np.ndarray, comp: np.ndarray, firsts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which pairs of positions can link and have this element first in common:
+    by size, by its place in both sets; in two components, met in no group."""
+    a, b = size[i], size[j]
+    ok = (comp[i] != comp[j]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(a - pos[i], b - pos[j]) >= need_overlap(a, b, percent))
+    at = np.flatnonzero(ok)
+    ok[at] = (firsts[i[at]] != firsts[j[at]]).all(axis=1)
+    return ok
+
+
+def _meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows (token, left, right, side, cls, comp, pos, size, firsts) that
+    meet another in their blocks, without the last three columns."""
+    keys = ("token", "left", "right")
+
+    def meet(batches):
+        for t in _whole_groups(batches, len(keys)):
+            token, left, right, side, size, pos, comp = (t.column(c).to_numpy() for c in (*keys, "side", "size", "pos", "comp"))
+            firsts = t.column("firsts").combine_chunks().flatten().to_numpy().reshape(-1, ORDERS)
+            runs = np.array(_runs(token, left, right))
+            n = np.diff(runs)[:, 0]
+            single = (n <= LEAF) & (left[runs[:, 0]] == right[runs[:, 0]])
+            keep = np.zeros(len(t), bool)
+
+            def mark(i, j):
+                ok = meetings(i, j, size, pos, comp, firsts, percent)  # noqa: B023  called at once
+                keep[i[ok]] = keep[j[ok]] = True  # noqa: B023
+
+            for k in range(2, LEAF + 1):  # most groups are one leaf
+                one, two = np.triu_indices(k, 1)
+                at = runs[single & (n == k), :1]
+                mark((at + one).ravel(), (at + two).ravel())
+            for a, z in runs[~single]:
+                one, two = (a + np.flatnonzero(side[a:z] == k) for k in (0, 1)) if left[a] < right[a] else [np.arange(a, z)] * 2
+                for part in np.array_split(one, len(one) * len(two) // (1 << 17) + 1):
+                    mark(np.repeat(part, len(two)), np.tile(two, len(part)))
+            yield from t.select([*keys, "side", "cls", "comp"]).filter(pa.array(keep)).to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(meet), "token long, left int, right int, side int, cls long, comp long")
+
+
 def _element_candidates(rows: DataFrame, percent: int) -> DataFrame:
     """rows: token, left, right, side, cls, comp, size, bits, firsts; pairs
     (a, b) that survive the traversal, met in no group and are in two components."""
@@ -455,8 +500,9 @@ def _element_candidates(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(traverse), "a long, b long").distinct()
 
 
-def _seen(wanted: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view) -> DataFrame:
-    """(cls, size, view): what ``view`` makes of the set of each wanted class."""
+def _seen(wanted: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view, repeated: bool) -> DataFrame:
+    """(cls, size, view): what ``view`` makes of the set of each wanted class;
+    ``repeated``: whether a row may be there more than once."""
     named = reps.select("cls", "rid").join(wanted, "cls")
     if wanted.count() <= BROADCAST_ROWS:
         named = F.broadcast(named)  # then only the wanted texts are read on, and none is shuffled
@@ -468,14 +514,16 @@ def _seen(wanted: DataFrame, reps: DataFrame, docs: DataFrame, n: int, view) ->
                 pa.array([view(s).tobytes() for s in sets], pa.binary())], names=["cls", "size", "view"])
 
     seen = docs.select(row_key().alias("rid"), "text").join(named, "rid").select("cls", "text").mapInArrow(tidied(look), "cls long, size long, view binary")
+    if not repeated:
+        return seen
     return seen.groupBy("cls").agg(F.first(F.struct("size", "view")).alias("r")).select("cls", "r.size", "r.view")  # a repeated row gives its view again
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, str]:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, repeated: bool) -> tuple[DataFrame, str]:
     """The pairs (a, b) of classes that do link, as edges (u, v), and their table."""
     spark = pairs.sparkSession
     pairs, path = stash(pairs, "pairs")
-    seen, seen_path = stash(_seen(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), reps, docs, n, lambda s: s), "sets")
+    seen, seen_path = stash(_seen(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), reps, docs, n, lambda s: s, repeated), "sets")
     side = lambda k: seen.select(F.col("cls").alias(k), F.col("view").alias(f"view_{k}"))
 
     def choose(batches):
@@ -509,12 +557,13 @@ def join_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     live = rows.filter((F.col("size") > 0) & F.col("doc_id").isNotNull())
     classes, classes_path = stash(live.groupBy("cls").agg(F.min(F.struct("rid", "size", "bits", "firsts")).alias("r"), F.min("doc_id").alias("least"))
         .select("cls", "r.*", "least"), "classes")
+    repeated = not live.groupBy("rid").count().filter("count > 1").isEmpty()
 
     # in groups: first against pivots, then what is still apart
     keyed = classes.select("cls", "size", F.posexplode("firsts").alias("turn", "g"))
     several = keyed.groupBy("turn", "g").agg(F.count("*").alias("n"), F.sum("size").alias("w")).filter("n > 1")
     grouped, grouped_path = stash(keyed.join(several.withColumn("large", (F.col("n") > BLOCK) | (F.col("w") > BLOCK_SHINGLES)).drop("n", "w"), ["turn", "g"]), "grouped")
-    sets, sets_path = stash(_seen(grouped.select("cls").distinct(), classes, docs, n, lambda s: s).drop("size"), "sets")
+    sets, sets_path = stash(_seen(grouped.select("cls").distinct(), classes, docs, n, lambda s: s, repeated).drop("size"), "sets")
     first, first_path = _linked_in_groups(_under_pivots(_named(grouped.filter("turn = 0").drop("large"), None)), sets, percent)
     comp, comp_paths = components(first)
     again = _named(grouped.filter("turn > 0 or large").drop("large"), comp)
@@ -524,12 +573,18 @@ def join_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     comp, comp_paths = components(links)
 
     # by elements whose classes are not all in one component: all that is left to compare
-    elements = _named(live.join(classes.select("cls", "rid"), ["cls", "rid"], "left_semi").select("cls", "prefix"), comp).select("cls", "comp", F.explode("prefix").alias("token"))
-    apart, apart_path = stash(elements.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"), "apart")
-    left, left_path = stash(elements.join(F.broadcast(apart) if apart.count() <= BROADCAST_ROWS else apart, "token").withColumn("one", F.lit(1)), "elements")
-    both = _dealt(left, ["token"], "one").drop("one").join(classes.select("cls", "size", "bits", "firsts"), "cls")
-    both = both.select("token", "left", "right", "side", "cls", "comp", "size", "bits", "firsts")
-    found, path = _verified(_element_candidates(both, percent), classes, docs, n, percent)
+    elements = lambda rows: _named(rows.select("cls", "prefix"), comp).select("cls", "comp", F.posexplode("prefix").alias("pos", "token"))
+    single = live.join(classes.select("cls", "rid"), ["cls", "rid"], "left_semi")
+    apart, apart_path = stash(elements(single).groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"), "apart")
+    if apart.count() <= BROADCAST_ROWS:
+        left = elements(live).join(F.broadcast(apart), "token").distinct()  # copies give few rows, so prefixes are not shuffled again
+    else:
+        left = elements(single).join(apart, "token")
+    left, left_path = stash(left.withColumn("one", F.lit(1)), "elements")
+    both = _meeting(_dealt(left, ["token"], "one").drop("one").join(classes.select("cls", "size", "firsts"), "cls").select(
+        "token", "left", "right", "side", "cls", "comp", "pos", "size", "firsts"), percent)
+    both = both.join(classes.select("cls", "size", "bits", "firsts"), "cls").select("token", "left", "right", "side", "cls", "comp", "size", "bits", "firsts")
+    found, path = _verified(_element_candidates(both, percent), classes, docs, n, percent, repeated)
     roots, roots_paths = components(links.unionByName(found))
     discard(spark, apart_path, left_path, path, first_path, second_path, *comp_paths)
 

@@ -156,3 +156,50 @@ def test_frequent_shingles_of_all_documents(spark):
     assert all((ngram_join.places_of(s, frequent) >= 0).all() for s in ngram_join.shingle_sets([text("group", g) for g in range(40)]))
     alone = np.concatenate(ngram_join.shingle_sets([text("own", i) for i in range(0, 30_000, 100)]))
     assert (ngram_join.places_of(alone, frequent) >= 0).mean() < 0.01
+
+
+def test_small_groups_are_dealt_once(spark, monkeypatch):
+    """A group of one block is sent on once, not as its largest component against the rest; larger ones as before."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rows = spark.createDataFrame([(t, 10 * t + i, 10 * t + max(i, 2), 1) for t, n in ((1, 2), (2, 4), (3, 9)) for i in range(1, n + 1)], "token long, cls long, comp long, one int")
+    got = ngram_join._dealt(rows, ["token"], "one").collect()
+    assert not [r for r in got if r.token == 1]  # of one component
+    assert sorted((r.left, r.right, r.side, r.cls) for r in got if r.token == 2) == [(0, 0, 0, c) for c in (21, 22, 23, 24)]
+    blocks = {}
+    for r in (r for r in got if r.token == 3):
+        blocks.setdefault((r.left, r.right), []).append(r.cls)
+    assert len(blocks) > 1 and {(a, b) for x in blocks.values() for a in x for b in x if a < b} >= {(a, b) for a in range(31, 40) for b in range(max(a, 32) + 1, 40)}
+
+
+def test_meetings_lose_no_link(spark):
+    """Every link meets by an element that passes; rows that can link with no other are not sent on."""
+    rng = np.random.default_rng(7)
+    frequent = np.sort(rng.choice(ngram_join.CELLS, 3000, replace=False).astype(np.uint64))
+    rank = rng.permutation(len(frequent))
+    sets = []
+    for n in (5, 40, 200, 900):
+        for _ in range(6):
+            hot = frequent[rng.integers(0, len(frequent), int(n * rng.choice([0.1, 0.8])))] | (rng.integers(0, 2**40, 1, dtype=np.uint64) << np.uint64(22))
+            pool = np.unique(np.concatenate((rng.integers(0, 2**63, n - len(hot), dtype=np.uint64), hot)))
+            sets += [np.unique(np.concatenate((pool[rng.random(len(pool)) < share], rng.integers(0, 2**63, n // 20, dtype=np.uint64)))) for share in (0.8, 0.9, 0.95, 1, 1)]
+    sets = [s for s in sets if len(s)]
+    prefixes = [ngram_join.prefix_of(s, ngram_join.places_of(s, frequent), rank) for s in sets]
+    size, firsts = np.array([len(s) for s in sets]), np.arange(len(sets))[:, None].repeat(ngram_join.ORDERS, 1)
+    places = {}
+    for c, p in enumerate(prefixes):
+        for pos, e in enumerate(p.tolist()):
+            places.setdefault(e, []).append((c, pos))
+    passed, met = set(), set()
+    for group in places.values():
+        c, pos = np.array(group).T
+        i, j = np.triu_indices(len(c), 1)
+        ok = ngram_join.meetings(i, j, size[c], pos, c, firsts[c])
+        met |= {*zip(c[i].tolist(), c[j].tolist(), strict=True)}
+        passed |= {*zip(c[i[ok]].tolist(), c[j[ok]].tolist(), strict=True)}
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    links = {(a, b) for a, b in met if 100 * both(a, b) >= 75 * (size[a] + size[b] - both(a, b))}
+    assert len(links) > 100 and links <= passed and len(passed) < len(met)
+    rows = [(1, 10, 0, 100), (1, 11, 20, 100), (2, 10, 0, 100), (2, 12, 0, 300), (3, 10, 0, 100), (3, 11, 2, 100), (3, 12, 0, 300)]
+    rows = [(t, 0, 0, 0, c, c, p, n, [c * 10 + k for k in range(ngram_join.ORDERS)]) for t, c, p, n in rows]
+    df = spark.createDataFrame(rows, "token long, left int, right int, side int, cls long, comp long, pos int, size long, firsts array<long>")
+    assert sorted((r.token, r.cls) for r in ngram_join._meeting(df, 75).collect()) == [(3, 10), (3, 11)]
