@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows and bytes in one Arrow batch. Documents can be long, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+#: Rows of a few numbers in one file, and files that are always allowed.
+FILE_ROWS, FEW_FILES = 100_000, 8
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -56,6 +58,13 @@ def stash(df: DataFrame, label: str, partition_by: str | None = None) -> tuple[D
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def in_few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, narrow and of so many rows at most, to be written in as many files
+    as they fill. Without Hadoop's native library each file, its checksum and
+    its folder cost a local file system a ``chmod`` process each."""
+    return df.coalesce(max(FEW_FILES, -(-rows // FILE_ROWS)))
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Remove written tables that no later step reads."""
     for path in paths:

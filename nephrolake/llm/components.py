@@ -4,7 +4,8 @@ Edges are rows of two longs. A round moves every node's larger neighbours to
 its smallest one, then its smaller neighbours likewise, until nothing changes;
 minima are aggregated before they are shuffled, and the join back to a hub's
 edges is one that adaptive execution may split. Each round is written to the
-shared folder. Nothing is collected but two numbers a round.
+shared folder, in files that follow its edges and not the shuffle's partitions.
+Nothing is collected but two numbers a round and the edges' number at first.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import discard, in_few_files, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,10 +31,11 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
     """(node, root) for every node of an edge (u, v), root the smallest node of
     its component, roots themselves left out; and the written tables behind it."""
     spark = edges.sparkSession
-    held, path = stash(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    n = edges.count()
+    held, path = stash(in_few_files(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), n), "edges")
     state = None
     while True:
-        held, new = stash(_star(_star(held, True), False), "edges")
+        held, new = stash(in_few_files(_star(_star(held, True), False), n), "edges")
         discard(spark, path)
         path = new
         now = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

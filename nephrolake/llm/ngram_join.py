@@ -47,12 +47,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, prepare, read_table, row_key, stash, tidied
+from .common import discard, in_few_files, prepare, read_table, row_key, stash, tidied
 from .components import components
 
 WORDS, PERCENT = 5, 75
 BITMAP_WORDS, BITS_EACH = 32, 4  # 2048 bits in the trees; bits a shingle in the last test of a pair
 LEAF, FANOUT = 8, 8
+#: Pairs of nodes whose bitmaps are read at once: 256 bytes each, twice.
+PAIRS_AT_ONCE = 1 << 14
 #: Classes and shingles of a block, at most on average.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: Counters of shingles over all documents, and the parts in which tasks send them on.
@@ -215,12 +217,16 @@ class SignatureTree:
 
 
 def possible(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Whether node i of x and node j of y can hold a link that joins components."""
-    shared = np.bitwise_count(x[0][i] & y[0][j]).sum(axis=1)
-    most = np.minimum(shared + np.minimum(x[1][i], y[1][j]), np.minimum(x[3][i], y[3][j]))
-    enough = most >= need_overlap(x[2][i], y[2][j], percent)
-    fits = (100 * x[3][i] >= percent * y[2][j]) & (100 * y[3][j] >= percent * x[2][i])
-    return enough & fits & ((x[4][i] != y[4][j]) | x[5][i] | y[5][j])
+    """Whether node i of x and node j of y can hold a link that joins components.
+    Bitmaps are read for pairs that fit by size and component, a part at a time."""
+    ok = (100 * x[3][i] >= percent * y[2][j]) & (100 * y[3][j] >= percent * x[2][i]) & ((x[4][i] != y[4][j]) | x[5][i] | y[5][j])
+    at = np.flatnonzero(ok)
+    for part in np.array_split(at, -(-len(at) // PAIRS_AT_ONCE) or 1):
+        a, b = i[part], j[part]
+        shared = np.bitwise_count(x[0][a] & y[0][b]).sum(axis=1)
+        most = np.minimum(shared + np.minimum(x[1][a], y[1][b]), np.minimum(x[3][a], y[3][b]))
+        ok[part] = most >= need_overlap(x[2][a], y[2][b], percent)
+    return ok
 
 
 def dual_traverse(a: SignatureTree, b: SignatureTree, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -421,9 +427,11 @@ def _linked_in_groups(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     slim, slim_path = stash(dealt.select(*keys, "side", "cls", "comp"), "dealt")
-    named = F.broadcast(slim) if slim.count() <= BROADCAST_ROWS else slim  # then no set is shuffled twice
+    n_dealt = slim.count()
+    named = F.broadcast(slim) if n_dealt <= BROADCAST_ROWS else slim  # then no set is shuffled twice
     rows = sets.join(named, "cls").select(*keys, "side", "cls", "comp", "view")
-    out, path = stash(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(compare), "u long, v long").distinct(), "links")
+    linked = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidied(compare), "u long, v long").distinct()
+    out, path = stash(in_few_files(linked, n_dealt), "links")
     discard(dealt.sparkSession, slim_path)
     return out, path
 

@@ -1,10 +1,11 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from nephrolake.llm import ngram_join
+from nephrolake.llm import components, ngram_join
 
 from .fixtures import canon, documents, edges, empty
 
@@ -203,3 +204,48 @@ def test_meetings_lose_no_link(spark):
     rows = [(t, 0, 0, 0, c, c, p, n, [c * 10 + k for k in range(ngram_join.ORDERS)]) for t, c, p, n in rows]
     df = spark.createDataFrame(rows, "token long, left int, right int, side int, cls long, comp long, pos int, size long, firsts array<long>")
     assert sorted((r.token, r.cls) for r in ngram_join._meeting(df, 75).collect()) == [(3, 10), (3, 11)]
+
+
+def test_alike_sets_take_little_memory():
+    """Two blocks whose sets are alike and hardly link: all pairs are compared, their bitmaps are not there at once."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 130, dtype=np.uint64)
+    sets = [np.sort(rng.choice(pool, 100, replace=False)) for _ in range(2 * ngram_join.BLOCK)]
+    every, (one, two) = np.arange(len(sets)), np.split(np.arange(len(sets)), 2)
+    tracemalloc.start()
+    try:
+        got = ngram_join.spanning_links(sets, every, one, two)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    own = np.stack([np.isin(pool, s) for s in sets]).astype(int)
+    both = own[one] @ own[two].T
+    assert len(got) > 5 and {(a, b) for a, b in got} <= {(int(a), int(b) + len(one)) for a, b in np.argwhere(100 * both >= 75 * (200 - both))}
+    assert peak < 100e6
+
+
+def test_few_edges_in_few_files(spark):
+    """Rounds over few edges are written in few files, however many partitions a shuffle has."""
+    rng = random.Random(4)
+    pairs = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(2200)]
+    up = list(range(3000))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got, _ = components.components(spark.createDataFrame(pairs, "u long, v long"))
+        assert len(got.inputFiles()) <= 8
+        assert sorted(map(tuple, got.collect())) == [(x, find(x)) for x in range(3000) if find(x) != x]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
